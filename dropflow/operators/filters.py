@@ -71,3 +71,17 @@ def check_eligible(df: DataFrame, label: str | None = None, min_rows: int = 50,
     if label is not None and int(r["k"]) < min_classes:
         return False, f"fewer than {min_classes} classes", n
     return True, "ok", n
+
+
+def eligibility(df: DataFrame, group_cols, label: str | None = None, min_rows: int = 50,
+                min_classes: int = 2) -> DataFrame:
+    """``check_eligible`` for every group at once, as one aggregation."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if label is not None:
+        aggs.append(F.countDistinct(label).alias("n_classes"))
+    agg = df.groupBy(*group_cols).agg(*aggs)
+    reason = F.when(F.col("n") == 0, "empty").when(F.col("n") < min_rows, f"fewer than {min_rows} rows")
+    if label is not None:
+        reason = reason.when(F.col("n_classes") < min_classes, f"fewer than {min_classes} classes")
+    reason = reason.otherwise("ok")
+    return agg.withColumn("reason", reason).withColumn("eligible", F.col("reason") == "ok")

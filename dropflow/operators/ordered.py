@@ -4,15 +4,19 @@ Exact quantiles, rank-based AUC and exact-size splits all need "how many rows
 come before this one" over a sort order. A window with no (or a hot) partition
 key runs in a single task, so instead:
 
-1. range-partition the rows on ``(group..., order)`` (sampled bounds, so even a
-   group holding a third of all rows is spread over many tasks);
-2. sum the weights per (partition, group) - at most one row per partition and
-   group - and turn them into offsets with a small window over partition ids;
-3. run the in-partition running sum (window keyed by partition id and group)
-   and add the offset.
+1. per group, approximate quantiles of the leading order key give ``B - 1``
+   bucket boundaries (a mergeable sketch, so a group holding a third of all
+   rows is summarised map-side like any other);
+2. each row's bucket is the number of boundaries below its key - a pure
+   function of the row, identical in every branch of the plan and on every
+   retry after an executor loss;
+3. weights summed per (group, bucket) - at most ``B`` rows per group - become
+   offsets through a small window;
+4. the running sum inside each (group, bucket) - a ``1/B`` slice of the group -
+   plus the offset is the global running sum.
 
 Callers pre-aggregate duplicates of ``(group, order)`` into one weighted row
-(map-side combine), so hot values never pile up either.
+(map-side combine), so hot values never pile up in one bucket either.
 """
 
 from __future__ import annotations
@@ -20,46 +24,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PID = "__pid"
+_BK = "__bk"
+MAX_BUCKETS = 4096
+BOUNDS_BROADCAST_MAX_GROUPS = 20_000
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _buckets(df: DataFrame, num_buckets: int | None) -> int:
+    if num_buckets:
+        return int(num_buckets)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(MAX_BUCKETS, n))
+
+
+def with_buckets(df: DataFrame, key, group_cols=(), num_buckets: int | None = None) -> DataFrame:
+    """Add ``__bk``: an order-preserving bucket of ``key`` within each group."""
+    group_cols = list(group_cols)
+    b = _buckets(df, num_buckets)
+    k = F.col(key).cast("double") if isinstance(key, str) else key.cast("double")
+    probs = [i / b for i in range(1, b)]
+    bounds = df.groupBy(*group_cols).agg(
+        F.percentile_approx(k, probs, 10 * b).alias("__b"))
+    if group_cols:
+        small = bounds.limit(BOUNDS_BROADCAST_MAX_GROUPS + 1).count() <= BOUNDS_BROADCAST_MAX_GROUPS
+        d = df.join(F.broadcast(bounds) if small else bounds, group_cols, "inner")
+    else:
+        # a single row of boundaries
+        d = df.crossJoin(F.broadcast(bounds))
+    return d.withColumn(_BK, F.size(F.filter(F.col("__b"), lambda x: x < k))).drop("__b")
 
 
 def ordered_cumsum(df: DataFrame, order_cols, weight_col: str, group_cols=(),
-                   out: str = "_cum", num_partitions: int | None = None) -> DataFrame:
+                   out: str = "_cum", num_buckets: int | None = None) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``weight_col`` by ``order_cols`` within groups.
 
-    Rows must be unique on ``group_cols + order_cols`` for a deterministic result.
+    The leading order column must be numeric. Rows must be unique on
+    ``group_cols + order_cols`` for a deterministic result.
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     group_cols = list(group_cols)
-    parts = _partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(parts, *[F.col(c) for c in group_cols + order_cols])
-                .withColumn(_PID, F.spark_partition_id()))
-    totals = ranged.groupBy(_PID, *group_cols).agg(F.sum(weight_col).alias("__pt"))
-    before = Window.partitionBy(*group_cols).orderBy(_PID) \
+    d = with_buckets(df, order_cols[0], group_cols, num_buckets)
+    totals = d.groupBy(*group_cols, _BK).agg(F.sum(weight_col).alias("__pt"))
+    before = Window.partitionBy(*group_cols).orderBy(_BK) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *group_cols,
+    offsets = totals.select(*group_cols, _BK,
                             F.coalesce(F.sum("__pt").over(before), F.lit(0)).alias("__off"))
     if not group_cols:
-        # one row per partition: bounded by the partition count
+        # at most B rows
         offsets = F.broadcast(offsets)
-    inside = Window.partitionBy(_PID, *group_cols).orderBy(*order_cols) \
+    inside = Window.partitionBy(*group_cols, _BK).orderBy(*order_cols) \
         .rowsBetween(Window.unboundedPreceding, 0)
-    running = ranged.withColumn("__c", F.sum(weight_col).over(inside))
-    return (running.join(offsets, [_PID, *group_cols], "inner")
+    running = d.withColumn("__c", F.sum(weight_col).over(inside))
+    return (running.join(offsets, [*group_cols, _BK], "inner")
                    .withColumn(out, F.col("__c") + F.col("__off"))
-                   .drop(_PID, "__c", "__off"))
+                   .drop(_BK, "__c", "__off"))
 
 
 def global_rank(df: DataFrame, order_cols, group_cols=(), out: str = "_rank",
-                num_partitions: int | None = None) -> DataFrame:
+                num_buckets: int | None = None) -> DataFrame:
     """0-based row position by ``order_cols`` within groups (rows should be unique)."""
     w = df.withColumn("__one", F.lit(1).cast("long"))
-    res = ordered_cumsum(w, order_cols, "__one", group_cols, out="__cum",
-                         num_partitions=num_partitions)
+    res = ordered_cumsum(w, order_cols, "__one", group_cols, out="__cum", num_buckets=num_buckets)
     return res.withColumn(out, F.col("__cum") - F.lit(1)).drop("__one", "__cum")

@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from . import course_queries as cq
+from . import more_queries as mq
 from .oracle import course_oracles
+from .oracle_more import more_oracles
+
+COURSE = ["q_filter_courses", "q_filter_audit", "q_rate_r1", "q_rate_r2", "q_rate_r3",
+          "q_rate_r4", "q_rate_r5", "q_to_numeric", "q_features", "q_feature_table",
+          "q_share_by_region", "q_threshold_median", "q_label_binary_gt",
+          "q_label_binary_ge", "q_label_binary_median", "q_quartiles",
+          "q_label_quartile", "q_class_counts", "q_class_weights", "q_complete_cases"]
+MORE = ["q_box_stats", "q_box_stats_events", "q_union_years", "q_mega_dataset", "q_root_filter",
+        "q_analysis_table", "q_clean_categories", "q_ordinal_encode", "q_ordinal_unseen",
+        "q_onehot", "q_impute_median", "q_impute_mode", "q_scale", "q_split_sizes",
+        "q_stratified_sizes", "q_cls_metrics", "q_roc_auc", "q_weighted_metrics",
+        "q_roc_auc_ovr", "q_reg_metrics", "q_reg_metrics_log", "q_topk_importance",
+        "q_collect_metrics", "q_eligibility"]
 
 
 def spark_queries() -> dict:
-    q = {}
-    for name in ["q_filter_courses", "q_filter_audit", "q_rate_r1", "q_rate_r2", "q_rate_r3",
-                 "q_rate_r4", "q_rate_r5", "q_to_numeric", "q_features", "q_feature_table",
-                 "q_share_by_region", "q_threshold_median", "q_label_binary_gt",
-                 "q_label_binary_ge", "q_label_binary_median", "q_quartiles",
-                 "q_label_quartile", "q_class_counts", "q_class_weights", "q_complete_cases"]:
-        q[name] = getattr(cq, name)
+    q = {name: getattr(cq, name) for name in COURSE}
+    q.update({name: getattr(mq, name) for name in MORE})
     return q
 
 
 def oracle_queries() -> dict:
     o = {}
     o.update(course_oracles())
+    o.update(more_oracles())
     names = set(spark_queries())
     return {k: v for k, v in o.items() if k in names}

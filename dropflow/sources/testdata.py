@@ -25,7 +25,12 @@ def _flag(cond) -> "F.Column":
 
 
 def course_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Course-like view: lineitem aggregated per part, then joined to part.
+    return course_view_by(spark, sf_dir)
+
+
+def course_view_by(spark: SparkSession, sf_dir: str, by=None) -> DataFrame:
+    """Course-like view: lineitem aggregated per part (and optional key ``by``,
+    e.g. a census year derived from the ship date), then joined to part.
 
     The aggregation is placed below the join (eager aggregation): lineitem is
     reduced to one partial row per part and map task before any shuffle, and
@@ -34,7 +39,8 @@ def course_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     q = F.col("l_quantity")
-    per_part = li.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+    keys = [F.col("l_partkey").alias("p_partkey")] + ([by] if by is not None else [])
+    per_part = li.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("QT_ING"),
         _flag(F.col("l_returnflag") == "R").alias("QT_SIT_DESVINCULADO"),
         _flag((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")).alias("QT_SIT_TRANSFERIDO"),
@@ -70,11 +76,32 @@ def course_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cols = ["CO_CURSO", "NO_CURSO", "TP_GRAU_ACADEMICO", "CO_REGIAO", "TP_REDE"] + \
         [c for c in per_part.columns if c != "p_partkey"]
+    # the part side is one row per key; broadcast it only when its size is known small
+    part = _maybe_broadcast(part)
     return part.join(per_part, "p_partkey", "inner").select(*cols)
 
 
+PART_BROADCAST_MAX_ROWS = 2_000_000
+
+
+def _maybe_broadcast(df: DataFrame, max_rows: int = PART_BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast hint only behind a row-count check (Parquet footers make the
+    count cheap); above the bound the join stays a shuffle join."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 # The same view as SQL text (Spark SQL and DuckDB both accept it); the oracle
 # side of the driver contract inlines it as a CTE.
+def course_view_sql(by_expr: str | None = None, by_alias: str | None = None) -> str:
+    """Course view SQL, optionally grouped by an extra key (e.g. ship year)."""
+    sql = COURSE_VIEW_SQL
+    if by_expr is None:
+        return sql
+    sql = sql.replace("SELECT p_partkey AS CO_CURSO,", f"SELECT p_partkey AS CO_CURSO, {by_expr} AS {by_alias},", 1)
+    return sql.replace("GROUP BY p_partkey, p_name, p_size", f"GROUP BY p_partkey, p_name, p_size, {by_expr}")
+
+
 COURSE_VIEW_SQL = """
 SELECT p_partkey AS CO_CURSO, p_name AS NO_CURSO, 1 + p_size % 3 AS TP_GRAU_ACADEMICO,
   1 + p_partkey % 5 AS CO_REGIAO, 1 + p_size % 2 AS TP_REDE,
