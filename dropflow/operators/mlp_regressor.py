@@ -1,0 +1,145 @@
+"""Multilayer-perceptron regressor as a data-parallel Spark job.
+
+Spark ML has no MLP regressor. Training is full-batch gradient descent with
+Adam: every iteration broadcasts the current weights, each partition computes
+the gradient of its rows with NumPy, the partial gradients are summed with a
+tree reduction, and the driver applies the Adam step. Only the parameter
+vector (a few thousand doubles) moves between driver and executors; the rows
+stay partitioned. Prediction is an Arrow-batched pandas UDF.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _act(z, kind):
+    return np.tanh(z) if kind == "tanh" else np.maximum(z, 0.0)
+
+
+def _act_grad(a, kind):
+    return 1.0 - a * a if kind == "tanh" else (a > 0).astype(a.dtype)
+
+
+def _unpack(theta, sizes):
+    params, off = [], 0
+    for fan_in, fan_out in zip(sizes[:-1], sizes[1:]):
+        w = theta[off:off + fan_in * fan_out].reshape(fan_in, fan_out)
+        off += fan_in * fan_out
+        b = theta[off:off + fan_out]
+        off += fan_out
+        params.append((w, b))
+    return params
+
+
+def _forward(x, params, kind):
+    acts = [x]
+    h = x
+    for i, (w, b) in enumerate(params):
+        z = h @ w + b
+        h = z if i == len(params) - 1 else _act(z, kind)
+        acts.append(h)
+    return acts
+
+
+def _partition_grad(rows, theta, sizes, kind):
+    xs, ys = [], []
+    for r in rows:
+        xs.append(r[0])
+        ys.append(r[1])
+    if not xs:
+        yield (np.zeros_like(theta), 0.0, 0)
+        return
+    x = np.asarray(xs, dtype=np.float64)
+    y = np.asarray(ys, dtype=np.float64).reshape(-1, 1)
+    params = _unpack(theta, sizes)
+    acts = _forward(x, params, kind)
+    delta = acts[-1] - y                      # d(0.5 * err^2) / d(out)
+    grads = []
+    for i in range(len(params) - 1, -1, -1):
+        w, _ = params[i]
+        gw = acts[i].T @ delta
+        gb = delta.sum(axis=0)
+        grads.append((gw, gb))
+        if i > 0:
+            delta = (delta @ w.T) * _act_grad(acts[i], kind)
+    flat = np.concatenate([np.concatenate([gw.ravel(), gb]) for gw, gb in reversed(grads)])
+    loss = 0.5 * float(((acts[-1] - y) ** 2).sum())
+    yield (flat, loss, len(xs))
+
+
+class MLPRegressor:
+    """Estimator-like wrapper: ``fit(df)`` on (features vector, label) -> model."""
+
+    def __init__(self, hidden=(128, 64), activation="tanh", alpha=1e-3, learning_rate=0.01,
+                 max_iter=200, tol=1e-4, n_iter_no_change=10, seed=42,
+                 features="features", label="label"):
+        self.hidden, self.activation, self.alpha = tuple(hidden), activation, alpha
+        self.learning_rate, self.max_iter, self.tol = learning_rate, max_iter, tol
+        self.n_iter_no_change, self.seed = n_iter_no_change, seed
+        self.features, self.label = features, label
+
+    def fit(self, df: DataFrame) -> "MLPRegressionModel":
+        data = df.select(vector_to_array(self.features).alias("x"),
+                         F.col(self.label).cast("double").alias("y")).persist()
+        rdd = data.rdd.map(lambda r: (r[0], r[1]))
+        first = data.first()
+        d = len(first[0])
+        sizes = [d, *self.hidden, 1]
+        rng = np.random.default_rng(self.seed)
+        parts = []
+        for fan_in, fan_out in zip(sizes[:-1], sizes[1:]):
+            bound = np.sqrt(6.0 / (fan_in + fan_out))
+            parts += [rng.uniform(-bound, bound, fan_in * fan_out), rng.uniform(-bound, bound, fan_out)]
+        theta = np.concatenate(parts)
+        m = np.zeros_like(theta)
+        v = np.zeros_like(theta)
+        b1, b2, eps = 0.9, 0.999, 1e-8
+        sc = df.sparkSession.sparkContext
+        best, stall = np.inf, 0
+        kind = self.activation
+        weight_mask = np.concatenate([np.concatenate([np.ones(fi * fo), np.zeros(fo)])
+                                      for fi, fo in zip(sizes[:-1], sizes[1:])])
+        for it in range(1, self.max_iter + 1):
+            bt = sc.broadcast(theta)
+            grad, loss, n = rdd.mapPartitions(
+                lambda rows, bt=bt: _partition_grad(rows, bt.value, sizes, kind)) \
+                .treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+            bt.unpersist()
+            if n == 0:
+                break
+            grad = grad / n + self.alpha * weight_mask * theta / n
+            loss = loss / n + 0.5 * self.alpha * float((weight_mask * theta ** 2).sum()) / n
+            m = b1 * m + (1 - b1) * grad
+            v = b2 * v + (1 - b2) * grad * grad
+            theta = theta - self.learning_rate * (m / (1 - b1 ** it)) / (np.sqrt(v / (1 - b2 ** it)) + eps)
+            if loss > best - self.tol:
+                stall += 1
+                if stall >= self.n_iter_no_change:
+                    break
+            else:
+                stall = 0
+            best = min(best, loss)
+        data.unpersist()
+        return MLPRegressionModel(theta, sizes, kind, self.features)
+
+
+class MLPRegressionModel:
+    def __init__(self, theta, sizes, kind, features):
+        self.theta, self.sizes, self.kind, self.features = theta, sizes, kind, features
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        bt = df.sparkSession.sparkContext.broadcast(self.theta)
+        sizes, kind = self.sizes, self.kind
+
+        @F.pandas_udf("double")
+        def predict(x: pd.Series) -> pd.Series:
+            mat = np.stack(x.to_numpy()) if len(x) else np.zeros((0, sizes[0]))
+            acts = _forward(mat, _unpack(bt.value, sizes), kind)
+            return pd.Series(acts[-1].ravel())
+
+        return df.withColumn(out, predict(vector_to_array(self.features)))

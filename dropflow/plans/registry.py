@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import course_queries as cq
+from . import model_queries as modq
 from . import more_queries as mq
 from .oracle import course_oracles
 from .oracle_more import more_oracles
@@ -19,10 +20,15 @@ MORE = ["q_box_stats", "q_box_stats_events", "q_union_years", "q_mega_dataset",
         "q_roc_auc_ovr", "q_reg_metrics", "q_reg_metrics_log", "q_topk_importance",
         "q_collect_metrics", "q_eligibility"]
 
+# learners are not SQL-expressible: rows-only checks
+MODELS = ["q_model_rf", "q_model_lr", "q_model_mlp", "q_model_gbt", "q_model_rf_reg",
+          "q_model_gbt_reg", "q_model_mlp_reg"]
+
 
 def spark_queries() -> dict:
     q = {name: getattr(cq, name) for name in COURSE}
     q.update({name: getattr(mq, name) for name in MORE})
+    q.update({name: getattr(modq, name) for name in MODELS})
     return q
 
 
