@@ -69,7 +69,7 @@ def quantile_values(df: DataFrame, value, probs, where: Column | None = None,
                     default: float = 0.0) -> list[float]:
     """Whole-table exact quantiles as Python floats (one tiny row reaches the driver)."""
     rows = exact_quantiles(df, value, probs, where=where, names=[f"p{i}" for i in range(len(probs))]).collect()
-    if not rows:
+    if not rows or any(x is None for x in rows[0]):
         return [default] * len(probs)
     return [float(x) for x in rows[0]]
 

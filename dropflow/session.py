@@ -23,6 +23,9 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # census tables are wide (200 columns); constraint propagation over many
+    # aliased columns and IsNotNull filters grows exponentially in the optimizer
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -64,6 +67,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def prepare_for_wide_tables(spark: SparkSession) -> None:
+    """Job entry points over wide census tables call this: it only turns off
+    the optimizer's constraint propagation (inferred IsNotNull filters)."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def cut_lineage(df):
     """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
