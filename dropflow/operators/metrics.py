@@ -38,16 +38,26 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
 
 def weighted_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      group_cols=()) -> DataFrame:
-    """Accuracy and support-weighted precision/recall/F1 (V4)."""
+    """Accuracy and support-weighted precision/recall/F1 (V4).
+
+    One pass over the predictions builds the (truth, prediction) count table;
+    each pair then feeds its truth class (support, hits) and its predicted
+    class (predicted count), so per-class totals need a single small
+    aggregation and no join.
+    """
     g = list(group_cols)
-    pairs = df.groupBy(*g, F.col(label).alias("__y"), F.col(prediction).alias("__p")) \
+    pairs = df.groupBy(*g, F.col(label).cast("string").alias("__y"),
+                       F.col(prediction).cast("string").alias("__p")) \
         .agg(F.count(F.lit(1)).alias("__c"))
-    support = pairs.groupBy(*g, F.col("__y").alias("__cls")).agg(F.sum("__c").alias("__sup"))
-    predicted = pairs.groupBy(*g, F.col("__p").alias("__cls")).agg(F.sum("__c").alias("__pred"))
-    hits = pairs.filter(F.col("__y") == F.col("__p")) \
-        .groupBy(*g, F.col("__y").alias("__cls")).agg(F.sum("__c").alias("__tp"))
-    per = support.join(predicted, [*g, "__cls"], "full").join(hits, [*g, "__cls"], "left") \
-        .fillna(0, ["__sup", "__pred", "__tp"])
+    hit = F.when(F.col("__y") == F.col("__p"), F.col("__c")).otherwise(F.lit(0))
+    sides = F.array(
+        F.struct(F.col("__y").alias("cls"), F.col("__c").alias("sup"), F.lit(0).cast("long").alias("pred"),
+                 hit.cast("long").alias("tp")),
+        F.struct(F.col("__p").alias("cls"), F.lit(0).cast("long").alias("sup"), F.col("__c").alias("pred"),
+                 F.lit(0).cast("long").alias("tp")))
+    per = pairs.select(*g, F.explode(sides).alias("s")) \
+        .groupBy(*g, F.col("s.cls").alias("__cls")) \
+        .agg(F.sum("s.sup").alias("__sup"), F.sum("s.pred").alias("__pred"), F.sum("s.tp").alias("__tp"))
     prec = _ratio(F.col("__tp"), F.col("__pred"))
     rec = _ratio(F.col("__tp"), F.col("__sup"))
     f1 = _ratio(F.lit(2) * F.col("__tp"), F.col("__sup") + F.col("__pred"))
@@ -82,15 +92,17 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive=
 def roc_auc_ovr(df: DataFrame, label: str, prob_cols: dict, group_cols=()) -> DataFrame:
     """One-vs-rest ROC-AUC averaged with class prevalence weights (V6).
 
-    ``prob_cols`` maps each class value to its score column.
+    ``prob_cols`` maps each class value to its score column; the per-class
+    (is_class, score) pairs are produced by one explode over a single scan.
     """
     g = list(group_cols)
-    stacked = None
-    for cls, col in prob_cols.items():
-        part = df.select(*g, F.lit(str(cls)).alias("__cls"),
-                         (F.col(label).cast("string") == F.lit(str(cls))).cast("int").alias("__y"),
-                         F.col(col).cast("double").alias("__score"))
-        stacked = part if stacked is None else stacked.unionByName(part)
+    y = F.col(label).cast("string")
+    pairs = F.array(*[F.struct(F.lit(str(cls)).alias("cls"),
+                               (y == F.lit(str(cls))).cast("int").alias("y"),
+                               F.col(col).cast("double").alias("score"))
+                      for cls, col in prob_cols.items()])
+    stacked = df.select(*g, F.explode(pairs).alias("__s")).select(
+        *g, F.col("__s.cls").alias("__cls"), F.col("__s.y").alias("__y"), F.col("__s.score").alias("__score"))
     per = roc_auc(stacked, "__y", "__score", 1, [*g, "__cls"])
     return per.groupBy(*g).agg(
         (F.sum(F.col("roc_auc") * F.col("n_pos")) / F.sum("n_pos")).alias("roc_auc_ovr_weighted"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rates import with_rate
-from ..operators.filters import filter_courses
+from ..operators.filters import course_predicate, filter_courses
 from ..sources.testdata import course_view
 
 # Course-view equivalents of the study's degree / name filters.
@@ -34,9 +34,15 @@ def courses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return course_view(spark, sf_dir)
 
 
+def course_filter(part_df):
+    """Degree + name predicate on the course attributes (prunes lines early)."""
+    return course_predicate(part_df, TEST_DEGREE, TEST_NAME)
+
+
 def filtered_courses(spark: SparkSession, sf_dir: str, min_entrants: int = 10) -> DataFrame:
     """Course view after the feature-build filters (degree, name, QT_ING > 10)."""
-    return filter_courses(courses(spark, sf_dir), TEST_DEGREE, TEST_NAME, min_entrants)
+    view = course_view(spark, sf_dir, part_filter=course_filter)
+    return filter_courses(view, TEST_DEGREE, TEST_NAME, min_entrants)
 
 
 def rated_courses(spark: SparkSession, sf_dir: str, kind: str = "R2") -> DataFrame:

@@ -32,7 +32,9 @@ def q_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _root_courses(spark, sf_dir):
     """Root-script filter: degree and name only (the volume rule belongs to R1)."""
-    c = courses(spark, sf_dir)
+    from ..sources.testdata import course_view
+    from .common import course_filter
+    c = course_view(spark, sf_dir, part_filter=course_filter)
     return c.filter(course_predicate(c, TEST_DEGREE, TEST_NAME))
 
 

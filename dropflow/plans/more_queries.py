@@ -73,7 +73,9 @@ def yearly_course_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.filters import filter_courses
     from ..functions.features import add_features
     from ..operators.columns import drop_leakage
-    base = course_view_by(spark, sf_dir, F.year("l_shipdate").cast("string").alias("ANO_BASE"))
+    from .common import course_filter
+    base = course_view_by(spark, sf_dir, F.year("l_shipdate").cast("string").alias("ANO_BASE"),
+                          part_filter=course_filter)
     base = filter_courses(base, deg, nm, 10)
     base = drop_present(drop_prefix(base, "NO_"), ["NU_ANO_CENSO", "SG_UF", "CO_IES"])
     return drop_leakage(add_features(with_rate(base, "R2")))
@@ -88,7 +90,9 @@ def q_mega_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def root_full_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full filtered table of the root script: R1 percent rate, drops."""
-    c = courses(spark, sf_dir)
+    from ..sources.testdata import course_view
+    from .common import course_filter
+    c = course_view(spark, sf_dir, part_filter=course_filter)
     c = c.filter(course_predicate(c, TEST_DEGREE, TEST_NAME))
     rated = with_rate(c, "R1")
     return drop_present(drop_prefix(rated, "NO_"), ROOT_DROP)

@@ -24,11 +24,11 @@ def _flag(cond) -> "F.Column":
     return F.sum(F.when(cond, 1).otherwise(0))
 
 
-def course_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return course_view_by(spark, sf_dir)
+def course_view(spark: SparkSession, sf_dir: str, part_filter=None) -> DataFrame:
+    return course_view_by(spark, sf_dir, part_filter=part_filter)
 
 
-def course_view_by(spark: SparkSession, sf_dir: str, by=None) -> DataFrame:
+def course_view_by(spark: SparkSession, sf_dir: str, by=None, part_filter=None) -> DataFrame:
     """Course-like view: lineitem aggregated per part (and optional key ``by``,
     e.g. a census year derived from the ship date), then joined to part.
 
@@ -36,8 +36,28 @@ def course_view_by(spark: SparkSession, sf_dir: str, by=None) -> DataFrame:
     reduced to one partial row per part and map task before any shuffle, and
     the join then sees one row per part on each side, so a part holding a large
     share of lines never produces a hot join key.
+
+    ``part_filter(part_df) -> Column`` restricts courses by their own
+    attributes (name, degree). The qualifying keys also prune lineitem
+    *before* the aggregation through a broadcast semi-join, but only when the
+    key set is proven small; otherwise the filter applies after aggregation.
     """
     li = table(spark, sf_dir, "lineitem")
+    part = table(spark, sf_dir, "part").select(
+        F.col("p_partkey"),
+        F.col("p_partkey").alias("CO_CURSO"),
+        F.col("p_name").alias("NO_CURSO"),
+        (F.lit(1) + F.col("p_size") % 3).alias("TP_GRAU_ACADEMICO"),
+        (F.lit(1) + F.col("p_partkey") % 5).alias("CO_REGIAO"),
+        (F.lit(1) + F.col("p_size") % 2).alias("TP_REDE"),
+    )
+    if part_filter is not None:
+        cond = part_filter(part)
+        part = part.filter(cond)
+        keys = part.select(F.col("p_partkey").alias("l_partkey"))
+        check = (os.path.join(sf_dir, "part.parquet"), str(cond))
+        if _is_small(keys, SEMIJOIN_BROADCAST_MAX_KEYS, check):
+            li = li.join(F.broadcast(keys), "l_partkey", "left_semi")
     q = F.col("l_quantity")
     keys = [F.col("l_partkey").alias("p_partkey")] + ([by] if by is not None else [])
     per_part = li.groupBy(*keys).agg(
@@ -66,29 +86,34 @@ def course_view_by(spark: SparkSession, sf_dir: str, by=None) -> DataFrame:
         _flag(F.col("l_tax") >= 0.01).alias("QT_VG_TOTAL"),
         F.sum(q).alias("QT_INSCRITO_TOTAL"),
     )
-    part = table(spark, sf_dir, "part").select(
-        F.col("p_partkey"),
-        F.col("p_partkey").alias("CO_CURSO"),
-        F.col("p_name").alias("NO_CURSO"),
-        (F.lit(1) + F.col("p_size") % 3).alias("TP_GRAU_ACADEMICO"),
-        (F.lit(1) + F.col("p_partkey") % 5).alias("CO_REGIAO"),
-        (F.lit(1) + F.col("p_size") % 2).alias("TP_REDE"),
-    )
     cols = ["CO_CURSO", "NO_CURSO", "TP_GRAU_ACADEMICO", "CO_REGIAO", "TP_REDE"] + \
         [c for c in per_part.columns if c != "p_partkey"]
     # the part side is one row per key; broadcast it only when its size is known small
-    part = _maybe_broadcast(part)
+    part = _maybe_broadcast(part, key=os.path.join(sf_dir, "part.parquet"))
     return part.join(per_part, "p_partkey", "inner").select(*cols)
 
 
 PART_BROADCAST_MAX_ROWS = 2_000_000
+SEMIJOIN_BROADCAST_MAX_KEYS = 5_000_000
+
+_SIZE_CHECKS: dict = {}
+
+
+def _is_small(df: DataFrame, max_rows: int, key=None) -> bool:
+    """Row count <= max_rows, counting at most max_rows + 1 rows; the answer is
+    remembered per input (tables are immutable inputs within a session)."""
+    small = _SIZE_CHECKS.get(key) if key is not None else None
+    if small is None:
+        small = df.limit(max_rows + 1).count() <= max_rows
+        if key is not None:
+            _SIZE_CHECKS[key] = small
+    return small
 
 
-def _maybe_broadcast(df: DataFrame, max_rows: int = PART_BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check (Parquet footers make the
-    count cheap); above the bound the join stays a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def _maybe_broadcast(df: DataFrame, max_rows: int = PART_BROADCAST_MAX_ROWS, key=None) -> DataFrame:
+    """Broadcast hint only behind a row-count check; above the bound the join
+    stays a shuffle join."""
+    return F.broadcast(df) if _is_small(df, max_rows, key) else df
 
 
 # The same view as SQL text (Spark SQL and DuckDB both accept it); the oracle
