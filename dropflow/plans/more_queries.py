@@ -242,9 +242,10 @@ def q_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quartile_scored(spark, sf_dir):
-    f = feature_table(spark, sf_dir)
-    lab = quartile_labelled(spark, sf_dir).select("CO_CURSO", "NIVEL_RISCO")
-    return f.join(lab, "CO_CURSO", "inner")
+    """Feature table labelled with the quartile classes (one lineage, no self-join)."""
+    from ..operators.labels import label_quartile
+    out, _ = label_quartile(feature_table(spark, sf_dir))
+    return out
 
 
 SCORE_BY_CLASS = {"muito baixo risco": "FEAT_PCT_ING_FEM", "baixo risco": "FEAT_PCT_ING_JOVEM",

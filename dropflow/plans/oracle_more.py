@@ -32,7 +32,8 @@ def _auc_sql(src: str, label_pos: str, score: str, group: list[str]) -> str:
     g = ", ".join(group)
     gsel = (g + ", ") if group else ""
     part = f"PARTITION BY {g} " if group else ""
-    return f"""SELECT {gsel}CAST(sum(pos * (below + 0.5::DOUBLE * neg)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS roc_auc,
+    return f"""SELECT {gsel}CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+    THEN CAST(sum(pos * (below + 0.5::DOUBLE * neg)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) END AS roc_auc,
   CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
 FROM (SELECT {gsel}s, pos, neg, coalesce(sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
       FROM (SELECT {gsel}CAST({score} AS DOUBLE) AS s, sum(CASE WHEN {label_pos} THEN 1 ELSE 0 END) AS pos,
