@@ -23,6 +23,7 @@ from ..operators.models import classifiers, importance_frame, importances, regre
 from ..operators.prep import Preprocess
 from ..operators.split import train_test
 from ..operators.stats import class_weights, positive_ratio
+from ..session import ensure_checkpoint_dir
 
 METRIC_SCHEMA_BIN = ("Arquivo string, Modelo string, Accuracy double, `F1-score (Alto Risco)` double, "
                      "`ROC-AUC` double, `Precision (Alto Risco)` double, `Recall (Alto Risco)` double, "
@@ -59,6 +60,7 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
                       categorical: str = "ordinal", only=None, roles=None):
     """Fit the profile's classifiers on one labelled table; returns (metrics_df, importance_df)."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)  # boosted trees checkpoint their lineage every 10 rounds
     multi = task == "quartile"
     lab = label_code(F.col(target)) if multi else F.col(target)
     data = df.withColumn("label", lab.cast("double"))
@@ -116,6 +118,7 @@ def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset"
                      categorical: str = "ordinal", only=None, roles=None, with_mlp: bool = True):
     """Fit the profile's regressors; metrics on the original scale (expm1 + clip) (V7/V8)."""
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     y = F.col(target).cast("double")
     data = df.filter(y.isNotNull()).withColumn("label", F.log1p(y) if log_target else y)
     tr, te, prep, cached = _prepared(data, target, list(key_cols) + [target], numeric, categorical, None, roles)
