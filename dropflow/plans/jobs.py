@@ -194,7 +194,7 @@ UNRESTRICTED = UNRESTRICTED_EXCLUDE
 
 # --- Entry C: one-file predictor --------------------------------------------------------------
 
-def predictor(spark: SparkSession, path: str, model_dir: str | None = None, sep: str = ",",
+def predictor(spark: SparkSession, path: str, model_dir: str | None = None, sep: str = ";",
               only_reg=None, only_cls=None, cfg: StudyConfig = StudyConfig()):
     """Scan -> degree+name -> R4 -> drops -> roles -> regressors and median-label
     classifiers (median imputation + scaling, one-hot categories) -> saved models."""

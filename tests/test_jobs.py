@@ -109,3 +109,23 @@ def test_clean_2021(spark, census_dir, tmp_dir):
     res = clean_2021(spark, utf, cfg=CFG)
     assert "NO_CURSO" in res.columns  # the reference keeps names (its drop is overwritten)
     assert res.count() == res.dropna().count()
+
+
+def test_predictor_and_union_evaluation(spark, census_dir, tmp_dir):
+    from dropflow.config import REDUCED_FEATURES
+    from dropflow.plans.jobs import evaluate_union, predictor, save_models
+    from dropflow.plans.model_queries import model_table
+    path = os.path.join(census_dir, "MICRODADOS_CADASTRO_CURSOS_2022.CSV")
+    cfg = StudyConfig(course_name="")  # every course: the widget subset is below the 50-row guard
+    reg, cls, thr = predictor(spark, path, os.path.join(tmp_dir, "models"), only_reg=["RandomForest"],
+                              only_cls=["LogisticRegression"], cfg=cfg)
+    assert [r["modelo"] for r in reg.collect()] == ["RandomForest"]
+    assert [r["Modelo"] for r in cls.collect()] == ["LogisticRegression"] and thr > 0
+    assert spark.read.parquet(os.path.join(tmp_dir, "models", "metrics_regression")).count() == 1
+    frames = {"2022": model_table(spark, SF001), "2023": model_table(spark, SF001)}
+    m, imp, t = evaluate_union(spark, frames, keep=REDUCED_FEATURES, only=["LogisticRegression"])
+    assert m.count() == 1 and imp.count() > 0
+    from pyspark.ml.feature import StringIndexer
+    model = StringIndexer(inputCol="c", outputCol="i").fit(spark.createDataFrame([("a",)], "c string"))
+    save_models({"idx": model}, os.path.join(tmp_dir, "saved"))
+    assert os.path.isdir(os.path.join(tmp_dir, "saved", "idx"))
