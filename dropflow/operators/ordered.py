@@ -25,28 +25,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BK = "__bk"
-MAX_BUCKETS = 4096
-BOUNDS_BROADCAST_MAX_GROUPS = 20_000
+MAX_BUCKETS = 4096          # whole-table order: one row of boundaries
+MAX_GROUP_BUCKETS = 256     # per group: bounds table = groups x buckets doubles
 
 
-def _buckets(df: DataFrame, num_buckets: int | None) -> int:
+def _buckets(df: DataFrame, num_buckets: int | None, grouped: bool) -> int:
     if num_buckets:
         return int(num_buckets)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_BUCKETS, n))
+    return max(2, min(MAX_GROUP_BUCKETS if grouped else MAX_BUCKETS, n))
 
 
 def with_buckets(df: DataFrame, key, group_cols=(), num_buckets: int | None = None) -> DataFrame:
     """Add ``__bk``: an order-preserving bucket of ``key`` within each group."""
     group_cols = list(group_cols)
-    b = _buckets(df, num_buckets)
+    b = _buckets(df, num_buckets, bool(group_cols))
     k = F.col(key).cast("double") if isinstance(key, str) else key.cast("double")
     probs = [i / b for i in range(1, b)]
     bounds = df.groupBy(*group_cols).agg(
         F.percentile_approx(k, probs, 10 * b).alias("__b"))
     if group_cols:
-        small = bounds.limit(BOUNDS_BROADCAST_MAX_GROUPS + 1).count() <= BOUNDS_BROADCAST_MAX_GROUPS
-        d = df.join(F.broadcast(bounds) if small else bounds, group_cols, "inner")
+        # one row per group; adaptive execution broadcasts it from its measured
+        # size (no extra counting job), a shuffle join handles many groups
+        d = df.join(bounds, group_cols, "inner")
     else:
         # a single row of boundaries
         d = df.crossJoin(F.broadcast(bounds))

@@ -14,9 +14,6 @@ from pyspark.sql import functions as F
 
 from .ordered import ordered_cumsum
 
-BROADCAST_MAX_ROWS = 100_000  # small side of a join is broadcast only under this
-
-
 def _pname(p: float) -> str:
     return "q" + ("%g" % (p * 100)).replace(".", "_")
 
@@ -106,15 +103,15 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c) attached to every row.
 
-    The per-class table has one row per class; it is broadcast after checking
-    its size, and joined by shuffle otherwise.
+    The per-class table has one row per class. It is derived from the data,
+    so no hint is forced: adaptive execution broadcasts it from the measured
+    size of its shuffle stage, without a separate counting job.
     """
     counts = class_counts(df, label)
-    totals = counts.agg(F.sum("n").alias("__N"), F.count(F.lit(1)).alias("__K"))
+    totals = F.broadcast(counts.agg(F.sum("n").alias("__N"), F.count(F.lit(1)).alias("__K")))  # one row
     w = counts.crossJoin(totals).select(
         label, (F.col("__N") / (F.col("__K") * F.col("n"))).cast("double").alias(out))
-    small = w.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-    return df.join(F.broadcast(w) if small else w, label, "left")
+    return df.join(w, label, "left")
 
 
 def positive_ratio(df: DataFrame, label: str) -> float:
@@ -146,8 +143,9 @@ def box_stats(df: DataFrame, value: str, categories, probs=(0.25, 0.5, 0.75)) ->
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr")) \
          .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
-    small = q.limit(BROADCAST_MAX_ROWS + 1).count() <= BROADCAST_MAX_ROWS
-    j = long.join(F.broadcast(q) if small else q, ["variable", "category"], "inner")
+    # one row per (variable, category): adaptive execution broadcasts it when
+    # its measured size is small, otherwise the join stays a shuffle join
+    j = long.join(q, ["variable", "category"], "inner")
     inside = (F.col("__val") >= F.col("lower_fence")) & (F.col("__val") <= F.col("upper_fence"))
     agg = j.groupBy("variable", "category").agg(
         F.count(F.lit(1)).alias("n"),
