@@ -114,13 +114,36 @@ def root_filter(spark: SparkSession, input_dir: str, output_dir: str, fmt: str =
 
 # --- Entry B and relatives: evaluation over tables -------------------------------------------
 
+PROFILE_PREP = {
+    # engineered-feature scripts: QT_/FEAT_ numeric, ids ignored, zero-impute + scale
+    "g3": dict(numeric="zero+scale", categorical="ordinal"),
+    # root scripts: QT_ numeric, everything else ordinal, scale only
+    "g2": dict(numeric="scale", categorical="ordinal"),
+    # one-file predictor: median-impute + scale, mode + one-hot
+    "g1": dict(numeric="median+scale", categorical="onehot"),
+}
+
+
 def evaluate_tables(spark: SparkSession, tables: dict, task: str = "quartile", profile: str = "g3",
                     key_cols=("CO_CURSO",), min_rows: int = 50, only=None,
-                    binary_op: str = ">", binary_min_volume: int | None = 10):
-    """Label, guard and train on every table; returns (metrics, importances, thresholds, status)."""
+                    binary_op: str = ">", binary_min_volume: int | None = 10,
+                    keep=None, exclude=None, complete: bool = False):
+    """Label, guard and train on every table; returns (metrics, importances, thresholds, status).
+
+    ``keep``/``exclude`` restrict columns per table (reduced / unrestricted
+    variants) and ``complete`` drops incomplete rows first. The root scripts'
+    rule is ``profile='g2', binary_op='>=', binary_min_volume=1``.
+    """
     metrics, imps, thr_rows, rows = [], [], [], []
+    prep = PROFILE_PREP[profile]
     for name, df in tables.items():
         try:
+            if keep is not None:
+                df = keep_present(df, keep)
+            if exclude is not None:
+                df = keep_except(df, exclude)
+            if complete:
+                df = complete_cases(df)
             df = df.persist()
             if task == "quartile":
                 labelled, (q1, q2, q3) = label_quartile(df)
@@ -136,10 +159,16 @@ def evaluate_tables(spark: SparkSession, tables: dict, task: str = "quartile", p
             if not ok:
                 rows.append((name, "skipped", reason))
                 continue
+            roles = None
+            if profile != "g3":
+                roles = roles_by_prefix(labelled, ("QT_",), exclude=[target, RATE, *key_cols])
+            keys = [k for k in key_cols if k in labelled.columns] or [labelled.columns[0]]
             if task == "regression":
-                m, imp = train_regressors(labelled, RATE, name, profile, key_cols, only=only)
+                m, imp = train_regressors(labelled, RATE, name, profile, keys, only=only, roles=roles,
+                                          **prep)
             else:
-                m, imp = train_classifiers(labelled, target, name, task, profile, key_cols, only=only)
+                m, imp = train_classifiers(labelled, target, name, task, profile, keys, only=only,
+                                           roles=roles, **prep)
             metrics.append(m)
             if imp is not None:
                 imps.append(imp)

@@ -129,3 +129,16 @@ def test_predictor_and_union_evaluation(spark, census_dir, tmp_dir):
     model = StringIndexer(inputCol="c", outputCol="i").fit(spark.createDataFrame([("a",)], "c string"))
     save_models({"idx": model}, os.path.join(tmp_dir, "saved"))
     assert os.path.isdir(os.path.join(tmp_dir, "saved", "idx"))
+
+
+def test_evaluate_tables_root_profile_reduced(spark):
+    from dropflow.config import REDUCED_FEATURES
+    from dropflow.plans.model_queries import model_table
+    tables = {"2022": model_table(spark, SF001)}
+    metrics, imps, thr, status = evaluate_tables(spark, tables, task="binary", profile="g2",
+                                                 binary_op=">=", binary_min_volume=1,
+                                                 keep=REDUCED_FEATURES, only=["LogisticRegression"])
+    assert [r["status"] for r in status.collect()] == ["ok"]
+    feats = {r["Feature"] for r in imps.collect()}
+    assert "QT_ING" in feats and "CO_REGIAO" in feats and "CO_CURSO" not in feats
+    assert not any(f.startswith("FEAT_") for f in feats)  # outside the reduced keep-list
