@@ -55,7 +55,11 @@ def q_union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "o_orderstatus", "o_orderpriority")
     frames = []
     for y in _years(o, "o_orderdate"):
-        part = o.filter(F.year("o_orderdate") == y).drop("o_orderdate")
+        # a date range (not year(col) == y) is pushed to the Parquet scan, so
+        # each yearly branch reads only row groups whose min/max overlap it
+        in_year = (F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp")) & \
+                  (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp"))
+        part = o.filter(in_year).drop("o_orderdate")
         part = part.drop("o_orderpriority") if y % 2 == 0 else part.drop("o_orderstatus")
         frames.append(part.withColumn("ANO_BASE", year_from_name(F.lit(f"MICRODADOS_{y}.CSV"))))
     return round_doubles(union_by_name(frames))
