@@ -196,6 +196,31 @@ def tables_from_dir(spark: SparkSession, directory: str, fmt: str = "parquet") -
     return tables
 
 
+def tables_from_files(spark: SparkSession, directory: str, patterns=("COMPLETO_*", "ANALISE_*"),
+                      rename=None, prefix: str = "", recursive: bool = True) -> dict:
+    """Evaluation tables written by ``root_filter`` (one per input file), found
+    by several name patterns (S6c) and named after their file (E21): an
+    optional ``rename=(old, new)`` rewrite of the name, then ``prefix``."""
+    paths = set()
+    for pat in patterns:
+        paths.update(_dirs_matching(spark, directory, pat, recursive))
+    out = {}
+    for p in sorted(paths):
+        name = posixpath.basename(p.rstrip("/"))
+        if rename:
+            name = name.replace(*rename)
+        out[prefix + name] = read_table(spark, p)
+    return out
+
+
+def _dirs_matching(spark: SparkSession, directory: str, pattern: str, recursive: bool):
+    """Table directories (Parquet output folders) whose name matches ``pattern``."""
+    import fnmatch
+    files = list_tables(spark, directory, "*.parquet", recursive=recursive)
+    dirs = {posixpath.dirname(f) for f in files}
+    return [d for d in dirs if fnmatch.fnmatchcase(posixpath.basename(d), pattern)]
+
+
 def evaluate_union(spark: SparkSession, frames: dict, keep=None, exclude=None,
                    profile: str = "g2", only=None, key_cols=("CO_CURSO",)):
     """Concatenate years (reduced keep-list or all-but-exclude), drop incomplete

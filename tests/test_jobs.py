@@ -142,3 +142,12 @@ def test_evaluate_tables_root_profile_reduced(spark):
     feats = {r["Feature"] for r in imps.collect()}
     assert "QT_ING" in feats and "CO_REGIAO" in feats and "CO_CURSO" not in feats
     assert not any(f.startswith("FEAT_") for f in feats)  # outside the reduced keep-list
+
+
+def test_tables_from_files_after_root_filter(spark, census_dir, tmp_dir):
+    from dropflow.plans.jobs import tables_from_files
+    root_filter(spark, census_dir, tmp_dir, cfg=CFG)
+    tabs = tables_from_files(spark, tmp_dir, rename=("ANALISE_EVASAO_", "REDUZIDO_"))
+    assert sorted(tabs) == ["COMPLETO_LETRAS_LIC_MICRODADOS_CADASTRO_CURSOS_2022.CSV",
+                            "REDUZIDO_MICRODADOS_CADASTRO_CURSOS_2022.CSV"]
+    assert all(t.count() > 0 for t in tabs.values())
