@@ -55,15 +55,22 @@ def with_buckets(df: DataFrame, key, group_cols=(), num_buckets: int | None = No
 
 
 def ordered_cumsum(df: DataFrame, order_cols, weight_col: str, group_cols=(),
-                   out: str = "_cum", num_buckets: int | None = None) -> DataFrame:
+                   out: str = "_cum", num_buckets: int | None = None,
+                   bucket=None) -> DataFrame:
     """Add ``out`` = inclusive running sum of ``weight_col`` by ``order_cols`` within groups.
 
     The leading order column must be numeric. Rows must be unique on
-    ``group_cols + order_cols`` for a deterministic result.
+    ``group_cols + order_cols`` for a deterministic result. ``bucket`` may
+    supply an integer Column that is non-decreasing in the order (e.g. the
+    top bits of a uniform hash); otherwise buckets come from per-group
+    approximate quantiles.
     """
     order_cols = [order_cols] if isinstance(order_cols, str) else list(order_cols)
     group_cols = list(group_cols)
-    d = with_buckets(df, order_cols[0], group_cols, num_buckets)
+    if bucket is not None:
+        d = df.withColumn(_BK, bucket)
+    else:
+        d = with_buckets(df, order_cols[0], group_cols, num_buckets)
     totals = d.groupBy(*group_cols, _BK).agg(F.sum(weight_col).alias("__pt"))
     before = Window.partitionBy(*group_cols).orderBy(_BK) \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -81,8 +88,9 @@ def ordered_cumsum(df: DataFrame, order_cols, weight_col: str, group_cols=(),
 
 
 def global_rank(df: DataFrame, order_cols, group_cols=(), out: str = "_rank",
-                num_buckets: int | None = None) -> DataFrame:
+                num_buckets: int | None = None, bucket=None) -> DataFrame:
     """0-based row position by ``order_cols`` within groups (rows should be unique)."""
     w = df.withColumn("__one", F.lit(1).cast("long"))
-    res = ordered_cumsum(w, order_cols, "__one", group_cols, out="__cum", num_buckets=num_buckets)
+    res = ordered_cumsum(w, order_cols, "__one", group_cols, out="__cum", num_buckets=num_buckets,
+                         bucket=bucket)
     return res.withColumn(out, F.col("__cum") - F.lit(1)).drop("__one", "__cum")
