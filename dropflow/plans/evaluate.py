@@ -45,16 +45,19 @@ def _prepared(df: DataFrame, target: str, key_cols, numeric: str, categorical: s
     train, test = train_test(df, key_cols, 0.2, 42, stratify=stratify)
     train, test = train.persist(), test.persist()
     prep = Preprocess(num, cat, numeric=numeric, categorical=categorical).fit(train)
-    keep = ["features", "label"]
-    # a fixed row layout (hash-partitioned and sorted by key) makes bagging and
-    # subsampling reproducible across reruns and task retries
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tr = prep.transform(train).repartition(parts, *key_cols[:1]).sortWithinPartitions(*key_cols[:1]) \
-        .select(*keep)
-    te = prep.transform(test).select(*keep)
+    tr = prep.transform(train).select("features", "label", F.col(key_cols[0]).alias("__key"))
+    te = prep.transform(test).select("features", "label")
     return tr, te, prep, (df, train, test)
 
 
+def _fixed_layout(tr: DataFrame) -> DataFrame:
+    """Hash-partition and sort the training rows by key as the last step before
+    fitting: bagging and subsampling then see the same rows in the same order
+    on every rerun and task retry, whatever joins ran before."""
+    parts = int(tr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tr.repartition(parts, "__key").sortWithinPartitions("__key").drop("__key")
+
+
 def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task: str = "binary",
                       profile: str = "g3", key_cols=("CO_CURSO",), numeric: str = "zero+scale",
                       categorical: str = "ordinal", only=None, roles=None):
@@ -68,7 +71,7 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
     tr = class_weights(tr, "label", "weight")
     ratio = positive_ratio(tr, "label") if not multi else 1.0
     tr = tr.withColumn("__posw", F.when(F.col("label") == 1.0, F.lit(ratio)).otherwise(F.lit(1.0)))
-    tr = tr.persist()
+    tr = _fixed_layout(tr).persist()
     te = te.persist()
     tr.count()
     te.count()
@@ -122,7 +125,7 @@ def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset"
     y = F.col(target).cast("double")
     data = df.filter(y.isNotNull()).withColumn("label", F.log1p(y) if log_target else y)
     tr, te, prep, cached = _prepared(data, target, list(key_cols) + [target], numeric, categorical, None, roles)
-    tr, te = tr.persist(), te.persist()
+    tr, te = _fixed_layout(tr).persist(), te.persist()
     tr.count()
     te.count()
     for c in cached:

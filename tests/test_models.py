@@ -18,6 +18,7 @@ def test_random_forest_is_reproducible(spark):
         runs.append((r["Accuracy"], r["ROC-AUC (weighted, ovr)"]))
         total = sum(x["Importance"] for x in imp.collect())
         assert total == pytest.approx(1.0)
-    assert runs[0] == runs[1]
+    # equal up to the order of floating-point sums across partitions
+    assert runs[0] == pytest.approx(runs[1], abs=1e-12)
     top = top_k(imp, 5).collect()
     assert len(top) == 5 and [x["rank"] for x in top] == [1, 2, 3, 4, 5]
