@@ -106,17 +106,25 @@ def q_share_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- thresholds and labels -------------------------------------------------
 
 def q_threshold_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median thresholds of the three binary rules, one row."""
+    """Median thresholds of the three binary rules in one job (A1/A2/F8).
+
+    Each rule's threshold population is tagged and the union goes through one
+    grouped exact-quantile job keyed by rule; a rule with no qualifying row
+    gets 0.0.
+    """
     r2 = rated_courses(spark, sf_dir, "R2")
     r1 = with_rate(_root_courses(spark, sf_dir), "R1")
     r4 = with_rate(_root_courses(spark, sf_dir), "R4")
-    from ..operators.stats import rate_threshold
-    t_gt = rate_threshold(r2, min_volume=10)
-    t_ge = rate_threshold(r1, min_volume=1)
-    t_all = rate_threshold(r4, min_volume=None, positive_only=False)
-    return round_doubles(spark.createDataFrame(
-        [(float(t_gt), float(t_ge), float(t_all))],
-        "threshold_gt double, threshold_ge double, threshold_all double"))
+    pops = [
+        r2.filter((F.col(RATE) > 0) & (F.col("QT_ING") >= 10)).select(F.lit("gt").alias("rule"), RATE),
+        r1.filter((F.col(RATE) > 0) & (F.col("QT_ING") >= 1)).select(F.lit("ge").alias("rule"), RATE),
+        r4.filter(F.col(RATE).isNotNull()).select(F.lit("all").alias("rule"), RATE),
+    ]
+    med = exact_quantiles(pops[0].unionByName(pops[1]).unionByName(pops[2]), RATE, [0.5], ["rule"],
+                          names=["median"])
+    pick = lambda r: F.coalesce(F.max(F.when(F.col("rule") == r, F.col("median"))), F.lit(0.0))
+    return round_doubles(med.agg(pick("gt").alias("threshold_gt"), pick("ge").alias("threshold_ge"),
+                                 pick("all").alias("threshold_all")))
 
 
 def q_label_binary_gt(spark: SparkSession, sf_dir: str) -> DataFrame:
