@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import QUARTILE_LABELS, RATE
+from ..config import RATE
 from ..functions.features import FEATURE_NAMES, add_features
-from ..functions.numeric import num, to_numeric
+from ..functions.numeric import to_numeric
 from ..functions.rates import with_rate
 from ..operators.columns import drop_leakage, drop_prefix, drop_present
 from ..operators.filters import complete_cases, course_predicate, filter_audit

@@ -8,7 +8,6 @@ status rows, thresholds and metric rows reach the driver.
 from __future__ import annotations
 
 import json
-import os
 import posixpath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from ..operators.columns import (drop_leakage, drop_prefix, drop_present, keep_e
                                  roles_by_prefix)
 from ..operators.filters import check_eligible, complete_cases, course_predicate, filter_courses
 from ..operators.labels import DuplicateEdges, label_binary, label_quartile
-from ..operators.union import consolidate, union_by_name
+from ..operators.union import union_by_name
 from ..sources.csv import list_tables, read_table, scan_csv, write_table
 from ..session import prepare_for_wide_tables
 from .evaluate import train_classifiers, train_regressors
@@ -354,5 +353,5 @@ def year_tables(spark: SparkSession, directory: str) -> dict:
 
 
 __all__ = ["feature_pipeline", "build_features", "root_filter", "evaluate_tables", "evaluate_union",
-           "predictor", "collect_metrics", "clean_2021", "box_stats_job", "save_models",
-           "consolidate", "os"]
+           "tables_from_dir", "tables_from_files", "predictor", "collect_metrics", "clean_2021",
+           "box_stats_job", "save_models", "year_tables"]
