@@ -139,6 +139,8 @@ FROM courses"""
     keep = ", ".join(["CO_CURSO", "TP_GRAU_ACADEMICO", "CO_REGIAO", "TP_REDE"] + COUNT_COLS)
     q["q_feature_table"] = BASE_RATED + (f"SELECT {keep}, {r6('QT_INSCRITO_TOTAL')} AS QT_INSCRITO_TOTAL, "
                                          f"{r6('TX_EVASAO')} AS TX_EVASAO, {feature_select()} FROM rated")
+    q["q_simple_table"] = BASE_RATED + (f"SELECT {keep}, {r6('QT_INSCRITO_TOTAL')} AS QT_INSCRITO_TOTAL, "
+                                        f"{r6('TX_EVASAO')} AS TX_EVASAO FROM rated")
     q["q_share_by_region"] = with_ctes(COURSES, FILTERED, RATED, FEATURES_CTE) + f"""SELECT CO_REGIAO,
   count(*) AS n_courses, {r6('sum(FEAT_PCT_ING_JOVEM)')} AS sum_pct_jovem,
   {r6('sum(FEAT_PCT_ING_PRETA_PARDA)')} AS sum_pct_preta_parda,

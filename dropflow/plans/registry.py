@@ -12,7 +12,8 @@ COURSE = ["q_filter_courses", "q_filter_audit", "q_rate_r1", "q_rate_r2", "q_rat
           "q_rate_r4", "q_rate_r5", "q_to_numeric", "q_features", "q_feature_table",
           "q_share_by_region", "q_threshold_median", "q_label_binary_gt",
           "q_label_binary_ge", "q_label_binary_median", "q_quartiles",
-          "q_label_quartile", "q_class_counts", "q_class_weights", "q_complete_cases"]
+          "q_label_quartile", "q_class_counts", "q_class_weights", "q_complete_cases",
+          "q_simple_table"]
 MORE = ["q_box_stats", "q_box_stats_events", "q_union_years", "q_mega_dataset", "q_root_filter",
         "q_analysis_table", "q_clean_categories", "q_ordinal_encode", "q_ordinal_unseen",
         "q_onehot", "q_impute_median", "q_impute_mode", "q_scale", "q_split_sizes",
