@@ -94,11 +94,11 @@ def q_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_simple_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple filter variant: the feature build without engineered features."""
-    from ..plans.jobs import feature_pipeline
+    from ..plans.jobs import build_course_features
     from ..config import StudyConfig
     view = courses(spark, sf_dir)
     cfg = StudyConfig(degree_code=TEST_DEGREE, course_name=TEST_NAME, min_volume=10)
-    return round_doubles(feature_pipeline(view, cfg, simple=True))
+    return round_doubles(build_course_features(view, cfg, simple=True))
 
 
 def q_share_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:

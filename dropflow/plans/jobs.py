@@ -41,7 +41,7 @@ def _status(spark, rows) -> DataFrame:
 
 # --- Entry A: feature build (and the simple variant) ----------------------------------
 
-def feature_pipeline(raw: DataFrame, cfg: StudyConfig = StudyConfig(), simple: bool = False) -> DataFrame:
+def build_course_features(raw: DataFrame, cfg: StudyConfig = StudyConfig(), simple: bool = False) -> DataFrame:
     """Filters -> id/name drops -> R2 rate -> 19 features (unless simple) -> leakage drop."""
     for required in ("TP_GRAU_ACADEMICO", "NO_CURSO", "QT_ING"):
         if required not in raw.columns:
@@ -66,7 +66,7 @@ def build_features(spark: SparkSession, input_dir: str, output_dir: str,
     for path in files:
         try:
             raw = scan_csv(spark, path, sep=";", encoding="ISO-8859-1")
-            out = feature_pipeline(raw, cfg, simple).withColumn("ANO_BASE", F.lit(_year_of(path)))
+            out = build_course_features(raw, cfg, simple).withColumn("ANO_BASE", F.lit(_year_of(path)))
             if out.limit(1).count() == 0:
                 rows.append((path, "skipped", "no rows after filters"))
                 continue
@@ -352,6 +352,6 @@ def year_tables(spark: SparkSession, directory: str) -> dict:
     return tables_from_dir(spark, directory)
 
 
-__all__ = ["feature_pipeline", "build_features", "root_filter", "evaluate_tables", "evaluate_union",
+__all__ = ["build_course_features", "build_features", "root_filter", "evaluate_tables", "evaluate_union",
            "tables_from_dir", "tables_from_files", "predictor", "collect_metrics", "clean_2021",
            "box_stats_job", "save_models", "year_tables"]

@@ -4,7 +4,7 @@ The reference processes a folder of yearly files in a batch. The streaming
 form of the same job watches the folder with Structured Streaming: a
 ``binaryFile`` stream selecting only the path (file contents are never read
 by the stream) records which files were seen in the checkpoint's source log,
-and ``foreachBatch`` runs the batch feature pipeline on the new files of each
+and ``foreachBatch`` runs the batch feature build on the new files of each
 micro-batch. Each file overwrites its own ``ANO_BASE`` partition, so a
 micro-batch replayed after a failure rewrites the same partitions (idempotent
 sink), and per-file failures are appended to a status table.
@@ -37,7 +37,7 @@ def start_feature_stream(spark: SparkSession, input_dir: str, output_dir: str, c
     ``available_now=True`` processes everything present and stops (scheduled
     runs); ``False`` keeps polling every minute.
     """
-    from ..plans.jobs import _year_of, feature_pipeline
+    from ..plans.jobs import _year_of, build_course_features
     from ..sources.csv import scan_csv, write_table
 
     prepare_for_wide_tables(spark)
@@ -51,7 +51,7 @@ def start_feature_stream(spark: SparkSession, input_dir: str, output_dir: str, c
         for path in paths:
             try:
                 raw = scan_csv(spark, path, sep=";", encoding="ISO-8859-1")
-                out = feature_pipeline(raw, cfg, simple).withColumn("ANO_BASE", F.lit(_year_of(path)))
+                out = build_course_features(raw, cfg, simple).withColumn("ANO_BASE", F.lit(_year_of(path)))
                 write_table(out, tables, partition_by="ANO_BASE", mode="overwrite")
                 rows.append((path, "ok", "", int(epoch_id)))
             except Exception as e:  # noqa: BLE001 - a bad file is recorded, the stream goes on
