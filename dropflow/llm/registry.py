@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_dedup, queries_models, queries_native, queries_tokens
+from . import queries_chat, queries_dedup, queries_models, queries_native, queries_tokens
 
-MODULES = (queries_dedup, queries_models, queries_native, queries_tokens)
+MODULES = (queries_chat, queries_dedup, queries_models, queries_native, queries_tokens)
 
 
 def llm_queries() -> dict:
