@@ -1,15 +1,18 @@
-"""Queries of this subpackage and their SQL."""
+"""Queries of this subpackage and of the pipeline, and their SQL."""
 
 from __future__ import annotations
 
-from . import queries_chat, queries_dedup, queries_models, queries_native, queries_tokens
+import corpus_pipeline
 
-MODULES = (queries_chat, queries_dedup, queries_models, queries_native, queries_tokens)
+from . import queries_chat, queries_dedup, queries_lines, queries_models, queries_native, queries_tokens
+
+MODULES = (queries_dedup, queries_chat, queries_tokens, queries_models, queries_native, queries_lines)
 
 
 def llm_queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.ORACLE.items() if s}
+    out = {k: s for m in MODULES for k, s in m.ORACLE.items()}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
