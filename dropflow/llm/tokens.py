@@ -47,7 +47,7 @@ END_ID = 2
 BLOCK_IDS = 1 << 18
 BLOCK_DOCS = 4_096
 #: Pieces whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 #: Bytes of the four ids of a control byte.
 BYTES_OF = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
@@ -102,6 +102,12 @@ _KIND = bytes(ord("p") if c in b".," else ord("q") if c == 39 else
               ord("P") if 32 < c < 127 and not chr(c).isalnum() else ord("a") if c > 32 else 32 for c in range(256))
 
 
+#: Byte-level tokenizers merge characters that stand for bytes: a printable Latin-1 byte for itself,
+#: the others, in order, for the characters from 256 on.
+_SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SELF)}
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes, remembering the ids of pieces.
 
@@ -142,6 +148,19 @@ class PieceEncoder:
         return lower.split()
 
     def learn(self, new: list[bytes]) -> None:
+        tokenize, dtype = self.tokenizer.model.tokenize, self.dtype
+        rest = []
+        for piece in new:
+            # one lower-case Latin-1 word is one pre-token that the normaliser leaves as it is
+            word = piece.decode("utf-8", "replace")
+            if word.isalpha() and word.islower() and max(word) <= "\xff":
+                chars = word if piece.isascii() else piece.decode("latin-1").translate(BYTE_CHARS)
+                self.known[piece] = np.array([t.id for t in tokenize(chars)], dtype).tobytes()
+            else:
+                rest.append(piece)
+        self._learn_by_text(rest)
+
+    def _learn_by_text(self, new: list[bytes]) -> None:
         plain = [p for p in new if b"\x01" not in p] if self.separator is not None else []
         groups = [plain[i:i + 64] for i in range(0, len(plain), 64)]
         joined = [b" \x01 ".join(g).decode("utf-8", "replace") for g in groups]
