@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, checkpoint, joined_small, text_or_empty, words, written
+from .common import checkpoint, joined_small, text_or_empty, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50

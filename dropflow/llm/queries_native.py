@@ -57,7 +57,7 @@ FROM g JOIN verdicts ON g.source IS NOT DISTINCT FROM verdicts.source
 
 OP10_PLAN_SQL = rf"""
 sized AS MATERIALIZED (
-  SELECT *, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS key
   FROM documents),
 src AS (SELECT source, sum(size)::DOUBLE AS s FROM sized GROUP BY source),
