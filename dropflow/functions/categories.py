@@ -26,10 +26,3 @@ def year_from_name(name: Column) -> Column:
     """All digits of a file name, or ``desconhecido`` when it has none."""
     digits = F.regexp_replace(name, r"[^0-9]", "")
     return F.when(digits == "", F.lit(UNKNOWN_YEAR)).otherwise(digits)
-
-
-def dataset_name(path: Column, prefix: str = "", drop_suffix: str = ".csv") -> Column:
-    """Dataset label for metric rows: base name without suffix, with a prefix."""
-    base = F.element_at(F.split(path, "/"), -1)
-    base = F.regexp_replace(base, "(?i)" + drop_suffix.replace(".", r"\.") + "$", "")
-    return F.concat(F.lit(prefix), base)

@@ -78,13 +78,3 @@ def label_code(label_col):
     for code, name in enumerate(sorted(QUARTILE_LABELS)):
         expr = F.when(label_col == name, code) if expr is None else expr.when(label_col == name, code)
     return expr
-
-
-def encode_label(df: DataFrame, label: str, out: str = "label") -> tuple[DataFrame, list[str]]:
-    """Encode any string label by alphabetical rank (distinct labels are few)."""
-    classes = sorted(r[0] for r in df.select(label).distinct().collect())
-    expr = None
-    for code, name in enumerate(classes):
-        cond = F.col(label) == F.lit(name)
-        expr = F.when(cond, float(code)) if expr is None else expr.when(cond, float(code))
-    return df.withColumn(out, expr), classes

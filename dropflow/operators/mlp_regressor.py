@@ -1,9 +1,9 @@
 """Multilayer-perceptron regressor as a data-parallel Spark job.
 
 Spark ML has no MLP regressor. Training is full-batch gradient descent with
-Adam: every iteration broadcasts the current weights, each partition computes
-the gradient of its rows with NumPy, the partial gradients are summed with a
-tree reduction, and the driver applies the Adam step. Only the parameter
+Adam: every iteration broadcasts the current weights, each task sums the
+gradients of its Arrow batches with NumPy, the tasks' sums meet in a tree
+reduction, and the driver applies the Adam step. Only the parameter
 vector (a few thousand doubles) moves between driver and executors; the rows
 stay partitioned. Prediction is an Arrow-batched pandas UDF.
 """
@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,37 +47,47 @@ def _forward(x, params, kind):
     return acts
 
 
-def _partition_grad(rows, theta, sizes, kind):
-    xs, ys = [], []
-    for r in rows:
-        xs.append(r[0])
-        ys.append(r[1])
-    if not xs:
-        yield (np.zeros_like(theta), 0.0, 0)
-        return
-    x = np.asarray(xs, dtype=np.float64)
-    y = np.asarray(ys, dtype=np.float64).reshape(-1, 1)
+def _batch_grad(x, y, theta, sizes, kind):
+    """(gradient, loss) summed over the rows of one Arrow batch."""
     params = _unpack(theta, sizes)
     acts = _forward(x, params, kind)
     delta = acts[-1] - y                      # d(0.5 * err^2) / d(out)
+    loss = 0.5 * float((delta ** 2).sum())
     grads = []
     for i in range(len(params) - 1, -1, -1):
-        w, _ = params[i]
-        gw = acts[i].T @ delta
-        gb = delta.sum(axis=0)
-        grads.append((gw, gb))
+        grads.append((acts[i].T @ delta, delta.sum(axis=0)))
         if i > 0:
-            delta = (delta @ w.T) * _act_grad(acts[i], kind)
-    flat = np.concatenate([np.concatenate([gw.ravel(), gb]) for gw, gb in reversed(grads)])
-    loss = 0.5 * float(((acts[-1] - y) ** 2).sum())
-    yield (flat, loss, len(xs))
+            delta = (delta @ params[i][0].T) * _act_grad(acts[i], kind)
+    return np.concatenate([np.concatenate([gw.ravel(), gb]) for gw, gb in reversed(grads)]), loss
+
+
+def _gradient(data: DataFrame, theta, sizes, kind):
+    """(gradient, loss, rows) over all rows: Arrow batches are summed inside a task, tasks by a tree."""
+    shared = data.sparkSession.sparkContext.broadcast(theta)
+
+    def run(batches):
+        grad, loss, n = np.zeros_like(shared.value), 0.0, 0
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, -1)
+                y = np.asarray(batch.column(1), np.float64).reshape(-1, 1)
+                g, part = _batch_grad(x, y, shared.value, sizes, kind)
+                grad, loss, n = grad + g, loss + part, n + batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([grad.tobytes()], pa.binary()), pa.array([loss]), pa.array([n], pa.int64())],
+                                         names=["grad", "loss", "n"])
+
+    parts = data.mapInArrow(run, "grad binary, loss double, n long").rdd.map(  # one row per task
+        lambda r: (np.frombuffer(bytes(r["grad"])), r["loss"], r["n"]))
+    out = parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+    shared.unpersist()
+    return out
 
 
 class MLPRegressor:
     """Estimator-like wrapper: ``fit(df)`` on (features vector, label) -> model."""
 
     def __init__(self, hidden=(128, 64), activation="tanh", alpha=1e-3, learning_rate=0.01,
-                 max_iter=200, tol=1e-4, n_iter_no_change=10, seed=42,
+                 max_iter=500, tol=1e-4, n_iter_no_change=10, seed=42,
                  features="features", label="label"):
         self.hidden, self.activation, self.alpha = tuple(hidden), activation, alpha
         self.learning_rate, self.max_iter, self.tol = learning_rate, max_iter, tol
@@ -86,7 +97,6 @@ class MLPRegressor:
     def fit(self, df: DataFrame) -> "MLPRegressionModel":
         data = df.select(vector_to_array(self.features).alias("x"),
                          F.col(self.label).cast("double").alias("y")).persist()
-        rdd = data.rdd.map(lambda r: (r[0], r[1]))
         first = data.first()
         d = len(first[0])
         sizes = [d, *self.hidden, 1]
@@ -99,17 +109,12 @@ class MLPRegressor:
         m = np.zeros_like(theta)
         v = np.zeros_like(theta)
         b1, b2, eps = 0.9, 0.999, 1e-8
-        sc = df.sparkSession.sparkContext
         best, stall = np.inf, 0
         kind = self.activation
         weight_mask = np.concatenate([np.concatenate([np.ones(fi * fo), np.zeros(fo)])
                                       for fi, fo in zip(sizes[:-1], sizes[1:])])
         for it in range(1, self.max_iter + 1):
-            bt = sc.broadcast(theta)
-            grad, loss, n = rdd.mapPartitions(
-                lambda rows, bt=bt: _partition_grad(rows, bt.value, sizes, kind)) \
-                .treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
-            bt.unpersist()
+            grad, loss, n = _gradient(data, theta, sizes, kind)
             if n == 0:
                 break
             grad = grad / n + self.alpha * weight_mask * theta / n
@@ -133,13 +138,38 @@ class MLPRegressionModel:
         self.theta, self.sizes, self.kind, self.features = theta, sizes, kind, features
 
     def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
-        bt = df.sparkSession.sparkContext.broadcast(self.theta)
-        sizes, kind = self.sizes, self.kind
+        # a few thousand numbers: they travel with the function, and leave with it
+        theta, sizes, kind = self.theta, self.sizes, self.kind
 
         @F.pandas_udf("double")
         def predict(x: pd.Series) -> pd.Series:
             mat = np.stack(x.to_numpy()) if len(x) else np.zeros((0, sizes[0]))
-            acts = _forward(mat, _unpack(bt.value, sizes), kind)
-            return pd.Series(acts[-1].ravel())
+            return pd.Series(_forward(mat, _unpack(theta, sizes), kind)[-1].ravel())
 
         return df.withColumn(out, predict(vector_to_array(self.features)))
+
+    def write(self) -> "_ModelWriter":
+        return _ModelWriter(self)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "MLPRegressionModel":
+        r = spark.read.parquet(path).first()
+        return cls(np.array(r["theta"]), list(r["sizes"]), r["kind"], r["features"])
+
+
+class _ModelWriter:
+    """``write().overwrite().save(path)`` as Spark ML models have it; the model is a one-row table."""
+
+    def __init__(self, model: MLPRegressionModel):
+        self.model, self.mode = model, "error"
+
+    def overwrite(self) -> "_ModelWriter":
+        self.mode = "overwrite"
+        return self
+
+    def save(self, path: str) -> None:
+        m = self.model
+        row = [(m.theta.tolist(), [int(x) for x in m.sizes], m.kind, m.features)]
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame(row, "theta array<double>, sizes array<int>, kind string, features string") \
+            .coalesce(1).write.mode(self.mode).parquet(path)

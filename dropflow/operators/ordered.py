@@ -21,28 +21,43 @@ Callers pre-aggregate duplicates of ``(group, order)`` into one weighted row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _BK = "__bk"
-MAX_BUCKETS = 4096          # whole-table order: one row of boundaries
-MAX_GROUP_BUCKETS = 256     # per group: bounds table = groups x buckets doubles
 
 
-def _buckets(df: DataFrame, num_buckets: int | None, grouped: bool) -> int:
-    if num_buckets:
-        return int(num_buckets)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_GROUP_BUCKETS if grouped else MAX_BUCKETS, n))
+def _buckets(df: DataFrame, num_buckets: int | None) -> int:
+    """As many slices of an order as the session has shuffle partitions: a group that holds all rows
+    then spreads over every task, at any cluster size."""
+    return max(2, int(num_buckets or df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _bucket_of(bounds: Column, key: Column, n: int) -> Column:
+    """How many of ``n`` sorted bounds lie below ``key``: whole steps first, then inside one step."""
+    step = max(1, math.isqrt(n))
+    ends = F.filter(F.sequence(F.lit(step), F.lit(max(step, n)), F.lit(step)), lambda i: i <= F.size(bounds))
+    whole = F.size(F.filter(ends, lambda i: F.get(bounds, i - 1) < key))
+    inside = F.filter(F.slice(bounds, whole * step + 1, F.lit(step)), lambda x: x < key)
+    return whole * step + F.size(inside)
 
 
-def with_buckets(df: DataFrame, key, group_cols=(), num_buckets: int | None = None) -> DataFrame:
-    """Add ``__bk``: an order-preserving bucket of ``key`` within each group."""
+def with_buckets(df: DataFrame, key, group_cols=(), num_buckets: int | None = None,
+                 weight_col: str | None = None) -> DataFrame:
+    """Add ``__bk``: an order-preserving bucket of ``key`` within each group.
+
+    With ``weight_col`` rows without weight do not shape the buckets; reading the
+    weight also keeps this branch's input the same as its neighbours', so that
+    adaptive execution computes it once.
+    """
     group_cols = list(group_cols)
-    b = _buckets(df, num_buckets, bool(group_cols))
+    b = _buckets(df, num_buckets)
     k = F.col(key).cast("double") if isinstance(key, str) else key.cast("double")
     probs = [i / b for i in range(1, b)]
-    bounds = df.groupBy(*group_cols).agg(
+    seen = df if weight_col is None else df.filter(F.col(weight_col) > 0)
+    bounds = seen.groupBy(*group_cols).agg(
         F.percentile_approx(k, probs, 10 * b).alias("__b"))
     if group_cols:
         # one row per group; adaptive execution broadcasts it from its measured
@@ -51,7 +66,7 @@ def with_buckets(df: DataFrame, key, group_cols=(), num_buckets: int | None = No
     else:
         # a single row of boundaries
         d = df.crossJoin(F.broadcast(bounds))
-    return d.withColumn(_BK, F.size(F.filter(F.col("__b"), lambda x: x < k))).drop("__b")
+    return d.withColumn(_BK, _bucket_of(F.col("__b"), k, b - 1)).drop("__b")
 
 
 def ordered_cumsum(df: DataFrame, order_cols, weight_col: str, group_cols=(),
@@ -70,7 +85,7 @@ def ordered_cumsum(df: DataFrame, order_cols, weight_col: str, group_cols=(),
     if bucket is not None:
         d = df.withColumn(_BK, bucket)
     else:
-        d = with_buckets(df, order_cols[0], group_cols, num_buckets)
+        d = with_buckets(df, order_cols[0], group_cols, num_buckets, weight_col)
     totals = d.groupBy(*group_cols, _BK).agg(F.sum(weight_col).alias("__pt"))
     before = Window.partitionBy(*group_cols).orderBy(_BK) \
         .rowsBetween(Window.unboundedPreceding, -1)

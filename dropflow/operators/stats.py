@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import num
 from .ordered import ordered_cumsum
 
 def _pname(p: float) -> str:
@@ -25,13 +26,23 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs, group_cols=(),
     Returns one row per group with one double column per probability; groups
     with no non-null value are absent. NaN counts as missing.
     """
-    group_cols = list(group_cols)
-    names = list(names) if names else [_pname(p) for p in probs]
+    return histogram_quantiles(histogram(df, value, group_cols, where), probs, group_cols, names)
+
+
+def histogram(df: DataFrame, value: str | Column, group_cols=(), where: Column | None = None) -> DataFrame:
+    """Rows per group and value (``__v``, ``__w``); NULL and NaN are left out. Everything about the order
+    of a group's values can be read from it, so one shuffle serves several statistics."""
     v = F.col(value) if isinstance(value, str) else value
     src = df if where is None else df.filter(where)
     src = src.select(*group_cols, F.nanvl(v.cast("double"), F.lit(None).cast("double")).alias("__v"))
-    hist = (src.filter(F.col("__v").isNotNull())
+    return (src.filter(F.col("__v").isNotNull())
                .groupBy(*group_cols, "__v").agg(F.count(F.lit(1)).alias("__w")))
+
+
+def histogram_quantiles(hist: DataFrame, probs, group_cols=(), names=None) -> DataFrame:
+    """Exact quantiles of the groups of a :func:`histogram`."""
+    group_cols = list(group_cols)
+    names = list(names) if names else [_pname(p) for p in probs]
     cum = ordered_cumsum(hist, "__v", "__w", group_cols, out="__hi")
     totals = hist.groupBy(*group_cols).agg(F.sum("__w").alias("__n"))
     if not group_cols:
@@ -83,14 +94,14 @@ def rate_threshold(df: DataFrame, rate: str = "TX_EVASAO", volume: str = "QT_ING
     if positive_only:
         cond = cond & (F.col(rate) > 0)
     if min_volume is not None:
-        cond = cond & (F.coalesce(F.col(volume).cast("double"), F.lit(0.0)) >= F.lit(float(min_volume)))
+        cond = cond & (F.coalesce(num(df, volume), F.lit(0.0)) >= F.lit(float(min_volume)))
     return quantile_values(df, rate, [prob], where=cond)[0]
 
 
 def rate_quartiles(df: DataFrame, rate: str = "TX_EVASAO", volume: str = "QT_ING",
                    min_volume: int = 10) -> tuple[float, float, float]:
     """(Q1, Q2, Q3) of the rate over rate > 0 and volume >= k (A3); none -> zeros."""
-    cond = (F.col(rate) > 0) & (F.coalesce(F.col(volume).cast("double"), F.lit(0.0)) >= F.lit(float(min_volume)))
+    cond = (F.col(rate) > 0) & (F.coalesce(num(df, volume), F.lit(0.0)) >= F.lit(float(min_volume)))
     q = quantile_values(df, rate, [0.25, 0.5, 0.75], where=cond)
     return q[0], q[1], q[2]
 
@@ -103,15 +114,16 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c) attached to every row.
 
-    The per-class table has one row per class. It is derived from the data,
-    so no hint is forced: adaptive execution broadcasts it from the measured
-    size of its shuffle stage, without a separate counting job.
+    The classes (a handful: the label's values) are counted once; the weights then enter as literals,
+    so the table itself is neither joined nor shuffled by its few labels.
     """
-    counts = class_counts(df, label)
-    totals = F.broadcast(counts.agg(F.sum("n").alias("__N"), F.count(F.lit(1)).alias("__K")))  # one row
-    w = counts.crossJoin(totals).select(
-        label, (F.col("__N") / (F.col("__K") * F.col("n"))).cast("double").alias(out))
-    return df.join(w, label, "left")
+    rows = class_counts(df, label).collect()
+    total = sum(r["n"] for r in rows)
+    weight = F.lit(None).cast("double")
+    for r in rows:
+        same = F.col(label).isNull() if r[label] is None else F.col(label) == F.lit(r[label])
+        weight = F.when(same, F.lit(total / (len(rows) * r["n"]))).otherwise(weight)
+    return df.withColumn(out, weight)
 
 
 def positive_ratio(df: DataFrame, label: str) -> float:
@@ -134,27 +146,26 @@ def box_stats(df: DataFrame, value: str, categories, probs=(0.25, 0.5, 0.75)) ->
     whisker_low, whisker_high, n_outliers.
     """
     cats = [c for c in categories if c in df.columns]
+    group = ["variable", "category"]
     long = (df.select(F.col(value).cast("double").alias("__val"), *cats)
-              .unpivot(["__val"], [F.col(c).cast("string").alias(c) for c in cats],
-                       "variable", "category")
-              .filter(F.col("__val").isNotNull() & ~F.isnan("__val")))
-    q = exact_quantiles(long, "__val", list(probs), ["variable", "category"],
-                        names=["q1", "median", "q3"])
+              .unpivot(["__val"], [F.col(c).cast("string").alias(c) for c in cats], *group))
+    # fences, whiskers and outliers all come from one (variable, category, value) histogram
+    hist = histogram(long, "__val", group)
+    q = histogram_quantiles(hist, list(probs), group, names=["q1", "median", "q3"])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("lower_fence", F.col("q1") - F.lit(1.5) * F.col("iqr")) \
          .withColumn("upper_fence", F.col("q3") + F.lit(1.5) * F.col("iqr"))
-    # one row per (variable, category): adaptive execution broadcasts it when
-    # its measured size is small, otherwise the join stays a shuffle join
-    j = long.join(q, ["variable", "category"], "inner")
-    inside = (F.col("__val") >= F.col("lower_fence")) & (F.col("__val") <= F.col("upper_fence"))
-    agg = j.groupBy("variable", "category").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.when(inside, F.col("__val"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("__val"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers"))
-    return q.join(agg, ["variable", "category"], "inner").select(
-        "variable", "category", "n", "q1", "median", "q3", "iqr", "lower_fence",
-        "upper_fence", "whisker_low", "whisker_high", "n_outliers")
+    # one row per (variable, category): adaptive execution broadcasts it when its measured size is small
+    j = hist.join(q.withColumnsRenamed({c: f"__{c}" for c in group}),
+                  (F.col("variable") == F.col("__variable")) & F.col("category").eqNullSafe(F.col("__category")))
+    inside = (F.col("__v") >= F.col("lower_fence")) & (F.col("__v") <= F.col("upper_fence"))
+    fixed = ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"]
+    return j.groupBy(*group).agg(
+        F.sum("__w").alias("n"), *[F.first(c).alias(c) for c in fixed],
+        F.min(F.when(inside, F.col("__v"))).alias("whisker_low"),
+        F.max(F.when(inside, F.col("__v"))).alias("whisker_high"),
+        F.sum(F.when(inside, F.lit(0).cast("long")).otherwise(F.col("__w"))).alias("n_outliers")).select(
+        *group, "n", *fixed, "whisker_low", "whisker_high", "n_outliers")
 
 
 def fit_scaler(df: DataFrame, columns) -> dict[str, tuple[float, float]]:

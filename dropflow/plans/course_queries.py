@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import RATE
+from ..config import RATE, RESERVE_NUMERATORS
 from ..functions.features import FEATURE_NAMES, add_features
 from ..functions.numeric import to_numeric
-from ..functions.rates import with_rate
+from ..functions.rates import dropout_rate, with_rate
 from ..operators.columns import drop_leakage, drop_prefix, drop_present
-from ..operators.filters import complete_cases, course_predicate, filter_audit
+from ..operators.filters import complete_cases, course_predicate, filter_audit, filter_steps
 from ..operators.labels import label_binary, label_code, label_quartile
 from ..operators.stats import class_counts, class_weights, exact_quantiles, positive_ratio
 from ..sources.testdata import table
@@ -112,25 +112,41 @@ def q_share_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg("FEAT_IDADE_MEDIA_ING").alias("avg_idade_media")))
 
 
+# Counts of the view that stand in for the social columns it lacks.
+SOCIAL_STANDINS = {"QT_ING_DEFICIENTE": "QT_ING_0_17", "QT_ING_RESERVA_VAGA": "QT_ING_FEM",
+                   "QT_ING_FINANC": "QT_ING_18_24", "QT_ING_FIES": "QT_ING_BRANCA",
+                   "QT_ING_PROUNII": "QT_ING_PRETA", "QT_ING_PROUNIP": "QT_ING_PARDA"}
+SOCIAL_FEATURES = ["FEAT_PCT_ING_DEFICIENTE", "FEAT_PCT_ING_RESERVA_SOCIAL", "FEAT_PCT_ING_FINANC",
+                   "FEAT_PCT_ING_COM_FIES", "FEAT_PCT_ING_PROUNI"]
+
+
+def q_social_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five social shares on non-zero counts (each reserve column is one of the view's age bands)."""
+    bands = ["QT_ING_0_17", "QT_ING_25_29", "QT_ING_30_34", "QT_ING_35_39", "QT_ING_40_49"]
+    reserve = {c: bands[i % len(bands)] for i, c in enumerate(RESERVE_NUMERATORS)}
+    c = courses(spark, sf_dir)
+    c = c.withColumns({new: F.col(old) for new, old in (SOCIAL_STANDINS | reserve).items()})
+    return round_doubles(add_features(c).select("CO_CURSO", *SOCIAL_FEATURES))
+
+
 # --- thresholds and labels -------------------------------------------------
 
 def q_threshold_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median thresholds of the three binary rules in one job (A1/A2/F8).
 
-    Each rule's threshold population is tagged and the union goes through one
-    grouped exact-quantile job keyed by rule; a rule with no qualifying row
-    gets 0.0.
+    One pass over the courses: each gives a (rule, rate) pair for every rule whose
+    threshold population it belongs to, and the pairs go through one grouped
+    exact-quantile job; a rule with no qualifying row gets 0.0.
     """
-    r2 = rated_courses(spark, sf_dir, "R2")
-    r1 = with_rate(_root_courses(spark, sf_dir), "R1")
-    r4 = with_rate(_root_courses(spark, sf_dir), "R4")
-    pops = [
-        r2.filter((F.col(RATE) > 0) & (F.col("QT_ING") >= 10)).select(F.lit("gt").alias("rule"), RATE),
-        r1.filter((F.col(RATE) > 0) & (F.col("QT_ING") >= 1)).select(F.lit("ge").alias("rule"), RATE),
-        r4.filter(F.col(RATE).isNotNull()).select(F.lit("all").alias("rule"), RATE),
-    ]
-    med = exact_quantiles(pops[0].unionByName(pops[1]).unionByName(pops[2]), RATE, [0.5], ["rule"],
-                          names=["median"])
+    c = _root_courses(spark, sf_dir)
+    (r2, _), (r1, dense), (r4, valid) = (dropout_rate(c, kind) for kind in ("R2", "R1", "R4"))
+    volume = F.col("QT_ING")
+    built = filter_steps(c, TEST_DEGREE, TEST_NAME, 10)[-1][1]  # rows of the feature build
+    rules = {"gt": (r2, built & (r2 > 0) & (volume >= 10)), "ge": (r1, dense & (r1 > 0) & (volume >= 1)),
+             "all": (r4, valid)}
+    pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.when(belongs, rate).alias(RATE))
+                      for rule, (rate, belongs) in rules.items()])
+    med = exact_quantiles(c.select(F.explode(pairs).alias("p")).select("p.*"), RATE, [0.5], ["rule"], names=["median"])
     pick = lambda r: F.coalesce(F.max(F.when(F.col("rule") == r, F.col("median"))), F.lit(0.0))
     return round_doubles(med.agg(pick("gt").alias("threshold_gt"), pick("ge").alias("threshold_ge"),
                                  pick("all").alias("threshold_all")))

@@ -9,6 +9,7 @@ Only metric rows and importance vectors reach the driver.
 from __future__ import annotations
 
 import time
+from functools import wraps
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -21,9 +22,9 @@ from ..operators.metrics import (back_transform, classification_metrics, regress
                                  roc_auc, roc_auc_ovr, weighted_metrics)
 from ..operators.models import classifiers, importance_frame, importances, regressors
 from ..operators.prep import Preprocess
-from ..operators.split import train_test
+from ..operators.split import row_hash, split
 from ..operators.stats import class_weights, positive_ratio
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, wide_tables
 
 METRIC_SCHEMA_BIN = ("Arquivo string, Modelo string, Accuracy double, `F1-score (Alto Risco)` double, "
                      "`ROC-AUC` double, `Precision (Alto Risco)` double, `Recall (Alto Risco)` double, "
@@ -31,43 +32,73 @@ METRIC_SCHEMA_BIN = ("Arquivo string, Modelo string, Accuracy double, `F1-score
 METRIC_SCHEMA_MULTI = ("Arquivo string, Modelo string, Accuracy double, `F1-score (weighted)` double, "
                        "`ROC-AUC (weighted, ovr)` double, `Precision (weighted)` double, "
                        "`Recall (weighted)` double, train_seconds double")
-METRIC_SCHEMA_REG = "arquivo string, modelo string, R2 double, MAE double, RMSE double, train_seconds double"
+METRIC_SCHEMA_REG = "arquivo string, modelo string, R2 double, MAE double, RMSE double, train_seconds double, erro string"
 
 
-def _prepared(df: DataFrame, target: str, key_cols, numeric: str, categorical: str,
-              stratify: str | None, roles=None):
+def _on_wide_tables(train):
+    """Decorator: plan and run the training of a wide table without constraint propagation."""
+    @wraps(train)
+    def run(df, *args, **kwargs):
+        with wide_tables(df.sparkSession):
+            return train(df, *args, **kwargs)
+    return run
+
+
+# Settings of the script families: preprocessing, regression target, MLP regressor.
+PROFILES = {
+    # engineered-feature scripts: QT_/FEAT_ numeric, ids ignored, zero-impute + scale
+    "g3": dict(prep=dict(numeric="zero+scale", categorical="ordinal"), log_target=True, strip_quotes=True,
+               mlp=dict(hidden=(128, 64), activation="tanh", alpha=1e-3, max_iter=5000)),
+    # root scripts: QT_ numeric, everything else ordinal, scale only, the rate as it is
+    "g2": dict(prep=dict(numeric="scale", categorical="ordinal"), log_target=False, strip_quotes=False,
+               mlp=dict(hidden=(128, 64), activation="relu", alpha=1e-4, max_iter=500)),
+    # one-file predictor: median-impute + scale, mode + one-hot
+    "g1": dict(prep=dict(numeric="median+scale", categorical="onehot"), log_target=False, strip_quotes=False,
+               mlp=dict(hidden=(100,), activation="relu", alpha=1e-4, max_iter=500)),
+}
+
+
+def _prepared(df: DataFrame, target: str, stratify: str | None, roles, prep: dict):
     num, cat = roles if roles is not None else model_roles(df, target)
-    num = [c for c in num if c not in key_cols and c != "label"]
-    cat = [c for c in cat if c not in key_cols and c != "label"]
-    # the labelled input and both split parts are read by several jobs (split
-    # sizes, preprocessing statistics, fitting, evaluation): persist them once
+    num = [c for c in num if c not in (target, "label")]
+    cat = [c for c in cat if c not in (target, "label")]
+    # the rows and their side are read by several jobs (split sizes, preprocessing
+    # statistics, fitting, evaluation): persisted once, so the columns' expressions
+    # are not repeated in the row hash and a row is on the same side in all jobs
     df = df.persist()
-    train, test = train_test(df, key_cols, 0.2, 42, stratify=stratify)
-    train, test = train.persist(), test.persist()
-    prep = Preprocess(num, cat, numeric=numeric, categorical=categorical).fit(train)
-    tr = prep.transform(train).select("features", "label", F.col(key_cols[0]).alias("__key"))
-    te = prep.transform(test).select("features", "label")
-    return tr, te, prep, (df, train, test)
+    flagged = split(df, None, 0.2, 42, stratify=stratify).persist()
+    train = flagged.filter(~F.col("is_test")).drop("is_test")
+    test = flagged.filter(F.col("is_test")).drop("is_test")
+    fitted = Preprocess(num, cat, **prep).fit(train)
+    key = row_hash(df).alias("__key")
+    tr = fitted.transform(train.withColumn("__key", key)).select("features", "label", "__key")
+    te = fitted.transform(test).select("features", "label")
+    return tr, te, fitted, (flagged, df)
 
 
 def _fixed_layout(tr: DataFrame) -> DataFrame:
-    """Hash-partition and sort the training rows by key as the last step before
-    fitting: bagging and subsampling then see the same rows in the same order
+    """Hash-partition and sort the training rows by their row hash as the last step
+    before fitting: bagging and subsampling then see the same rows in the same order
     on every rerun and task retry, whatever joins ran before."""
     parts = int(tr.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tr.repartition(parts, "__key").sortWithinPartitions("__key").drop("__key")
 
 
+@_on_wide_tables
 def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task: str = "binary",
-                      profile: str = "g3", key_cols=("CO_CURSO",), numeric: str = "zero+scale",
-                      categorical: str = "ordinal", only=None, roles=None):
-    """Fit the profile's classifiers on one labelled table; returns (metrics_df, importance_df)."""
+                      profile: str = "g3", only=None, roles=None, fitted: dict | None = None,
+                      scored: dict | None = None, **prep):
+    """Fit the profile's classifiers on one labelled table; returns (metrics_df, importance_df).
+
+    ``prep`` overrides the profile's preprocessing; fitted models go into ``fitted`` by name, and counts
+    of the scored test rows (see :func:`scored_counts`) into ``scored``.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)  # boosted trees checkpoint their lineage every 10 rounds
     multi = task == "quartile"
     lab = label_code(F.col(target)) if multi else F.col(target)
     data = df.withColumn("label", lab.cast("double"))
-    tr, te, prep, cached = _prepared(data, target, list(key_cols) + [target], numeric, categorical, "label", roles)
+    tr, te, prepared, cached = _prepared(data, target, "label", roles, PROFILES[profile]["prep"] | prep)
     tr = class_weights(tr, "label", "weight")
     ratio = positive_ratio(tr, "label") if not multi else 1.0
     tr = tr.withColumn("__posw", F.when(F.col("label") == 1.0, F.lit(ratio)).otherwise(F.lit(1.0)))
@@ -87,24 +118,12 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
         t0 = time.time()
         model = est.fit(tr)
         secs = time.time() - t0
-        pred = model.transform(te)
-        if multi:
-            score_col = "probability" if "probability" in pred.columns else "rawPrediction"
-            arr = pred.withColumn("__p", vector_to_array(score_col))
-            probs = {float(i): f"__p{i}" for i in range(4)}
-            arr = arr.withColumns({f"__p{i}": F.col("__p")[i] for i in range(4)})
-            m = weighted_metrics(arr, "label", "prediction").first()
-            auc = roc_auc_ovr(arr.withColumn("label", F.col("label").cast("int").cast("string")),
-                              "label", {str(int(k)): v for k, v in probs.items()}).first()[0]
-            rows.append((dataset, name, m["accuracy"], m["f1_weighted"], auc,
-                         m["precision_weighted"], m["recall_weighted"], secs))
-        else:
-            arr = pred.withColumn("__score", vector_to_array("probability")[1]) \
-                if "probability" in pred.columns else pred.withColumn("__score", F.col("prediction"))
-            m = classification_metrics(arr, "label", "prediction", 1.0).first()
-            auc = roc_auc(arr, "label", "__score", 1.0).first()["roc_auc"]
-            rows.append((dataset, name, m["accuracy"], m["f1"], auc, m["precision"], m["recall"], secs))
-        imp = importances(model, prep.feature_names)
+        rows.append((dataset, name, *_classified(model, te, multi), secs))
+        if fitted is not None:
+            fitted[f"classifier_{name}"] = model
+        if scored is not None:
+            scored[name] = scored_counts(model, te)
+        imp = importances(model, prepared.feature_names)
         if imp:
             imps.append(importance_frame(spark, imp, dataset, name))
     tr.unpersist()
@@ -116,15 +135,79 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
     return metrics, imp_df
 
 
+def _classified(model, te: DataFrame, multi: bool) -> tuple:
+    """(accuracy, F1, AUC, precision, recall) of a fitted classifier on a prepared test set.
+
+    The model scores the test set once; label, prediction and scores are persisted for both metric jobs.
+    """
+    pred = model.transform(te)
+    score_col = "probability" if "probability" in pred.columns else "rawPrediction"
+    if multi:
+        p = vector_to_array(score_col)
+        slim = pred.select("label", "prediction", *[p[i].alias(f"__p{i}") for i in range(4)]).persist()
+        m = weighted_metrics(slim, "label", "prediction").first()
+        auc = roc_auc_ovr(slim.withColumn("label", F.col("label").cast("int").cast("string")),
+                          "label", {str(i): f"__p{i}" for i in range(4)}).first()[0]
+        found = (m["accuracy"], m["f1_weighted"], auc, m["precision_weighted"], m["recall_weighted"])
+    else:
+        score = vector_to_array("probability")[1] if "probability" in pred.columns else F.col("prediction")
+        slim = pred.select("label", "prediction", score.alias("__score")).persist()
+        m = classification_metrics(slim, "label", "prediction", 1.0).first()
+        auc = roc_auc(slim, "label", "__score", 1.0).first()["roc_auc"]
+        found = (m["accuracy"], m["f1"], auc, m["precision"], m["recall"])
+    slim.unpersist()
+    return found
+
+
+def scored_counts(model, te: DataFrame) -> dict:
+    """What must hold whatever a model learned: test rows, label values among them, finite predictions."""
+    x = F.col("prediction")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    r = model.transform(te).select("label", "prediction").agg(
+        F.count(F.lit(1)).alias("n_test"), F.countDistinct("label").alias("n_labels"),
+        F.sum(finite.cast("long")).alias("n_finite")).first()
+    return r.asDict()
+
+
+def _regressed(model, te: DataFrame, log_target: bool) -> tuple:
+    """(R2, MAE, RMSE) of a fitted regressor on a prepared test set, on the original scale."""
+    pred = model.transform(te)
+    if log_target:
+        pred = pred.select(F.expm1("label").alias("__y"), back_transform(F.col("prediction")).alias("__p"))
+    else:
+        pred = pred.select(F.col("label").alias("__y"), F.col("prediction").alias("__p"))
+    m = regression_metrics(pred, "__y", "__p").first()
+    return m["R2"], m["MAE"], m["RMSE"]
+
+
+def evaluate_fitted(models: dict, test: DataFrame, dataset: str = "dataset", task: str = "binary",
+                    log_target: bool = False) -> DataFrame:
+    """Metrics of already fitted models (name -> model) on a prepared test set (features, label)."""
+    rows = []
+    for name, model in models.items():
+        t0 = time.time()
+        found = _regressed(model, test, log_target) if task == "regression" else _classified(model, test, task == "quartile")
+        rows.append((dataset, name, *found, time.time() - t0))
+    schema = {"regression": METRIC_SCHEMA_REG, "quartile": METRIC_SCHEMA_MULTI}.get(task, METRIC_SCHEMA_BIN)
+    return test.sparkSession.createDataFrame([r + ("",) if task == "regression" else r for r in rows], schema)
+
+
+@_on_wide_tables
 def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset", profile: str = "g3",
-                     key_cols=("CO_CURSO",), log_target: bool = True, numeric: str = "zero+scale",
-                     categorical: str = "ordinal", only=None, roles=None, with_mlp: bool = True):
-    """Fit the profile's regressors; metrics on the original scale (expm1 + clip) (V7/V8)."""
+                     log_target: bool | None = None, only=None, roles=None, with_mlp: bool = True,
+                     fitted: dict | None = None, scored: dict | None = None, **prep):
+    """Fit the profile's regressors; metrics on the original scale (V7/V8).
+
+    ``log_target`` (fit log1p, report expm1 + clip) is the profile's unless given.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    settings = PROFILES[profile]
+    log_target = settings["log_target"] if log_target is None else log_target
     y = F.col(target).cast("double")
     data = df.filter(y.isNotNull()).withColumn("label", F.log1p(y) if log_target else y)
-    tr, te, prep, cached = _prepared(data, target, list(key_cols) + [target], numeric, categorical, None, roles)
+    prep = settings["prep"] | dict(strip_quotes=settings["strip_quotes"]) | prep
+    tr, te, prepared, cached = _prepared(data, target, None, roles, prep)
     tr, te = _fixed_layout(tr).persist(), te.persist()
     tr.count()
     te.count()
@@ -133,7 +216,7 @@ def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset"
     models = dict(regressors(profile))
     if with_mlp:
         from ..operators.mlp_regressor import MLPRegressor
-        models["MLP"] = MLPRegressor(hidden=(128, 64), activation="tanh", alpha=1e-3, seed=42)
+        models["MLP"] = MLPRegressor(**settings["mlp"], seed=42)
     rows, imps = [], []
     for name, est in models.items():
         if only and name not in only:
@@ -142,20 +225,17 @@ def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset"
         try:
             model = est.fit(tr)
             secs = time.time() - t0
-            pred = model.transform(te)
-            if log_target:
-                pred = pred.withColumn("__y", F.expm1("label")) \
-                           .withColumn("__p", back_transform(F.col("prediction")))
-            else:
-                pred = pred.withColumn("__y", F.col("label")).withColumn("__p", F.col("prediction"))
-            m = regression_metrics(pred, "__y", "__p").first()
-            rows.append((dataset, name, m["R2"], m["MAE"], m["RMSE"], secs))
-            imp = importances(model, prep.feature_names)
+            rows.append((dataset, name, *_regressed(model, te, log_target), secs, ""))
+            if fitted is not None:
+                fitted[f"regressor_{name}"] = model
+            if scored is not None:
+                scored[name] = scored_counts(model, te)
+            imp = importances(model, prepared.feature_names)
             if imp:
                 imps.append(importance_frame(spark, imp, dataset, name))
-        except Exception:  # noqa: BLE001 - a failed model yields NaN metrics, others continue
+        except Exception as e:  # noqa: BLE001 - a failed model yields NaN metrics and its reason, others continue
             nan = float("nan")
-            rows.append((dataset, name, nan, nan, nan, time.time() - t0))
+            rows.append((dataset, name, nan, nan, nan, time.time() - t0, f"{type(e).__name__}: {e}"))
     tr.unpersist()
     te.unpersist()
     metrics = spark.createDataFrame(rows, METRIC_SCHEMA_REG)

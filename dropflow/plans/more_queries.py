@@ -18,10 +18,11 @@ from ..operators.metrics import (back_transform, classification_metrics, regress
 from ..operators.prep import ordinal_encode
 from ..operators.split import split
 from ..operators.stats import box_stats, column_modes_df, exact_quantiles, fit_scaler, unpivot
-from ..operators.union import union_by_name
+from ..operators.union import union_by_name, union_years
 from ..sources.testdata import table
-from .common import TEST_DEGREE, TEST_NAME, courses, round_doubles
+from .common import TEST_DEGREE, TEST_NAME, courses, rated_courses, round_doubles
 from .course_queries import feature_table, quartile_labelled
+from .evaluate import top_k
 
 
 # --- box statistics ----------------------------------------------------------
@@ -40,28 +41,21 @@ def q_box_stats_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- unions over years -------------------------------------------------------
 
-def _years(df: DataFrame, ts_col: str) -> list[int]:
-    # one row per distinct year: a small, bounded driver read
-    return sorted(r[0] for r in df.select(F.year(ts_col)).distinct().collect())
-
-
 def q_union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders split into yearly tables with drifting columns, then unioned by name.
+    """Orders as yearly tables with drifting columns, unioned by name.
 
-    Even years lack ``o_orderpriority`` and odd years lack ``o_orderstatus``,
-    as census years gain and lose columns; the union fills NULL.
+    Even years lack ``o_orderpriority``, other years (and rows without a date) lack
+    ``o_orderstatus``, as census years gain and lose columns; the union fills NULL. Years with the same
+    columns share a frame, so the table is read twice however many years it holds.
     """
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice",
                                               "o_orderstatus", "o_orderpriority")
-    frames = []
-    for y in _years(o, "o_orderdate"):
-        # a date range (not year(col) == y) is pushed to the Parquet scan, so
-        # each yearly branch reads only row groups whose min/max overlap it
-        in_year = (F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp")) & \
-                  (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp"))
-        part = o.filter(in_year).drop("o_orderdate")
-        part = part.drop("o_orderpriority") if y % 2 == 0 else part.drop("o_orderstatus")
-        frames.append(part.withColumn("ANO_BASE", year_from_name(F.lit(f"MICRODADOS_{y}.CSV"))))
+    year = F.year("o_orderdate")
+    name = F.concat(F.lit("MICRODADOS_"), F.coalesce(year.cast("string"), F.lit("")), F.lit(".CSV"))
+    even = F.coalesce(year % 2 == 0, F.lit(False))
+    tagged = o.withColumn("ANO_BASE", year_from_name(name))
+    frames = [tagged.filter(even).drop("o_orderdate", "o_orderpriority"),
+              tagged.filter(~even).drop("o_orderdate", "o_orderstatus")]
     return round_doubles(union_by_name(frames))
 
 
@@ -221,6 +215,24 @@ def q_stratified_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def q_split_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stratified split of lines, whose part key repeats: rows, rows on a side, and exact test size per stratum (M7/M8)."""
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    s = split(li, None, 0.2, 42, stratify="l_returnflag")
+    return s.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("is_test").alias("n_with_side"),
+        F.countDistinct("l_orderkey", "l_linenumber").alias("n_lines"),
+        F.sum(F.col("is_test").cast("long")).alias("n_test"))
+
+
+def q_union_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two yearly frames with a keep-list and complete cases, tagged and unioned."""
+    o = table(spark, sf_dir, "orders").withColumn(
+        "gap", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")))
+    frames = {"1995": o.filter(F.year("o_orderdate") == 1995), "1996": o.filter(F.year("o_orderdate") == 1996).drop("o_clerk")}
+    return round_doubles(union_years(frames, keep=["o_orderkey", "gap", "absent"], complete=True))
+
+
 # --- evaluation metrics ------------------------------------------------------------
 
 def _scored_documents(spark, sf_dir):
@@ -281,10 +293,8 @@ def q_roc_auc_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reg_scored(spark, sf_dir):
     """Truth: the R2 rate; prediction: dropouts per entrant (a proxy rule)."""
-    f = feature_table(spark, sf_dir)
-    c = courses(spark, sf_dir).select("CO_CURSO", "QT_SIT_DESVINCULADO")
-    j = f.join(c, "CO_CURSO", "inner")
-    return j.withColumn("prediction", safe_divide(F.col("QT_SIT_DESVINCULADO"), F.col("QT_ING")))
+    return rated_courses(spark, sf_dir, "R2").withColumn(
+        "prediction", safe_divide(F.col("QT_SIT_DESVINCULADO"), F.col("QT_ING")))
 
 
 def q_reg_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,8 +332,7 @@ def importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_topk_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-5 features per (Arquivo, Modelo) by importance desc, name asc (O1/O2)."""
     imp = round_doubles(importance_table(spark, sf_dir))
-    w = Window.partitionBy("Arquivo", "Modelo").orderBy(F.desc_nulls_last("Importance"), "Feature")
-    return imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 5)
+    return top_k(imp, 5)
 
 
 def metric_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ with ``round_even`` (same rounding as the Spark side).
 
 from __future__ import annotations
 
+from ..functions.features import RESERVE_NUMERATORS
 from ..sources.testdata import COURSE_VIEW_SQL
 
 R6 = "round_even({x}, 6) + 0.0"
@@ -19,7 +20,7 @@ def r6(x: str) -> str:
 
 def sd(num: str, den: str) -> str:
     """safe_divide: num/den, den 0 -> 0, negative -> 0."""
-    q = f"coalesce(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0), 0.0)"
+    q = f"coalesce(CAST(({num}) AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0), 0.0)"
     return f"(CASE WHEN {q} > 0 THEN {q} ELSE 0.0 END)"
 
 
@@ -146,6 +147,12 @@ FROM courses"""
   {r6('sum(FEAT_PCT_ING_PRETA_PARDA)')} AS sum_pct_preta_parda,
   {r6('sum(FEAT_INDICE_DIVERSIDADE)')} AS sum_diversidade,
   {r6('avg(FEAT_IDADE_MEDIA_ING)')} AS avg_idade_media FROM feat GROUP BY CO_REGIAO"""
+    bands = ["QT_ING_0_17", "QT_ING_25_29", "QT_ING_30_34", "QT_ING_35_39", "QT_ING_40_49"]
+    reserve = " + ".join(bands[i % len(bands)] for i in range(len(RESERVE_NUMERATORS)))
+    q["q_social_features"] = with_ctes(COURSES) + f"""SELECT CO_CURSO, {r6(sd('QT_ING_0_17', 'QT_ING'))} AS FEAT_PCT_ING_DEFICIENTE,
+  {r6(sd(reserve, 'QT_ING_FEM'))} AS FEAT_PCT_ING_RESERVA_SOCIAL, {r6(sd('QT_ING_18_24', 'QT_ING'))} AS FEAT_PCT_ING_FINANC,
+  {r6(sd('QT_ING_BRANCA', 'QT_ING_18_24'))} AS FEAT_PCT_ING_COM_FIES,
+  {r6(sd('QT_ING_PRETA + QT_ING_PARDA', 'QT_ING'))} AS FEAT_PCT_ING_PROUNI FROM courses"""
     r1 = f"r1 AS (SELECT *, {R1_EXPR} AS TX_EVASAO FROM root WHERE {DENOM} >= 10)"
     r4 = f"r4 AS (SELECT *, {R4_EXPR} AS TX_EVASAO FROM root WHERE {R4_EXPR} IS NOT NULL)"
     q["q_threshold_median"] = with_ctes(COURSES, FILTERED, RATED, ROOT, r1, r4) + f"""SELECT

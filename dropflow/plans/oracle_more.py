@@ -140,6 +140,11 @@ UNION ALL SELECT 'train' AS side, count(*) - CAST(ceil(count(*) * 0.2::DOUBLE) A
     q["q_stratified_sizes"] = with_ctes(COURSES, FILTERED, RATED, QUART_LAB) + """, cnt AS (SELECT NIVEL_RISCO, count(*) AS n FROM lab GROUP BY NIVEL_RISCO)
 SELECT NIVEL_RISCO, 'test' AS side, CAST(ceil(n * 0.2::DOUBLE) AS BIGINT) AS n FROM cnt
 UNION ALL SELECT NIVEL_RISCO, 'train' AS side, n - CAST(ceil(n * 0.2::DOUBLE) AS BIGINT) AS n FROM cnt"""
+    q["q_split_repeated_keys"] = """SELECT l_returnflag, count(*) AS n_rows, count(*) AS n_with_side,
+  count(DISTINCT (l_orderkey, l_linenumber)) AS n_lines, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n_test
+FROM lineitem GROUP BY l_returnflag"""
+    q["q_union_complete"] = f"""SELECT o_orderkey, {r6('o_totalprice')} AS gap, CAST(year(o_orderdate) AS VARCHAR) AS ANO_BASE
+FROM orders WHERE year(o_orderdate) IN (1995, 1996) AND o_orderkey % 3 <> 0 AND o_totalprice IS NOT NULL"""
     docs = ("j AS (SELECT d.doc_id, d.n_chars, d.lang, l.quality, CASE WHEN d.n_chars > 2000 THEN 1 ELSE 0 END AS prediction "
             "FROM documents d JOIN labels l ON d.doc_id = l.doc_id)")
     tp = "count(*) FILTER (WHERE quality = 1 AND prediction = 1)"

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import SparkSession
 
@@ -23,9 +25,6 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # census tables are wide (200 columns); constraint propagation over many
-    # aliased columns and IsNotNull filters grows exponentially in the optimizer
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -52,8 +51,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; set a scratch one only if unset.
 
-    On a cluster this setting names a shared folder (HDFS/S3/...); a
-    machine-local temporary folder is only chosen for local runs and tests.
+    On a cluster this setting names a shared folder (HDFS/S3/...). A scratch
+    folder of this machine is only chosen for a local master (tests, trials);
+    elsewhere executors could not read it, so an unset folder is an error.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
@@ -61,19 +61,39 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
         return configured
+    if not is_local(sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="dropflow-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local
 
 
-def prepare_for_wide_tables(spark: SparkSession) -> None:
-    """Job entry points over wide census tables call this: it only turns off
-    the optimizer's constraint propagation (inferred IsNotNull filters)."""
-    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+def is_local(master: str) -> bool:
+    """One JVM: ``local`` or ``local[..]`` (a local-cluster has executors with folders of their own)."""
+    return master == "local" or master.startswith("local[")
 
 
-def cut_lineage(df):
-    """Reliable checkpoint (survives executor loss; never localCheckpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+@contextmanager
+def wide_tables(spark: SparkSession):
+    """Turn the optimizer's constraint propagation off while a job plans and runs, then restore it.
+
+    Census tables are wide (200 columns); inferred constraints over many aliased columns and IsNotNull
+    filters grow exponentially in the optimizer.
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield spark
+    finally:
+        spark.conf.set(key, before)
+
+
+def for_wide_tables(job):
+    """Decorator of jobs whose first argument is the session: run them inside :func:`wide_tables`."""
+    @wraps(job)
+    def run(spark, *args, **kwargs):
+        with wide_tables(spark):
+            return job(spark, *args, **kwargs)
+    return run

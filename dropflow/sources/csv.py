@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import fnmatch
 import posixpath
+from urllib.parse import unquote, urlsplit
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import NA_TOKENS
-from ..functions.categories import year_from_name
 from ..functions.numeric import NUMERIC_PATTERN
 
 LATIN1 = "ISO-8859-1"
@@ -38,14 +39,19 @@ def list_tables(spark: SparkSession, directory: str, pattern: str = "*.csv",
         reader = reader.option("recursiveFileLookup", "true")
     try:
         files = reader.load(directory).select("path")
-    except Exception:  # noqa: BLE001 - missing directory -> no tables
+    except AnalysisException as e:  # a missing folder holds no tables; other failures are the caller's to see
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return []
+    base = _plain(directory)
     paths = [r[0] for r in files.collect()]  # one row per file: bounded by the listing
     out = []
     excluded = set(exclude_dirs)
     for p in paths:
         name = posixpath.basename(p)
-        parts = p.split("/")[:-1]
+        inside = _plain(p)
+        # only folders below the start folder are pruned
+        parts = inside[len(base):].split("/")[:-1] if inside.startswith(base) else inside.split("/")[:-1]
         if excluded and any(d in excluded for d in parts):
             continue
         n, pat = (name.lower(), pattern.lower()) if case_insensitive else (name, pattern)
@@ -58,6 +64,11 @@ def list_tables(spark: SparkSession, directory: str, pattern: str = "*.csv",
     return sorted(out)
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and authority, percent-decoded, without a slash at its end."""
+    return unquote(urlsplit(path).path if "://" in path or path.startswith("file:") else path).rstrip("/")
+
+
 def normalise_missing(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
     """Turn the reader's missing-value tokens into NULL in string columns."""
     toks = list(tokens)
@@ -105,25 +116,23 @@ def _reader(spark, sep, encoding):
             .option("mode", "PERMISSIVE"))
 
 
+def _is_utf8(spark: SparkSession, path: str) -> bool:
+    """Whether every line of a text file is valid UTF-8, judged on its bytes."""
+    return spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() == 0
+
+
 def scan_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = LATIN1,
              infer: bool = False, usecols=None, with_source: bool = False) -> DataFrame:
     """Scan one delimited file as strings.
 
-    ``encoding='auto'`` reads UTF-8 and falls back to ISO-8859-1 when the
-    decoded text contains replacement characters (one aggregation decides).
+    ``encoding='auto'`` reads UTF-8 and falls back to ISO-8859-1 when a line's
+    bytes are not valid UTF-8 (one pass over the lines decides; a replacement
+    character that is really in the text is no such sign).
     ``usecols`` projects (pruned by the CSV reader). ``with_source`` adds the
     file name as ``__source``.
     """
     if encoding == "auto":
-        df = _reader(spark, sep, "UTF-8").csv(path)
-        strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-        bad = False
-        if strs:
-            cond = F.lit(False)
-            for c in strs:
-                cond = cond | F.coalesce(F.col(c).contains("�"), F.lit(False))
-            bad = df.filter(cond).limit(1).count() > 0
-        bad = bad or any("�" in c for c in df.columns)
+        bad = not _is_utf8(spark, path)
         encoding = LATIN1 if bad else "UTF-8"
     elif encoding.lower().replace("-", "") in ("latin1", "iso88591"):
         encoding = LATIN1
@@ -144,17 +153,6 @@ def scan_csv(spark: SparkSession, path: str, sep: str = ";", encoding: str = LAT
     return df
 
 
-def with_year_from_filename(df: DataFrame, out: str = "ANO_BASE") -> DataFrame:
-    """Year = all digits of the source file name, or ``desconhecido``."""
-    return df.withColumn(out, year_from_name(F.col("_metadata.file_name")))
-
-
-def union_files(spark: SparkSession, paths, **scan_kwargs) -> DataFrame:
-    """Scan files one by one and union them by column name (columns may drift)."""
-    from ..operators.union import union_by_name
-    return union_by_name([scan_csv(spark, p, **scan_kwargs) for p in paths])
-
-
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ";",
                 encoding: str = "UTF-8", partition_by=None, mode: str = "overwrite",
                 header: bool = True) -> None:
@@ -173,7 +171,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str = ";",
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
-               string_partitions=("ANO_BASE",)) -> DataFrame:
+               string_partitions=("ANO_BASE", "arquivo_base")) -> DataFrame:
     """Read a written table; Parquet schemas of different years are merged by
     name. Partition discovery types ``ANO_BASE=2022`` as a number, so the
     listed partition columns are turned back into strings."""

@@ -39,8 +39,8 @@ def course_view_by(spark: SparkSession, sf_dir: str, by=None, part_filter=None)
 
     ``part_filter(part_df) -> Column`` restricts courses by their own
     attributes (name, degree). The qualifying keys also prune lineitem
-    *before* the aggregation through a broadcast semi-join, but only when the
-    key set is proven small; otherwise the filter applies after aggregation.
+    *before* the aggregation through a semi-join, which adaptive execution
+    turns into a broadcast when the measured key set is small.
     """
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select(
@@ -55,9 +55,8 @@ def course_view_by(spark: SparkSession, sf_dir: str, by=None, part_filter=None)
         cond = part_filter(part)
         part = part.filter(cond)
         keys = part.select(F.col("p_partkey").alias("l_partkey"))
-        check = (os.path.join(sf_dir, "part.parquet"), str(cond))
-        if _is_small(keys, SEMIJOIN_BROADCAST_MAX_KEYS, check):
-            li = li.join(F.broadcast(keys), "l_partkey", "left_semi")
+        # no hint and no counting job: adaptive execution broadcasts the keys if their measured size is small
+        li = li.join(keys, "l_partkey", "left_semi")
     q = F.col("l_quantity")
     keys = [F.col("l_partkey").alias("p_partkey")] + ([by] if by is not None else [])
     per_part = li.groupBy(*keys).agg(
@@ -88,34 +87,9 @@ def course_view_by(spark: SparkSession, sf_dir: str, by=None, part_filter=None)
     )
     cols = ["CO_CURSO", "NO_CURSO", "TP_GRAU_ACADEMICO", "CO_REGIAO", "TP_REDE"] + \
         [c for c in per_part.columns if c != "p_partkey"]
-    # the part side is one row per key; broadcast it only when its size is known small
-    part = _maybe_broadcast(part, key=os.path.join(sf_dir, "part.parquet"))
     return part.join(per_part, "p_partkey", "inner").select(*cols)
 
 
-PART_BROADCAST_MAX_ROWS = 2_000_000
-SEMIJOIN_BROADCAST_MAX_KEYS = 5_000_000
-
-_SIZE_CHECKS: dict = {}
-
-
-def _is_small(df: DataFrame, max_rows: int, key=None) -> bool:
-    """Row count <= max_rows, counting at most max_rows + 1 rows; the answer is
-    remembered per input (tables are immutable inputs within a session)."""
-    small = _SIZE_CHECKS.get(key) if key is not None else None
-    if small is None:
-        small = df.limit(max_rows + 1).count() <= max_rows
-        if key is not None:
-            _SIZE_CHECKS[key] = small
-    return small
-
-
-def _maybe_broadcast(df: DataFrame, max_rows: int = PART_BROADCAST_MAX_ROWS, key=None) -> DataFrame:
-    """Broadcast hint only behind a row-count check; above the bound the join
-    stays a shuffle join."""
-    return F.broadcast(df) if _is_small(df, max_rows, key) else df
-
-
 # The same view as SQL text (Spark SQL and DuckDB both accept it); the oracle
 # side of the driver contract inlines it as a CTE.
 def course_view_sql(by_expr: str | None = None, by_alias: str | None = None) -> str:

@@ -5,9 +5,9 @@ form of the same job watches the folder with Structured Streaming: a
 ``binaryFile`` stream selecting only the path (file contents are never read
 by the stream) records which files were seen in the checkpoint's source log,
 and ``foreachBatch`` runs the batch feature build on the new files of each
-micro-batch. Each file overwrites its own ``ANO_BASE`` partition, so a
-micro-batch replayed after a failure rewrites the same partitions (idempotent
-sink), and per-file failures are appended to a status table.
+micro-batch. Each file overwrites its own (year, file) partition and each
+micro-batch its own partition of the status table, so a micro-batch replayed
+after a failure writes the same again.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import StudyConfig
-from ..session import prepare_for_wide_tables
+from ..session import wide_tables
 
 _BINARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -37,10 +37,9 @@ def start_feature_stream(spark: SparkSession, input_dir: str, output_dir: str, c
     ``available_now=True`` processes everything present and stops (scheduled
     runs); ``False`` keeps polling every minute.
     """
-    from ..plans.jobs import _year_of, build_course_features
+    from ..plans.jobs import write_feature_file
     from ..sources.csv import scan_csv, write_table
 
-    prepare_for_wide_tables(spark)
     tables = posixpath.join(output_dir, "tables")
     status_path = posixpath.join(output_dir, "_status")
 
@@ -51,14 +50,14 @@ def start_feature_stream(spark: SparkSession, input_dir: str, output_dir: str, c
         for path in paths:
             try:
                 raw = scan_csv(spark, path, sep=";", encoding="ISO-8859-1")
-                out = build_course_features(raw, cfg, simple).withColumn("ANO_BASE", F.lit(_year_of(path)))
-                write_table(out, tables, partition_by="ANO_BASE", mode="overwrite")
-                rows.append((path, "ok", "", int(epoch_id)))
+                with wide_tables(spark):
+                    n = write_feature_file(raw, path, tables, cfg, simple)
+                rows.append((path, "ok" if n else "skipped", "" if n else "no rows after filters", n))
             except Exception as e:  # noqa: BLE001 - a bad file is recorded, the stream goes on
-                rows.append((path, "failed", f"{type(e).__name__}: {str(e)[:200]}", int(epoch_id)))
-        if rows:
-            spark.createDataFrame(rows, "file string, status string, reason string, epoch long") \
-                .write.mode("append").parquet(status_path)
+                rows.append((path, "failed", f"{type(e).__name__}: {e}", None))
+        if rows:  # a replayed micro-batch replaces its own rows
+            status = spark.createDataFrame(rows, "file string, status string, reason string, rows_out long")
+            write_table(status.withColumn("epoch", F.lit(int(epoch_id))), status_path, partition_by="epoch", mode="overwrite")
 
     stream = (spark.readStream.format("binaryFile").schema(_BINARY_SCHEMA)
               .option("pathGlobFilter", "*.[cC][sS][vV]")

@@ -66,6 +66,42 @@ def test_build_features_isolates_bad_file_and_unions_years(spark, census_dir, tm
     assert mega2.count() == n_first
 
 
+def test_files_of_one_year_or_none_keep_all_rows_and_stale_files_stay_out(spark, census_dir, tmp_dir):
+    source = os.path.join(census_dir, "MICRODADOS_CADASTRO_CURSOS_2022.CSV")
+    inbox = os.path.join(tmp_dir, "inbox")
+    os.makedirs(inbox)
+    text = open(source, encoding="latin-1").read()
+    for name in ("cursos_a.csv", "cursos_b.csv", "parte1_2022.csv"):
+        with open(os.path.join(inbox, name), "w", encoding="latin-1") as fh:
+            fh.write(text)
+    expected = feature_table(spark, SF001).count()
+    out = os.path.join(tmp_dir, "out")
+    mega, status = build_features(spark, inbox, out, CFG)
+    assert mega.count() == 3 * expected
+    assert {(r["status"], r["rows_out"]) for r in status.collect()} == {("ok", expected)}
+    years = {r["ANO_BASE"]: r["n"] for r in mega.groupBy("ANO_BASE").agg(F.count("*").alias("n")).collect()}
+    assert years == {"desconhecido": 2 * expected, "12022": expected}
+    os.remove(os.path.join(inbox, "cursos_a.csv"))
+    mega, _ = build_features(spark, inbox, out, CFG)
+    assert mega.count() == 2 * expected
+
+
+def test_listing_prunes_below_the_start_folder_only(spark, tmp_dir):
+    base = os.path.join(tmp_dir, "microdados", "x y")
+    os.makedirs(os.path.join(base, "venv"))
+    for d in (base, os.path.join(base, "venv")):
+        pd.DataFrame({"a": [1]}).to_csv(os.path.join(d, "t.csv"), index=False)
+    assert len(list_tables(spark, base, "*.csv", recursive=True, exclude_dirs=("microdados", "venv"))) == 1
+    assert list_tables(spark, os.path.join(base, "missing"), "*.csv") == []
+
+
+def test_auto_encoding_keeps_a_real_replacement_character(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "t.csv")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("a;b\né\ufffd;1\n")
+    assert scan_csv(spark, path, encoding="auto").first()["a"] == "é\ufffd"
+
+
 def test_root_filter_writes_full_and_analysis(spark, census_dir, tmp_dir):
     status = root_filter(spark, census_dir, tmp_dir, cfg=CFG)
     assert [r["status"] for r in status.collect()] == ["ok"]
@@ -79,7 +115,7 @@ def test_collect_metrics_report(spark, tmp_dir):
     d = os.path.join(tmp_dir, "tabelas", "sub")
     os.makedirs(d)
     pd.DataFrame({"arquivo": ["2022", "mega"], "modelo": ["RandomForest", "MLP"], "R2": [0.123456, -0.5],
-                  "MAE": [0.3, 0.2]}).to_csv(os.path.join(d, "metricas_REGRESSAO.csv"), sep=";", index=False)
+                  "MAE": [0.3, 0.2], "nota": ["boa", "má"]}).to_csv(os.path.join(d, "metricas_REGRESSAO.csv"), sep=";", index=False)
     pd.DataFrame({"Arquivo": ["ano ção"], "Modelo": ["LR"], "Accuracy": [0.71]}).to_csv(
         os.path.join(tmp_dir, "metricas_latin.csv"), sep=";", index=False, encoding="latin-1")
     os.makedirs(os.path.join(tmp_dir, "microdados"))
@@ -87,18 +123,23 @@ def test_collect_metrics_report(spark, tmp_dir):
     rep = collect_metrics(spark, tmp_dir).collect()
     tables = {r["tabela"] for r in rep}
     assert tables == {"tabelas/sub/metricas_REGRESSAO.csv", "metricas_latin.csv"}
+    assert {r["texto"] for r in rep if r["metrica"] == "nota"} == {"boa", "má"}  # a third text column stays
     vals = {(r["arquivo"], r["metrica"]): r["valor"] for r in rep}
     assert vals[("2022", "R2")] == 0.1235 and vals[("ano ção", "Accuracy")] == 0.71
 
 
-def test_evaluate_tables_guard_and_metrics(spark):
+def test_evaluate_tables_guard_and_metrics(spark, tmp_dir):
     from dropflow.plans.model_queries import model_table
     tables = {"all": model_table(spark, SF001), "tiny": model_table(spark, SF001).limit(20)}
-    metrics, imps, thr, status = evaluate_tables(spark, tables, task="binary", only=["LogisticRegression"])
+    metrics, imps, thr, status = evaluate_tables(spark, tables, task="binary", only=["LogisticRegression"],
+                                                 output_dir=tmp_dir)
     st = {r["file"]: (r["status"], r["reason"]) for r in status.collect()}
     assert st["all"][0] == "ok" and st["tiny"] == ("skipped", "fewer than 50 rows")
     m = metrics.collect()
     assert len(m) == 1 and 0.0 <= m[0]["ROC-AUC"] <= 1.0
+    written = {r["metrica"]: r["valor"] for r in collect_metrics(spark, tmp_dir).collect()}
+    assert written["ROC-AUC"] == pytest.approx(m[0]["ROC-AUC"], abs=1e-4) and "Accuracy" in written
+    assert {"metricas_BINARY", "importancias_BINARY", "limiares_BINARY"} <= set(os.listdir(tmp_dir))
     assert imps.filter(F.col("Modelo") == "LogisticRegression").count() > 0
 
 
@@ -113,7 +154,7 @@ def test_clean_2021(spark, census_dir, tmp_dir):
 
 def test_predictor_and_union_evaluation(spark, census_dir, tmp_dir):
     from dropflow.config import REDUCED_FEATURES
-    from dropflow.plans.jobs import evaluate_union, predictor, save_models
+    from dropflow.plans.jobs import evaluate_union, predictor
     from dropflow.plans.model_queries import model_table
     path = os.path.join(census_dir, "MICRODADOS_CADASTRO_CURSOS_2022.CSV")
     cfg = StudyConfig(course_name="")  # every course: the widget subset is below the 50-row guard
@@ -122,13 +163,13 @@ def test_predictor_and_union_evaluation(spark, census_dir, tmp_dir):
     assert [r["modelo"] for r in reg.collect()] == ["RandomForest"]
     assert [r["Modelo"] for r in cls.collect()] == ["LogisticRegression"] and thr > 0
     assert spark.read.parquet(os.path.join(tmp_dir, "models", "metrics_regression")).count() == 1
+    from pyspark.ml.regression import RandomForestRegressionModel
+    saved = os.path.join(tmp_dir, "models", "models")
+    assert sorted(os.listdir(saved)) == ["classifier_LogisticRegression", "regressor_RandomForest"]
+    assert RandomForestRegressionModel.load(os.path.join(saved, "regressor_RandomForest")).getNumTrees == 100
     frames = {"2022": model_table(spark, SF001), "2023": model_table(spark, SF001)}
     m, imp, t = evaluate_union(spark, frames, keep=REDUCED_FEATURES, only=["LogisticRegression"])
     assert m.count() == 1 and imp.count() > 0
-    from pyspark.ml.feature import StringIndexer
-    model = StringIndexer(inputCol="c", outputCol="i").fit(spark.createDataFrame([("a",)], "c string"))
-    save_models({"idx": model}, os.path.join(tmp_dir, "saved"))
-    assert os.path.isdir(os.path.join(tmp_dir, "saved", "idx"))
 
 
 def test_evaluate_tables_root_profile_reduced(spark):
@@ -140,7 +181,8 @@ def test_evaluate_tables_root_profile_reduced(spark):
                                                  keep=REDUCED_FEATURES, only=["LogisticRegression"])
     assert [r["status"] for r in status.collect()] == ["ok"]
     feats = {r["Feature"] for r in imps.collect()}
-    assert "QT_ING" in feats and "CO_REGIAO" in feats and "CO_CURSO" not in feats
+    assert "QT_ING" in feats and "CO_REGIAO" in feats
+    assert any(f == "CO_CURSO" or f.startswith("CO_CURSO=") for f in feats)  # one of the reduced predictors
     assert not any(f.startswith("FEAT_") for f in feats)  # outside the reduced keep-list
 
 

@@ -47,3 +47,41 @@ def test_split_sizes_exact_and_deterministic(spark):
     sizes = {r["y"]: r["n"] for r in st.filter("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()}
     full = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
     assert sizes == {k: math.ceil(v * 0.2) for k, v in full.items()}
+
+
+def test_split_of_repeated_keys_is_disjoint_complete_and_exact(spark):
+    # seven key values and many equal rows: the whole row, not the key, decides
+    df = spark.range(0, 2000).select((F.col("id") % 7).alias("key"), (F.col("id") % 500).alias("v"), (F.col("id") % 2).alias("y"))
+    flagged = split(df, None, 0.2, 42, stratify="y")
+    a = flagged.groupBy("key", "v", "y").count()
+    assert a.agg(F.sum("count")).first()[0] == 2000
+    sizes = {r["y"]: r["n"] for r in flagged.filter("is_test").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    assert sizes == {0: 200, 1: 200}
+    again = split(df.repartition(5), None, 0.2, 42, stratify="y").filter("is_test").drop("is_test")
+    assert flagged.filter("is_test").drop("is_test").exceptAll(again).count() == 0
+
+
+def test_mlp_regressor_learns_saves_and_reloads(spark, tmp_dir):
+    from pyspark.ml.feature import VectorAssembler
+    from dropflow.operators.mlp_regressor import MLPRegressionModel, MLPRegressor
+    df = spark.range(0, 400).select((F.col("id") / 200 - 1).alias("a")).withColumn("label", F.col("a") * 2 + 0.5)
+    data = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
+    model = MLPRegressor(hidden=(8,), activation="relu", max_iter=60, learning_rate=0.05).fit(data)
+    got = model.transform(data)
+    assert got.agg(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).first()[0] < 0.1
+    model.write().overwrite().save(tmp_dir + "/mlp")
+    back = MLPRegressionModel.load(spark, tmp_dir + "/mlp").transform(data)
+    assert [r["prediction"] for r in back.collect()] == [r["prediction"] for r in got.collect()]
+
+
+def test_class_weights_do_not_shuffle_rows(spark):
+    from dropflow.operators.stats import class_weights
+    df = spark.range(0, 10).withColumn("y", (F.col("id") < 3).cast("int"))
+    w = class_weights(df, "y")
+    assert "Exchange" not in w._jdf.queryExecution().executedPlan().toString()
+    assert {r["y"]: r["weight"] for r in w.collect()} == pytest.approx({0: 10 / 14, 1: 10 / 6})
+
+
+def test_checkpoint_folder_is_required_off_local():
+    from dropflow.session import is_local
+    assert is_local("local") and is_local("local[4]") and not is_local("local-cluster[2,1,1024]") and not is_local("yarn")
