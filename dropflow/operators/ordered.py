@@ -48,15 +48,14 @@ def with_buckets(df: DataFrame, key, group_cols=(), num_buckets: int | None = No
                  weight_col: str | None = None) -> DataFrame:
     """Add ``__bk``: an order-preserving bucket of ``key`` within each group.
 
-    With ``weight_col`` rows without weight do not shape the buckets; reading the
-    weight also keeps this branch's input the same as its neighbours', so that
-    adaptive execution computes it once.
+    Naming the ``weight_col`` (counts, never negative) keeps this branch's input the
+    same as its neighbours', so that adaptive execution computes it once.
     """
     group_cols = list(group_cols)
     b = _buckets(df, num_buckets)
     k = F.col(key).cast("double") if isinstance(key, str) else key.cast("double")
     probs = [i / b for i in range(1, b)]
-    seen = df if weight_col is None else df.filter(F.col(weight_col) > 0)
+    seen = df if weight_col is None else df.filter(F.col(weight_col) >= 0)
     bounds = seen.groupBy(*group_cols).agg(
         F.percentile_approx(k, probs, 10 * b).alias("__b"))
     if group_cols:
