@@ -48,7 +48,10 @@ from .simhash import word_lists
 FREQUENT, ENDINGS, MARKED = 15, 24, 8
 CLASSES = 1 + FREQUENT + ENDINGS + MARKED
 #: Weight rows: bigram buckets, skip buckets, pairs of classes.
-BUCKETS = 1 << 13
+BUCKET_BITS = 13
+BUCKETS = 1 << BUCKET_BITS
+#: Bits of a class, and of a word's place in its block (beside 39 bits of block number).
+CLASS_BITS, PLACE_BITS = 6, 24
 WEIGHT_ROWS = 2 * BUCKETS + CLASSES * CLASSES
 #: A block ends at so many tokens (a longer text is a block of its own).
 BLOCK_TOKENS = 1 << 21
@@ -98,7 +101,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         T.StructField("counts", T.BinaryType()), T.StructField("endings", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 16
         key_type = None
         ids: dict[bytes, int] = {}
         streams: list[np.ndarray] = []
@@ -156,34 +159,44 @@ def _signed(h: int) -> int:
 
 
 def _dictionary(blocks_: DataFrame) -> DataFrame:
-    """A row (block, word, at, n, ending) for each word of each block."""
+    """A row for each word of each block: word, at (block and place), told (training tokens and ending class).
+
+    Pairs of small numbers are packed into one long each, as these rows are what the shuffles carry.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 words = np.frombuffer(batch.column("words")[i].as_py(), "<i8")
                 counts = np.frombuffer(batch.column("counts")[i].as_py(), "<i8")
                 endings = np.frombuffer(batch.column("endings")[i].as_py(), np.uint8)
+                at = (batch.column("block")[i].as_py() << PLACE_BITS) + np.arange(len(words), dtype=np.int64)
+                told = counts << CLASS_BITS | endings
                 for s in range(0, len(words), 50_000):
-                    e = min(s + 50_000, len(words))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(e - s, batch.column("block")[i].as_py()), pa.int64()), pa.array(words[s:e], pa.int64()),
-                         pa.array(np.arange(s, e, dtype=np.int32), pa.int32()), pa.array(counts[s:e], pa.int64()),
-                         pa.array(endings[s:e].astype(np.int32), pa.int32())],
-                        names=["block", "word", "at", "n", "ending"])
+                    part = slice(s, s + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[part], pa.int64()), pa.array(at[part]), pa.array(told[part])],
+                                                     names=["word", "at", "told"])
+
+    return blocks_.select("block", "words", "counts", "endings").mapInArrow(run, "word long, at long, told long")
+
 
-    return (blocks_.select("block", "words", "counts", "endings")
-            .mapInArrow(run, "block long, word long, at int, n long, ending int"))
+def _gathered(table: pa.Table) -> pa.Table:
+    """The rows (block, at, told) of a block as one row of arrays in order of the places."""
+    at = table.column("at").to_numpy() & ((1 << PLACE_BITS) - 1)
+    told = np.empty(len(at), np.int64)
+    told[at] = table.column("told").to_numpy()
+    arrays = (told >> (CLASS_BITS + BUCKET_BITS), (told >> CLASS_BITS & (BUCKETS - 1)).astype("<u2"),
+              (told & ((1 << CLASS_BITS) - 1)).astype(np.uint8))
+    return pa.table([table.column("block").slice(0, 1)] + [pa.array([a.tobytes()], pa.binary()) for a in arrays],
+                    names=["block", "c", "bucket", "class"])
 
 
 # ---- the model ----------------------------------------------------------
 
-def features(words: np.ndarray, classes: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(buckets: np.ndarray, classes: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows of weights of each token, its class); no context crosses the start of a text."""
-    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bucket = (mixed >> np.uint64(51)).astype(np.int32)  # 13 bits
     cls = classes[stream].astype(np.int32)
     starts = np.cumsum(lengths) - lengths
-    b, rows = bucket[stream], np.zeros((3, len(stream)), np.uint16)
+    b, rows = buckets[stream].astype(np.int32), np.zeros((3, len(stream)), np.uint16)
     b1, b2 = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
     c1, c2 = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
     b1[1:], c1[1:] = b[:-1], cls[:-1]
@@ -227,8 +240,8 @@ def _trained(resolved: DataFrame, weights: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, sq, tokens = shared.value.copy(), np.zeros_like(shared.value), 0
-        for words, classes, _, stream, lengths, held, _ in _opened(batches):
-            rows, cls = features(words, classes, stream, lengths)
+        for buckets, classes, _, stream, lengths, held, _ in _opened(batches):
+            rows, cls = features(buckets, classes, stream, lengths)
             train = np.flatnonzero(np.repeat(~held, lengths))
             for i in range(0, len(train), BATCH):
                 t = train[i:i + BATCH]
@@ -258,18 +271,14 @@ def _trained(resolved: DataFrame, weights: np.ndarray) -> np.ndarray:
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Arrays of each resolved block: words, classes, counts, stream, lengths, held_out, doc_ids."""
+    """Arrays of each resolved block: buckets, classes, counts, stream, lengths, held_out, doc_ids."""
     for batch in batches:
         for i in range(batch.num_rows):
-            get = lambda c: batch.column(c)[i]
-            words = np.frombuffer(get("words").as_py(), "<i8")
-            at = np.asarray(get("at").values)
-            counts = np.zeros(len(words), np.int64)
-            counts[at] = np.asarray(get("c").values)
-            classes = np.zeros(len(words), np.uint8)
-            classes[at] = np.asarray(get("class").values)
-            yield (words, classes, counts, from_planes(get("stream").as_py()), np.asarray(get("lengths").values),
-                   np.asarray(get("held_out").values.to_numpy(zero_copy_only=False), bool), get("doc_ids").values)
+            raw = {c: batch.column(c)[i].as_py() for c in ("bucket", "class", "c", "stream")}
+            yield (np.frombuffer(raw["bucket"], "<u2"), np.frombuffer(raw["class"], np.uint8), np.frombuffer(raw["c"], "<i8"),
+                   from_planes(raw["stream"]), np.asarray(batch.column("lengths")[i].values),
+                   np.asarray(batch.column("held_out")[i].values.to_numpy(zero_copy_only=False), bool),
+                   batch.column("doc_ids")[i].values)
 
 
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -278,7 +287,10 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     flagged = docs.select("doc_id", "text", (fold("doc_id", folds) == held_fold).alias("held_out"))
     made = written(blocks(flagged), "lm-blocks")
     dictionary = _dictionary(made)
-    counted = checkpoint(dictionary.groupBy("word").agg(F.sum("n").alias("c"), F.min("ending").alias("ending")))
+    mask = F.lit((1 << CLASS_BITS) - 1).cast("long")
+    # a word has one ending class, so the packed numbers add up: its tokens above, the class from any row
+    counted = checkpoint(dictionary.select("word", "told").groupBy("word").agg(
+        F.sum(F.shiftright("told", CLASS_BITS)).alias("c"), F.min(F.col("told").bitwiseAND(mask)).alias("ending")))
     known = counted.filter("c > 0")
     top = [r["word"] for r in known.filter(F.col("word") != END_HASH).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
     cls = F.when(F.col("word") == END_HASH, F.lit(0))
@@ -291,11 +303,13 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
         class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
     n_train, n_words = int(class_n.sum()), int(class_v.sum())
     # the counts of a block's words go back to the block: a row for each word of each block
-    found = (dictionary.select("block", "word", "at").join(classed, "word")
-             .groupBy("block").agg(F.collect_list(F.struct("at", "c", F.col("class").cast("byte").alias("class"))).alias("found")))
-    resolved = made.drop("counts", "endings").join(found, "block").select(
-        "block", "doc_ids", "held_out", "lengths", "stream", "words",
-        F.col("found.at").alias("at"), F.col("found.c").alias("c"), F.col("found.class").alias("class"))
+    bucket = F.shiftright("word", 20).bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
+    told = classed.select("word", F.shiftleft("c", CLASS_BITS + BUCKET_BITS).bitwiseOR(F.shiftleft(bucket, CLASS_BITS))
+                          .bitwiseOR(F.col("class").cast("long")).alias("told"))
+    found = (dictionary.select("word", "at").join(told, "word")
+             .select(F.shiftright("at", PLACE_BITS).alias("block"), "at", "told")
+             .groupBy("block").applyInArrow(_gathered, "block long, c binary, bucket binary, class binary"))
+    resolved = made.select("block", "doc_ids", "held_out", "lengths", "stream").join(found, "block")
     path = scratch_path(spark, "lm-resolved")
     resolved.write.option("compression", "zstd").parquet(path)
     resolved = spark.read.schema(resolved.schema).parquet(path)
@@ -315,10 +329,10 @@ def _scored(resolved: DataFrame, weights: np.ndarray, class_n: np.ndarray, class
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
-        for words, classes, counts, stream, lengths, held, doc_ids in _opened(batches):
+        for buckets, classes, counts, stream, lengths, held, doc_ids in _opened(batches):
             base = np.log10((counts + 1.0) / (n_train + 1.0 * (n_words + 1)))
             inside = np.log10((counts + 1.0) / (class_n + class_v + 1.0)[classes])
-            rows, cls = features(words, classes, stream, lengths)
+            rows, cls = features(buckets, classes, stream, lengths)
             logs = np.empty(len(stream))
             for i in range(0, len(stream), BATCH):
                 c = cls[i:i + BATCH]
