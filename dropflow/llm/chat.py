@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import workers_import
+
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 ASSISTANT = "assistant"
 SEGMENT_TURNS = 64
@@ -102,6 +104,7 @@ def tokenizer(path: str):
 def format_chats(conversations: DataFrame, path: str, segment_turns: int = SEGMENT_TURNS,
                  part_chars: int = PART_CHARS) -> DataFrame:
     """The training rows of all conversations (columns conv_id, turn, role, text)."""
+    workers_import(conversations.sparkSession)
     id_type = conversations.schema["conv_id"].dataType
     longs = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("conv_id", id_type), T.StructField("segment", T.LongType()),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,20 @@ BROADCAST_ROWS = 100_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers started on this machine import the package from where the driver did.
+
+    Executors elsewhere get the package as any Spark job's code, with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

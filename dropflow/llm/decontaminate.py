@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import appended, texts, with_new
-from .common import written
+from .common import workers_import, written
 
 WINDOW = 10
 BLOCK_CHARS = 4_000_000
@@ -133,6 +133,7 @@ def _cached(key: str, items: list, size: int) -> ahocorasick.Automaton | None:
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_chars: int = BLOCK_CHARS,
          prefix: str = "") -> DataFrame:
     """All columns of the documents and n_words, n_hit, items (sorted ids), spans (in code points)."""
+    workers_import(docs.sparkSession)
     names = [prefix + x for x in ("n_words", "n_hit", "items", "spans")]
     mask = "__hit_mask"
     out = docs

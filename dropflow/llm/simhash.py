@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import appended, pieces, texts, with_new
-from .common import checkpoint, written
+from .common import checkpoint, workers_import, written
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -94,6 +94,7 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = HASH_SEED) -> i
 
 def with_fingerprints(docs: DataFrame, name: str = "__fp") -> DataFrame:
     """Append the fingerprint as a signed long; all columns stay."""
+    workers_import(docs.sparkSession)
     schema = with_new(docs, (name, T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
