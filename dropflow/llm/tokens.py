@@ -2,9 +2,9 @@
 
 Encoding: every whole text goes through the given tokenizer. The tokenizer
 drops white space and cuts words apart before it merges, so a text's ids are
-the ids of its white-space-separated pieces in order; each task encodes a
+the ids of its white-space-separated pieces in order; each worker encodes a
 piece it has not seen yet with the tokenizers library and keeps the ids, which
-saves most of the work. :func:`PieceEncoder` holds the exact conditions.
+saves most of the work. :class:`PieceEncoder` holds the exact conditions.
 
 File format (a Parquet dataset, so that any store that Spark reaches can hold
 it): one row per block of consecutive documents, in ascending doc_id order.
@@ -141,7 +141,7 @@ class PieceEncoder:
             return data.split()
         if latin.translate(None, _PLAIN) or b"<|" in latin:
             return data.split()
-        lower = (text.lower() if not text.isascii() else text.lower()).encode()
+        lower = text.lower().encode()
         kind = latin.translate(_KIND)
         if b"q" not in kind and not any(two in kind for two in (b"pp", b"pP", b"Pp")):
             lower = lower.replace(b".", b" . ").replace(b",", b" , ")
