@@ -1,6 +1,6 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(token | context) = P(class of token | context) * P(token | its class).
+P(token | context) = P(class of token | context) * P(token | its class, context).
 
 * Classes: the end of a text, the most frequent words (a class each), and
   groups of the other words by their ending. Every word has one class, so the
@@ -9,17 +9,25 @@ P(token | context) = P(class of token | context) * P(token | its class).
 * P(class | context) is a softmax over sums of weights of hashed features: the
   word before (bigram), the word two before (skip), and the pair of the two
   classes before (trigram of classes).
-* P(token | class) = (c + 1) / (class tokens + class words + 1); unknown
-  words take the remaining 1.
+* P(token | class, context): the class's words are the leaves of a binary tree
+  (first bits of the word's hash, then its rank by count among the words that
+  share them), so each word has a leaf of its own. A node's choice is a
+  logistic model: the log ratio of the counts (c + 1) below its two sides, plus
+  weights of (node, word before) and (node, word two before), hashed. Without
+  those weights the product is (c + 1) / (class tokens + class words + 1);
+  unknown words take the remaining 1 of it in every context.
 
 How it runs: texts become blocks of token streams over a block's own
 dictionary, so a word is one row a block in every shuffle however often it
 occurs. Counts come from those rows over all training texts; joined back, each
 block has the counts and classes of its words. Training reads every training
 token once, in two rounds over halves of the blocks: a task starts from the
-current weights, makes Adagrad steps on batches of tokens, and its weights,
-weighted by its tokens, are averaged in two reduction steps. Only the weights
-(``WEIGHT_ROWS`` x ``CLASSES`` floats, fixed) ever reach the driver. Scoring
+current weights, makes Adagrad steps on batches of tokens, and the tasks' weights
+are averaged in two reduction steps, each over the tokens that touched it.
+The weights of the nodes grow with the counted words: they are a table keyed by
+group of nodes and chunk, and as nodes share nothing, a pass over the blocks
+trains or scores one group of at most ``2 ** GROUP_BITS`` weights (mostly all).
+Only the class weights, one group and the tree's top reach the driver. Scoring
 reads the blocks again in batches.
 
 Defined cases: null or empty text: the end token alone; a null doc_id counts
@@ -61,6 +69,14 @@ RATE = 0.3
 #: Rows of weights that are reduced together, and first-level groups of tasks.
 CHUNK_ROWS, FIRST_LEVEL = 1 << 10, 64
 END_HASH = -1
+#: Words below one node of the tree's top on average, and levels below it (a word's rank there has so many bits).
+SUBTREE_WORDS, DEEP = 256, 12
+#: Counted words per weight of the nodes, least and most weights of a group (bits), and training tokens per weight in a task.
+WORDS_PER_WEIGHT, LEAST_BITS, GROUP_BITS, TOKENS_PER_WEIGHT = 4, 16, 22, 4
+TREE_BATCH, TREE_RATE, TREE_PRIOR = 1 << 16, 0.3, 16.0
+#: Log ratios of the deep nodes (the right side has the rarer words) are 5-bit codes of these values; code 31: one side is empty, no choice.
+RATIOS = np.array([-4 * x - 8 * x * x for x in np.linspace(0, 1, 31)], np.float32)
+NO_CHOICE = 31
 
 _MARKS = b".,;:!?"
 
@@ -125,7 +141,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             endings = np.array([0 if i == 0 else ending_class(names[i]) for i in order.tolist()], np.uint8)
             row = [pa.array([number], pa.int64()), pa.array([keys], pa.list_(key_type)), pa.array([held], pa.list_(pa.bool_())),
                    pa.array([lengths], pa.list_(pa.int64())),
-                   *(pa.array([x], pa.binary()) for x in (to_planes(rank[stream]), hashes.tobytes(),
+                   *(pa.array([x], pa.binary()) for x in (pa.compress(to_planes(rank[stream]), "zstd", asbytes=True), hashes.tobytes(),
                                                           counts.astype("<i8").tobytes(), endings.tobytes()))]
             out = pa.RecordBatch.from_arrays(row, names=schema.names)
             number, total, ids = number + 1, 0, {}
@@ -180,14 +196,120 @@ def _dictionary(blocks_: DataFrame) -> DataFrame:
 
 
 def _gathered(table: pa.Table) -> pa.Table:
-    """The rows (block, at, told) of a block as one row of arrays in order of the places."""
-    at = table.column("at").to_numpy() & ((1 << PLACE_BITS) - 1)
-    told = np.empty(len(at), np.int64)
-    told[at] = table.column("told").to_numpy()
-    arrays = (told >> (CLASS_BITS + BUCKET_BITS), (told >> CLASS_BITS & (BUCKETS - 1)).astype("<u2"),
-              (told & ((1 << CLASS_BITS) - 1)).astype(np.uint8))
+    """The rows (block, at, told, path) of a block as one row of arrays in order of the places."""
+    at = table.column("at").to_numpy()
+    place, count = at & ((1 << PLACE_BITS) - 1), len(at)
+    code, told, path = np.empty(count, "<u4"), np.empty(count, np.int64), np.empty(count, np.int64)
+    code[place] = at >> PLACE_BITS & 0xFFFFFFFF
+    told[place], path[place] = table.column("told").to_numpy(), table.column("path").to_numpy()
+    arrays = (told >> (CLASS_BITS + DEEP), code, (told & ((1 << CLASS_BITS) - 1)).astype(np.uint8),
+              (told >> CLASS_BITS & ((1 << DEEP) - 1)).astype("<u2"), path)
     return pa.table([table.column("block").slice(0, 1)] + [pa.array([a.tobytes()], pa.binary()) for a in arrays],
-                    names=["block", "c", "bucket", "class"])
+                    names=["block", "c", "code", "class", "rank", "path"])
+
+
+# ---- the tree of a class's words ------------------------------------------
+
+def _log_ratios(mass: np.ndarray) -> list[np.ndarray]:
+    """Per level from the root: log(mass of the right side / of the left), nan where a side is empty; mass: [.., 2 ** levels]."""
+    levels = []
+    while mass.shape[-1] > 1:
+        left, right = mass[..., 0::2], mass[..., 1::2]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            levels.append(np.where((left > 0) & (right > 0), np.log(right / left), np.nan).astype(np.float32))
+        mass = left + right
+    return levels[::-1]
+
+
+def _subtree(table: pa.Table) -> pa.Table:
+    """Words of one class below one node of the top: told with the rank by count, and the codes of the log ratios on the path."""
+    word, c = table.column("word").to_numpy(), table.column("c").to_numpy()
+    rank, known = np.zeros(len(word), np.int64), c > 0
+    order = np.lexsort((word, -c))[:known.sum()]
+    rank[order] = np.arange(len(order))
+    mass = np.zeros(1 << DEEP)
+    mass[:len(order)] = c[order] + 1.0
+    path = np.zeros(len(word), np.int64)
+    for j, ratio in enumerate(_log_ratios(mass)):
+        code = np.where(np.isnan(ratio), NO_CHOICE, np.abs(RATIOS[:, None] - np.nan_to_num(ratio)).argmin(axis=0)).astype(np.int64)
+        path |= np.where(known, code[rank >> (DEEP - j)], NO_CHOICE) << 5 * j
+    told = c << (CLASS_BITS + DEEP) | rank << CLASS_BITS | table.column("class").to_numpy().astype(np.int64)
+    return pa.table({"word": table.column("word"), "told": told, "path": path})
+
+
+class Choices:
+    """The choices on the paths of a block's words, as flat arrays: node (hashed), side (1 right, -1 left), base (log odds of the side)."""
+
+    def __init__(self, code, classes, counts, ranks, path, top: list[np.ndarray], group: int = 0, groups: int = 1):
+        top_bits, found = len(top), []
+        for s in range(0, len(code), 1 << 16):
+            at = slice(s, s + (1 << 16))
+            cls, prefix, rank = classes[at].astype(np.uint32), code[at].astype(np.int64) >> (32 - top_bits), ranks[at].astype(np.int64)
+            base = np.empty((len(cls), top_bits + DEEP), np.float32)
+            right = np.empty(base.shape, bool)
+            node = np.empty(base.shape, np.uint32)
+            for j in range(top_bits):
+                above = prefix >> (top_bits - j)
+                base[:, j], right[:, j] = top[j][cls, above], prefix >> (top_bits - 1 - j) & 1
+                node[:, j] = _mixed(above.astype(np.uint32), cls * np.uint32(64) + np.uint32(j))
+            inside = np.append(RATIOS, np.float32(np.nan))
+            for j in range(DEEP):
+                k = top_bits + j
+                base[:, k], right[:, k] = inside[path[at] >> 5 * j & 31], rank >> (DEEP - 1 - j) & 1
+                above = (prefix << DEEP | rank >> (DEEP - j)).astype(np.uint32)
+                node[:, k] = _mixed(above, cls * np.uint32(64) + np.uint32(k))
+            real = ~np.isnan(base) & (counts[at] > 0)[:, None]
+            if groups > 1:
+                real &= (node >> np.uint32(7)) % np.uint32(groups) == group
+            side = np.where(right[real], np.float32(1), np.float32(-1))
+            found.append((real.sum(axis=1), node[real], side, side * base[real]))
+        self.sizes, self.node, self.side, self.base = (np.concatenate(x) for x in zip(*found))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, words: np.ndarray, before: np.ndarray, bits: int) -> tuple:
+        """The choices of tokens: (token of each, side, base, indices of both weights); before: hashes of both contexts."""
+        size = self.sizes[words]
+        token = np.repeat(np.arange(len(words)), size)
+        at = np.arange(len(token)) + np.repeat(self.starts[words] - (np.cumsum(size) - size), size)
+        node = self.node[at]
+        index = ((node ^ before[:, token]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+        return token, self.side[at], self.base[at], index
+
+
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    h = (x ^ y * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
+
+
+def contexts(code: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the word before and of the word two before each token (0 before the start of a text)."""
+    own, starts = code[stream], np.cumsum(lengths) - lengths
+    before = np.zeros((2, len(own)), np.uint32)
+    before[0, 1:], before[1, 2:] = _mixed(own[:-1], np.uint32([1])), _mixed(own[:-2], np.uint32([2]))
+    before[0, starts] = before[1, starts] = 0
+    before[1, starts[lengths > 1] + 1] = 0
+    return before
+
+
+def choice_odds(tree: np.ndarray, side: np.ndarray, base: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Log odds of the sides taken."""
+    return base + side * (tree[index[0]] + tree[index[1]])
+
+
+def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, side: np.ndarray, base: np.ndarray,
+               index: np.ndarray) -> None:
+    """One Adagrad step on the choices of a batch of tokens, in place."""
+    miss = -side / (1.0 + np.exp(choice_odds(tree, side, base, index)))
+    g = np.bincount(index[0], miss, len(tree)) + np.bincount(index[1], miss, len(tree))
+    touched += np.bincount(index.ravel(), minlength=len(tree))
+    squares += g * g
+    tree -= TREE_RATE * g / np.sqrt(squares + TREE_PRIOR)
+
+
+def tree_logs(tree: np.ndarray, choices: Choices, words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Sum of the log probabilities of each token's choices (natural logarithm)."""
+    token, side, base, index = choices.of(words, before, int(len(tree)).bit_length() - 1)
+    return np.bincount(token, -np.logaddexp(np.float32(0), -choice_odds(tree, side, base, index)), len(words))
 
 
 # ---- the model ----------------------------------------------------------
@@ -233,56 +355,104 @@ def train_on(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np
         weights[touched] -= RATE * step / np.sqrt(squares[touched] + 1e-6)
 
 
-def _trained(resolved: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """One round: local steps on every block given, then the average weighted by tokens."""
-    spark = resolved.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+def _packed(part: np.ndarray, touched: np.ndarray) -> tuple[bytes, bytes]:
+    """Weights as 16-bit floats; tokens that touched each row as 8 log2(n + 1) in a byte."""
+    return part.astype("<f2").tobytes(), np.rint(8 * np.log2(touched + 1.0)).clip(0, 255).astype(np.uint8).tobytes()
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    """The average of parts of weights, each row over the tokens that touched it (untouched rows stay)."""
+    total = kept = tokens = None
+    for part, n in zip(table.column("part"), table.column("touched")):
+        n = np.exp2(np.frombuffer(n.as_py(), np.uint8) / 8.0) - 1.0
+        part = np.frombuffer(part.as_py(), "<f2").reshape(len(n), -1).astype(np.float64)
+        if total is None:
+            total, kept, tokens = np.zeros_like(part), part, np.zeros(len(n))
+        total += part * n[:, None]
+        tokens += n
+    mean = np.where(tokens[:, None] > 0, total / np.maximum(tokens, 1e-9)[:, None], kept)
+    part, n = _packed(mean, tokens)
+    first = table.slice(0, 1)
+    return pa.table({"chunk": first.column("chunk"), "salt": first.column("salt"), "part": pa.array([part], pa.binary()),
+                     "touched": pa.array([n], pa.binary())})
+
+
+def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray, top: list, group: int, groups: int) -> DataFrame:
+    """One round on a group of nodes (and the class weights, if given): local steps on every block, then the averages.
+
+    Returns (chunk, salt, part, touched); chunks of class weights count from 0, those of the nodes from -1 down.
+    """
+    shared = resolved.sparkSession.sparkContext.broadcast((weights, tree, top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, sq, tokens = shared.value.copy(), np.zeros_like(shared.value), 0
-        for buckets, classes, _, stream, lengths, held, _ in _opened(batches):
-            rows, cls = features(buckets, classes, stream, lengths)
+        w, t, tops = shared.value
+        t = t.copy()
+        t_sq, t_n = np.zeros_like(t), np.zeros(len(t), np.int64)
+        bits = len(t).bit_length() - 1
+        if w is not None:
+            w, sq, w_n = w.copy(), np.zeros_like(w), np.zeros(len(w), np.int64)
+        tokens = 0
+        for code, classes, counts, ranks, path, stream, lengths, held, _ in _opened(batches):
             train = np.flatnonzero(np.repeat(~held, lengths))
-            for i in range(0, len(train), BATCH):
-                t = train[i:i + BATCH]
-                train_on(w, sq, rows[:, t], cls[t])
+            if w is not None:
+                rows, cls = features((code & np.uint32(BUCKETS - 1)).astype(np.uint16), classes, stream, lengths)
+                for i in range(0, len(train), BATCH):
+                    k = train[i:i + BATCH]
+                    train_on(w, sq, rows[:, k], cls[k])
+                w_n += np.bincount(rows[:, train].ravel(), minlength=len(w))
+            choices = Choices(code, classes, counts, ranks, path, tops, group, groups)
+            before = contexts(code, stream, lengths)
+            for i in range(0, len(train), TREE_BATCH):
+                k = train[i:i + TREE_BATCH]
+                train_tree(t, t_sq, t_n, *choices.of(stream[k], before[:, k], bits)[1:])
             tokens += len(train)
         if tokens:
             salt = TaskContext.get().partitionId() % FIRST_LEVEL
-            for chunk, start in enumerate(range(0, WEIGHT_ROWS, CHUNK_ROWS)):
-                part = (w[start:start + CHUNK_ROWS].astype(np.float64) * tokens).astype(np.float32)
+            parts = [] if w is None else [(i, w[s:s + CHUNK_ROWS], w_n[s:s + CHUNK_ROWS])
+                                          for i, s in enumerate(range(0, WEIGHT_ROWS, CHUNK_ROWS))]
+            size = CHUNK_ROWS * CLASSES
+            parts += [(-1 - i, t[s:s + size], t_n[s:s + size]) for i, s in enumerate(range(0, len(t), size))]
+            for chunk, part, n in parts:
                 yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([salt], pa.int32()),
-                                                  pa.array([tokens], pa.int64()), pa.array([part.tobytes()], pa.binary())],
-                                                 names=["chunk", "salt", "tokens", "part"])
+                                                  *(pa.array([x], pa.binary()) for x in _packed(part, n))],
+                                                 names=["chunk", "salt", "part", "touched"])
+
+    kinds = "chunk int, salt int, part binary, touched binary"
+    return (resolved.mapInArrow(run, kinds).groupBy("chunk", "salt").applyInArrow(_averaged, kinds)
+            .groupBy("chunk").applyInArrow(_averaged, kinds))
 
-    def added(table: pa.Table) -> pa.Table:
-        part = np.sum([np.frombuffer(x.as_py(), np.float32) for x in table.column("part")], axis=0, dtype=np.float64)
-        first = table.slice(0, 1)
-        return pa.table({"chunk": first.column("chunk"), "salt": first.column("salt"),
-                         "tokens": pa.array([sum(table.column("tokens").to_pylist())], pa.int64()),
-                         "part": pa.array([part.astype(np.float32).tobytes()], pa.binary())})
 
-    kinds = "chunk int, salt int, tokens long, part binary"
-    parts = (resolved.mapInArrow(run, kinds).groupBy("chunk", "salt").applyInArrow(added, kinds)
-             .groupBy("chunk").applyInArrow(added, kinds).orderBy("chunk").collect())
-    if not parts:
-        return weights
-    return np.concatenate([np.frombuffer(p["part"], np.float32) / p["tokens"] for p in parts]).reshape(WEIGHT_ROWS, CLASSES).astype(np.float32)
+def _weights(table: DataFrame | None, bits: int, group: int, with_classes: bool) -> tuple[np.ndarray | None, np.ndarray]:
+    """(class weights, weights of a group of nodes) from the table of weights; zeros before the first round."""
+    weights, tree = np.zeros((WEIGHT_ROWS, CLASSES), np.float32), np.zeros(1 << bits, np.float32)
+    wanted = F.col("chunk") < 0 if not with_classes else F.lit(True)
+    for r in table.filter((F.col("group") == group) & wanted).select("chunk", "part").collect() if table is not None else []:
+        part, k = np.frombuffer(r["part"], "<f2").astype(np.float32), r["chunk"]
+        if k >= 0:
+            weights[k * CHUNK_ROWS:][:CHUNK_ROWS] = part.reshape(-1, CLASSES)
+        else:
+            tree[(-1 - k) * CHUNK_ROWS * CLASSES:][:len(part)] = part
+    return weights if with_classes else None, tree
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Arrays of each resolved block: buckets, classes, counts, stream, lengths, held_out, doc_ids."""
+    """Arrays of each resolved block: codes, classes, counts, ranks, path, stream, lengths, held_out, doc_ids."""
     for batch in batches:
         for i in range(batch.num_rows):
-            raw = {c: batch.column(c)[i].as_py() for c in ("bucket", "class", "c", "stream")}
-            yield (np.frombuffer(raw["bucket"], "<u2"), np.frombuffer(raw["class"], np.uint8), np.frombuffer(raw["c"], "<i8"),
-                   from_planes(raw["stream"]), np.asarray(batch.column("lengths")[i].values),
+            raw = {c: batch.column(c)[i].as_py() for c in ("code", "class", "c", "rank", "path", "stream")}
+            lengths = np.asarray(batch.column("lengths")[i].values)
+            yield (np.frombuffer(raw["code"], "<u4"), np.frombuffer(raw["class"], np.uint8), np.frombuffer(raw["c"], "<i8"),
+                   np.frombuffer(raw["rank"], "<u2"), np.frombuffer(raw["path"], "<i8"),
+                   from_planes(pa.decompress(raw["stream"], int(lengths.sum()) * 4, "zstd", asbytes=True)), lengths,
                    np.asarray(batch.column("held_out")[i].values.to_numpy(zero_copy_only=False), bool),
                    batch.column("doc_ids")[i].values)
 
 
-def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, word_contexts: bool = True, group_bits: int = GROUP_BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    Without ``word_contexts`` the nodes' weights stay zero: P(token | class) sees no context.
+    """
     spark = docs.sparkSession
     flagged = docs.select("doc_id", "text", (fold("doc_id", folds) == held_fold).alias("held_out"))
     made = written(blocks(flagged), "lm-blocks")
@@ -302,47 +472,90 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
     for r in totals:
         class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
     n_train, n_words = int(class_n.sum()), int(class_v.sum())
-    # the counts of a block's words go back to the block: a row for each word of each block
-    bucket = F.shiftright("word", 20).bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
-    told = classed.select("word", F.shiftleft("c", CLASS_BITS + BUCKET_BITS).bitwiseOR(F.shiftleft(bucket, CLASS_BITS))
-                          .bitwiseOR(F.col("class").cast("long")).alias("told"))
+    # the words of a class as a tree: so many first bits of the hash that a node of the top has SUBTREE_WORDS words
+    top_bits = max(0, int(np.ceil(np.log2(max(1, class_v.max()) / SUBTREE_WORDS))))
+    code = F.shiftright("word", 20).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    classed = classed.withColumn("prefix", F.shiftright(code, 32 - top_bits))
+    mass = np.zeros((CLASSES, 1 << top_bits))
+    for r in classed.filter("c > 0").groupBy("class", "prefix").agg(F.sum(F.col("c") + 1).alias("m")).collect():
+        mass[r["class"], r["prefix"]] = r["m"]
+    top = _log_ratios(mass)
+    # the counts and paths of a block's words go back to the block: a row for each word of each block
+    told = classed.groupBy("class", "prefix").applyInArrow(_subtree, "word long, told long, path long")
+    at = F.shiftleft(code, PLACE_BITS).bitwiseOR(F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")))
     found = (dictionary.select("word", "at").join(told, "word")
-             .select(F.shiftright("at", PLACE_BITS).alias("block"), "at", "told")
-             .groupBy("block").applyInArrow(_gathered, "block long, c binary, bucket binary, class binary"))
+             .select(F.shiftright("at", PLACE_BITS).alias("block"), at.alias("at"), "told", "path")
+             .groupBy("block").applyInArrow(_gathered, "block long, c binary, code binary, class binary, rank binary, path binary"))
     resolved = made.select("block", "doc_ids", "held_out", "lengths", "stream").join(found, "block")
     path = scratch_path(spark, "lm-resolved")
     resolved.write.option("compression", "zstd").parquet(path)
     resolved = spark.read.schema(resolved.schema).parquet(path)
-    weights = np.zeros((WEIGHT_ROWS, CLASSES), np.float32)
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, n_words) / WORDS_PER_WEIGHT))))
+    groups, bits = 1 << max(0, bits - group_bits), min(bits, group_bits)
+    table = None
     for r in range(ROUNDS if n_train else 0):
-        weights = _trained(resolved.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == r), weights)
-    return _scored(resolved, weights, class_n, class_v, n_train, n_words)
-
-
-def _scored(resolved: DataFrame, weights: np.ndarray, class_n: np.ndarray, class_v: np.ndarray,
-            n_train: int, n_words: int) -> DataFrame:
-    shared = resolved.sparkSession.sparkContext.broadcast(weights)
+        part = resolved.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == r)
+        part = part.coalesce(max(1, n_train // ROUNDS // (TOKENS_PER_WEIGHT << bits)))
+        after = None
+        for g in range(groups):
+            weights, tree = _weights(table, bits, g, g == 0)
+            done = written(_trained(part, weights, tree, top, g, groups).withColumn("group", F.lit(g)), "lm-weights")
+            after = done if after is None else after.unionByName(done)
+        # a round without a token of the table leaves the weights as they were
+        table = after if table is None or after.limit(1).count() else table
+    return _scored(resolved, table, bits, groups, top, class_n, class_v, n_train, n_words, word_contexts)
+
+
+def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int, top: list, class_n: np.ndarray,
+            class_v: np.ndarray, n_train: int, n_words: int, word_contexts: bool) -> DataFrame:
     id_type = resolved.schema["doc_ids"].dataType.elementType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()),
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("nth", T.LongType()),
+                           T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()),
                            *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")),
                            *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
-        for buckets, classes, counts, stream, lengths, held, doc_ids in _opened(batches):
-            base = np.log10((counts + 1.0) / (n_train + 1.0 * (n_words + 1)))
-            inside = np.log10((counts + 1.0) / (class_n + class_v + 1.0)[classes])
-            rows, cls = features(buckets, classes, stream, lengths)
-            logs = np.empty(len(stream))
-            for i in range(0, len(stream), BATCH):
-                c = cls[i:i + BATCH]
-                logs[i:i + BATCH] = class_logs(w, rows[:, i:i + BATCH])[np.arange(len(c)), c]
-            logs = logs / np.log(10.0) + inside[stream]
-            starts = np.cumsum(lengths) - lengths
-            add = lambda x: np.add.reduceat(x, starts)
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(held), pa.array(lengths, pa.int64()), pa.array(add((counts > 0)[stream].astype(np.int64))),
-                 pa.array(np.full(len(lengths), n_train), pa.int64()), pa.array(add(base[stream])), pa.array(add(logs))],
-                names=schema.names)
-
-    return resolved.mapInArrow(run, schema)
+    def of_group(group: int) -> DataFrame:
+        weights, tree = _weights(table, bits, group, group == 0)
+        shared = resolved.sparkSession.sparkContext.broadcast((weights, tree if word_contexts else np.zeros_like(tree), top))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w, t, tops = shared.value
+            for number, opened in _numbered(batches):
+                code, classes, counts, ranks, path, stream, lengths, held, doc_ids = opened
+                base = np.log10((counts + 1.0) / (n_train + 1.0 * (n_words + 1)))
+                in_class = (class_n + class_v)[classes]
+                inside = np.where(counts > 0, in_class, 1.0) / (in_class + 1.0)
+                logs = np.log(inside)[stream] if w is not None else np.zeros(len(stream))
+                if w is not None:
+                    rows, cls = features((code & np.uint32(BUCKETS - 1)).astype(np.uint16), classes, stream, lengths)
+                    for i in range(0, len(stream), BATCH):
+                        c = cls[i:i + BATCH]
+                        logs[i:i + BATCH] += class_logs(w, rows[:, i:i + BATCH])[np.arange(len(c)), c]
+                choices = Choices(code, classes, counts, ranks, path, tops, group, groups)
+                before = contexts(code, stream, lengths)
+                for i in range(0, len(stream), TREE_BATCH):
+                    logs[i:i + TREE_BATCH] += tree_logs(t, choices, stream[i:i + TREE_BATCH], before[:, i:i + TREE_BATCH])
+                starts = np.cumsum(lengths) - lengths
+                add = lambda x: np.add.reduceat(x, starts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(lengths), number)), pa.array(np.arange(len(lengths))), doc_ids, pa.array(held),
+                     pa.array(lengths, pa.int64()), pa.array(add((counts > 0)[stream].astype(np.int64))),
+                     pa.array(np.full(len(lengths), n_train), pa.int64()), pa.array(add(base[stream])),
+                     pa.array(add(logs / np.log(10.0)))], names=schema.names)
+
+        return resolved.mapInArrow(run, schema)
+
+    out = of_group(0)
+    if groups > 1:  # every group has its part of a document's score
+        for g in range(1, groups):
+            out = out.unionByName(of_group(g))
+        same = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+        out = out.groupBy("block", "nth").agg(*(F.first(c).alias(c) for c in same), F.sum("score").alias("score"))
+    return out.drop("block", "nth")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            yield one.column("block")[0].as_py(), next(_opened(iter([one])))
