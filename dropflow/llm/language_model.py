@@ -38,7 +38,7 @@ no training text: counts and weights are zero; empty table: empty result.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import texts
-from .common import checkpoint, scratch_path, written
+from .common import scratch_path, written
 from .simhash import word_lists
 
 #: Classes: 0 the end, then frequent words, then endings of plain and of punctuated words.
@@ -74,9 +74,8 @@ SUBTREE_WORDS, DEEP = 256, 12
 #: Counted words per weight of the nodes, least and most weights of a group (bits), and training tokens per weight in a task.
 WORDS_PER_WEIGHT, LEAST_BITS, GROUP_BITS, TOKENS_PER_WEIGHT = 4, 16, 22, 4
 TREE_BATCH, TREE_RATE, TREE_PRIOR = 1 << 16, 0.3, 16.0
-#: Log ratios of the deep nodes (the right side has the rarer words) are 5-bit codes of these values; code 31: one side is empty, no choice.
-RATIOS = np.array([-4 * x - 8 * x * x for x in np.linspace(0, 1, 31)], np.float32)
-NO_CHOICE = 31
+#: Log ratios of the deep nodes (the right side has the rarer words) are kept as codes of these values.
+RATIOS = np.array([-4 * x - 8 * x * x for x in np.linspace(0, 1, 256)], np.float32)
 
 _MARKS = b".,;:!?"
 
@@ -196,16 +195,16 @@ def _dictionary(blocks_: DataFrame) -> DataFrame:
 
 
 def _gathered(table: pa.Table) -> pa.Table:
-    """The rows (block, at, told, path) of a block as one row of arrays in order of the places."""
+    """The rows (block, at, told) of a block as one row of arrays in order of the places."""
     at = table.column("at").to_numpy()
     place, count = at & ((1 << PLACE_BITS) - 1), len(at)
-    code, told, path = np.empty(count, "<u4"), np.empty(count, np.int64), np.empty(count, np.int64)
-    code[place] = at >> PLACE_BITS & 0xFFFFFFFF
-    told[place], path[place] = table.column("told").to_numpy(), table.column("path").to_numpy()
-    arrays = (told >> (CLASS_BITS + DEEP), code, (told & ((1 << CLASS_BITS) - 1)).astype(np.uint8),
-              (told >> CLASS_BITS & ((1 << DEEP) - 1)).astype("<u2"), path)
-    return pa.table([table.column("block").slice(0, 1)] + [pa.array([a.tobytes()], pa.binary()) for a in arrays],
-                    names=["block", "c", "code", "class", "rank", "path"])
+    code, told = np.empty(count, np.int64), np.empty(count, np.int64)
+    code[place], told[place] = at >> PLACE_BITS, table.column("told").to_numpy()
+    rank = told >> CLASS_BITS & ((1 << DEEP) - 1)
+    arrays = ((told >> (CLASS_BITS + DEEP)).tobytes(), to_planes(code), (told & ((1 << CLASS_BITS) - 1)).astype(np.uint8).tobytes(),
+              to_planes(rank))
+    return pa.table([table.column("block").slice(0, 1)] + [pa.array([a], pa.binary()) for a in arrays],
+                    names=["block", "c", "code", "class", "rank"])
 
 
 # ---- the tree of a class's words ------------------------------------------
@@ -222,58 +221,96 @@ def _log_ratios(mass: np.ndarray) -> list[np.ndarray]:
 
 
 def _subtree(table: pa.Table) -> pa.Table:
-    """Words of one class below one node of the top: told with the rank by count, and the codes of the log ratios on the path."""
+    """Words of one class below one node of the top: told with the rank by count; the first word has the codes of all nodes.
+
+    Byte r of the codes belongs to the node whose right side begins at rank r.
+    """
     word, c = table.column("word").to_numpy(), table.column("c").to_numpy()
     rank, known = np.zeros(len(word), np.int64), c > 0
     order = np.lexsort((word, -c))[:known.sum()]
     rank[order] = np.arange(len(order))
     mass = np.zeros(1 << DEEP)
     mass[:len(order)] = c[order] + 1.0
-    path = np.zeros(len(word), np.int64)
+    codes = np.zeros(1 << DEEP, np.uint8)
     for j, ratio in enumerate(_log_ratios(mass)):
-        code = np.where(np.isnan(ratio), NO_CHOICE, np.abs(RATIOS[:, None] - np.nan_to_num(ratio)).argmin(axis=0)).astype(np.int64)
-        path |= np.where(known, code[rank >> (DEEP - j)], NO_CHOICE) << 5 * j
+        nearest = np.searchsorted((RATIOS[1:] + RATIOS[:-1])[::-1] / 2, np.nan_to_num(ratio))
+        codes[(1 << DEEP - 1 - j)::1 << DEEP - j] = len(RATIOS) - 1 - nearest
     told = c << (CLASS_BITS + DEEP) | rank << CLASS_BITS | table.column("class").to_numpy().astype(np.int64)
-    return pa.table({"word": table.column("word"), "told": told, "path": path})
+    first = order[0] if len(order) else -1
+    held = [codes[:len(order)].tobytes() if i == first else None for i in range(len(word))]
+    return pa.table({"word": table.column("word"), "told": told, "class": table.column("class"), "prefix": table.column("prefix"),
+                     "codes": pa.array(held, pa.binary())})
+
+
+class Tree:
+    """The counted choices: log ratios of the top's nodes, and the codes of a group of subtrees (of all: groups = 1)."""
+
+    def __init__(self, top: list[np.ndarray], rows: list[tuple[int, int, bytes]], code_bits: int, group: int = 0, groups: int = 1):
+        self.top, self.code_bits, self.group, self.groups = top, code_bits, group, groups
+        self.sizes = np.zeros((CLASSES, 1 << len(top)), np.int32)
+        self.starts = np.zeros(self.sizes.shape, np.int64)
+        at = 0
+        for cls, prefix, codes in rows:
+            self.sizes[cls, prefix], self.starts[cls, prefix] = len(codes), at
+            at += len(codes)
+        self.codes = np.frombuffer(b"".join(r[2] for r in rows) or b"\0", np.uint8)
+
+    def prefix(self, code: np.ndarray) -> np.ndarray:
+        return code.astype(np.int64) >> (self.code_bits - len(self.top))
+
+    def words(self, code: np.ndarray, classes: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Hashes of words as contexts; a counted word is told by class, prefix and rank, others by their code."""
+        known = counts > 0
+        own = np.where(known, self.prefix(code) << DEEP | ranks, code).astype(np.uint32)
+        return _mixed(own, classes + np.where(known, np.uint32(64), np.uint32(0)))
 
 
 class Choices:
     """The choices on the paths of a block's words, as flat arrays: node (hashed), side (1 right, -1 left), base (log odds of the side)."""
 
-    def __init__(self, code, classes, counts, ranks, path, top: list[np.ndarray], group: int = 0, groups: int = 1):
-        top_bits, found = len(top), []
-        for s in range(0, len(code), 1 << 16):
-            at = slice(s, s + (1 << 16))
-            cls, prefix, rank = classes[at].astype(np.uint32), code[at].astype(np.int64) >> (32 - top_bits), ranks[at].astype(np.int64)
-            base = np.empty((len(cls), top_bits + DEEP), np.float32)
-            right = np.empty(base.shape, bool)
-            node = np.empty(base.shape, np.uint32)
-            for j in range(top_bits):
-                above = prefix >> (top_bits - j)
-                base[:, j], right[:, j] = top[j][cls, above], prefix >> (top_bits - 1 - j) & 1
+    def __init__(self, code, classes, counts, ranks, tree: Tree):
+        levels, found = len(tree.top), []
+        for s in range(0, len(code), 1 << 15):
+            at = slice(s, s + (1 << 15))
+            cls, prefix, rank = classes[at].astype(np.uint32), tree.prefix(code[at]), ranks[at].astype(np.int64)
+            known = counts[at] > 0
+            base = np.zeros((len(cls), levels + DEEP), np.float32)
+            right, real = np.zeros(base.shape, bool), np.zeros(base.shape, bool)
+            node = np.zeros(base.shape, np.uint32)
+            for j in range(levels):
+                above = prefix >> (levels - j)
+                base[:, j], right[:, j] = tree.top[j][cls, above], prefix >> (levels - 1 - j) & 1
+                real[:, j] = known & ~np.isnan(base[:, j])
+                if tree.groups > 1:
+                    real[:, j] &= (above * CLASSES + cls) % tree.groups == tree.group
                 node[:, j] = _mixed(above.astype(np.uint32), cls * np.uint32(64) + np.uint32(j))
-            inside = np.append(RATIOS, np.float32(np.nan))
+            size, start = tree.sizes[cls, prefix], tree.starts[cls, prefix]  # no sizes: a subtree of another group
             for j in range(DEEP):
-                k = top_bits + j
-                base[:, k], right[:, k] = inside[path[at] >> 5 * j & 31], rank >> (DEEP - 1 - j) & 1
-                above = (prefix << DEEP | rank >> (DEEP - j)).astype(np.uint32)
-                node[:, k] = _mixed(above, cls * np.uint32(64) + np.uint32(k))
-            real = ~np.isnan(base) & (counts[at] > 0)[:, None]
-            if groups > 1:
-                real &= (node >> np.uint32(7)) % np.uint32(groups) == group
+                bit = DEEP - 1 - j
+                turn = (rank >> (bit + 1) << (bit + 1)) + (1 << bit)
+                w = np.flatnonzero(known & (turn < size))
+                if len(w):
+                    k = levels + j
+                    real[w, k], base[w, k], right[w, k] = True, RATIOS[tree.codes[start[w] + turn[w]]], rank[w] >> bit & 1
+                    node[w, k] = _mixed((prefix[w] << DEEP | turn[w]).astype(np.uint32), cls[w] * np.uint32(64) + np.uint32(63))
             side = np.where(right[real], np.float32(1), np.float32(-1))
-            found.append((real.sum(axis=1), node[real], side, side * base[real]))
+            found.append((real.sum(axis=1, dtype=np.int32), node[real], side, side * base[real]))
         self.sizes, self.node, self.side, self.base = (np.concatenate(x) for x in zip(*found))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
 
     def of(self, words: np.ndarray, before: np.ndarray, bits: int) -> tuple:
-        """The choices of tokens: (token of each, side, base, indices of both weights); before: hashes of both contexts."""
+        """The choices of tokens: (number of choices of each, side, base, indices of both weights); before: hashes of both contexts."""
         size = self.sizes[words]
-        token = np.repeat(np.arange(len(words)), size)
-        at = np.arange(len(token)) + np.repeat(self.starts[words] - (np.cumsum(size) - size), size)
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(self.starts[words] - (ends - size), size)
+        at += np.arange(len(at), dtype=np.int32)
         node = self.node[at]
-        index = ((node ^ before[:, token]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-        return token, self.side[at], self.base[at], index
+        index = np.empty((2, len(at)), np.uint32)
+        for k in (0, 1):
+            np.bitwise_xor(node, np.repeat(before[k], size), out=index[k])
+        index *= np.uint32(0x9E3779B1)
+        index >>= np.uint32(32 - bits)
+        return size, self.side[at], self.base[at], index.astype(np.int64)
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -281,11 +318,12 @@ def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F)
 
 
-def contexts(code: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Hashes of the word before and of the word two before each token (0 before the start of a text)."""
-    own, starts = code[stream], np.cumsum(lengths) - lengths
-    before = np.zeros((2, len(own)), np.uint32)
-    before[0, 1:], before[1, 2:] = _mixed(own[:-1], np.uint32([1])), _mixed(own[:-2], np.uint32([2]))
+def contexts(words: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the word before and of the word two before each token (0 before the start of a text); words: ``Tree.words``."""
+    starts = np.cumsum(lengths) - lengths
+    one, two = (_mixed(words, np.uint32([k]))[stream] for k in (1, 2))
+    before = np.zeros((2, len(stream)), np.uint32)
+    before[0, 1:], before[1, 2:] = one[:-1], two[:-2]
     before[0, starts] = before[1, starts] = 0
     before[1, starts[lengths > 1] + 1] = 0
     return before
@@ -300,16 +338,20 @@ def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, side:
                index: np.ndarray) -> None:
     """One Adagrad step on the choices of a batch of tokens, in place."""
     miss = -side / (1.0 + np.exp(choice_odds(tree, side, base, index)))
-    g = np.bincount(index[0], miss, len(tree)) + np.bincount(index[1], miss, len(tree))
-    touched += np.bincount(index.ravel(), minlength=len(tree))
+    g = np.bincount(index[0], miss, len(tree))
+    g += np.bincount(index[1], miss, len(tree))
+    touched += np.bincount(index.reshape(-1), minlength=len(tree))
+    g = g.astype(np.float32)
     squares += g * g
-    tree -= TREE_RATE * g / np.sqrt(squares + TREE_PRIOR)
+    tree -= np.float32(TREE_RATE) * g / np.sqrt(squares + np.float32(TREE_PRIOR))
 
 
 def tree_logs(tree: np.ndarray, choices: Choices, words: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Sum of the log probabilities of each token's choices (natural logarithm)."""
-    token, side, base, index = choices.of(words, before, int(len(tree)).bit_length() - 1)
-    return np.bincount(token, -np.logaddexp(np.float32(0), -choice_odds(tree, side, base, index)), len(words))
+    size, side, base, index = choices.of(words, before, int(len(tree)).bit_length() - 1)
+    ends = np.cumsum(size)
+    logs = np.concatenate(([0.0], np.cumsum(-np.log1p(np.exp(-choice_odds(tree, side, base, index))), dtype=np.float64)))
+    return logs[ends] - logs[ends - size]
 
 
 # ---- the model ----------------------------------------------------------
@@ -377,22 +419,22 @@ def _averaged(table: pa.Table) -> pa.Table:
                      "touched": pa.array([n], pa.binary())})
 
 
-def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray, top: list, group: int, groups: int) -> DataFrame:
+def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray, counted: Tree) -> DataFrame:
     """One round on a group of nodes (and the class weights, if given): local steps on every block, then the averages.
 
     Returns (chunk, salt, part, touched); chunks of class weights count from 0, those of the nodes from -1 down.
     """
-    shared = resolved.sparkSession.sparkContext.broadcast((weights, tree, top))
+    shared = resolved.sparkSession.sparkContext.broadcast((weights, tree, counted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, t, tops = shared.value
+        w, t, counted = shared.value
         t = t.copy()
         t_sq, t_n = np.zeros_like(t), np.zeros(len(t), np.int64)
         bits = len(t).bit_length() - 1
         if w is not None:
             w, sq, w_n = w.copy(), np.zeros_like(w), np.zeros(len(w), np.int64)
         tokens = 0
-        for code, classes, counts, ranks, path, stream, lengths, held, _ in _opened(batches):
+        for code, classes, counts, ranks, stream, lengths, held, _ in _opened(batches):
             train = np.flatnonzero(np.repeat(~held, lengths))
             if w is not None:
                 rows, cls = features((code & np.uint32(BUCKETS - 1)).astype(np.uint16), classes, stream, lengths)
@@ -400,8 +442,8 @@ def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray,
                     k = train[i:i + BATCH]
                     train_on(w, sq, rows[:, k], cls[k])
                 w_n += np.bincount(rows[:, train].ravel(), minlength=len(w))
-            choices = Choices(code, classes, counts, ranks, path, tops, group, groups)
-            before = contexts(code, stream, lengths)
+            choices = Choices(code, classes, counts, ranks, counted)
+            before = contexts(counted.words(code, classes, counts, ranks), stream, lengths)
             for i in range(0, len(train), TREE_BATCH):
                 k = train[i:i + TREE_BATCH]
                 train_tree(t, t_sq, t_n, *choices.of(stream[k], before[:, k], bits)[1:])
@@ -436,13 +478,13 @@ def _weights(table: DataFrame | None, bits: int, group: int, with_classes: bool)
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """Arrays of each resolved block: codes, classes, counts, ranks, path, stream, lengths, held_out, doc_ids."""
+    """Arrays of each resolved block: codes, classes, counts, ranks, stream, lengths, held_out, doc_ids."""
     for batch in batches:
         for i in range(batch.num_rows):
-            raw = {c: batch.column(c)[i].as_py() for c in ("code", "class", "c", "rank", "path", "stream")}
+            raw = {c: batch.column(c)[i].as_py() for c in ("code", "class", "c", "rank", "stream")}
             lengths = np.asarray(batch.column("lengths")[i].values)
-            yield (np.frombuffer(raw["code"], "<u4"), np.frombuffer(raw["class"], np.uint8), np.frombuffer(raw["c"], "<i8"),
-                   np.frombuffer(raw["rank"], "<u2"), np.frombuffer(raw["path"], "<i8"),
+            yield (from_planes(raw["code"]), np.frombuffer(raw["class"], np.uint8), np.frombuffer(raw["c"], "<i8"),
+                   from_planes(raw["rank"]),
                    from_planes(pa.decompress(raw["stream"], int(lengths.sum()) * 4, "zstd", asbytes=True)), lengths,
                    np.asarray(batch.column("held_out")[i].values.to_numpy(zero_copy_only=False), bool),
                    batch.column("doc_ids")[i].values)
@@ -459,8 +501,8 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, word_contexts: bo
     dictionary = _dictionary(made)
     mask = F.lit((1 << CLASS_BITS) - 1).cast("long")
     # a word has one ending class, so the packed numbers add up: its tokens above, the class from any row
-    counted = checkpoint(dictionary.select("word", "told").groupBy("word").agg(
-        F.sum(F.shiftright("told", CLASS_BITS)).alias("c"), F.min(F.col("told").bitwiseAND(mask)).alias("ending")))
+    counted = written(dictionary.select("word", "told").groupBy("word").agg(
+        F.sum(F.shiftright("told", CLASS_BITS)).alias("c"), F.min(F.col("told").bitwiseAND(mask)).alias("ending")), "lm-counted")
     known = counted.filter("c > 0")
     top = [r["word"] for r in known.filter(F.col("word") != END_HASH).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()]
     cls = F.when(F.col("word") == END_HASH, F.lit(0))
@@ -474,24 +516,31 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, word_contexts: bo
     n_train, n_words = int(class_n.sum()), int(class_v.sum())
     # the words of a class as a tree: so many first bits of the hash that a node of the top has SUBTREE_WORDS words
     top_bits = max(0, int(np.ceil(np.log2(max(1, class_v.max()) / SUBTREE_WORDS))))
-    code = F.shiftright("word", 20).bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    classed = classed.withColumn("prefix", F.shiftright(code, 32 - top_bits))
+    code_bits = max(BUCKET_BITS, top_bits)
+    code = F.shiftright("word", 20).bitwiseAND(F.lit((1 << code_bits) - 1).cast("long"))
+    classed = classed.withColumn("prefix", F.shiftright(code, code_bits - top_bits))
     mass = np.zeros((CLASSES, 1 << top_bits))
     for r in classed.filter("c > 0").groupBy("class", "prefix").agg(F.sum(F.col("c") + 1).alias("m")).collect():
         mass[r["class"], r["prefix"]] = r["m"]
     top = _log_ratios(mass)
     # the counts and paths of a block's words go back to the block: a row for each word of each block
-    told = classed.groupBy("class", "prefix").applyInArrow(_subtree, "word long, told long, path long")
+    told = written(classed.groupBy("class", "prefix").applyInArrow(
+        _subtree, "word long, told long, class long, prefix long, codes binary"), "lm-told")
     at = F.shiftleft(code, PLACE_BITS).bitwiseOR(F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")))
-    found = (dictionary.select("word", "at").join(told, "word")
-             .select(F.shiftright("at", PLACE_BITS).alias("block"), at.alias("at"), "told", "path")
-             .groupBy("block").applyInArrow(_gathered, "block long, c binary, code binary, class binary, rank binary, path binary"))
+    found = (dictionary.select("word", "at").join(told.select("word", "told"), "word")
+             .select(F.shiftright("at", PLACE_BITS).alias("block"), at.alias("at"), "told")
+             .groupBy("block").applyInArrow(_gathered, "block long, c binary, code binary, class binary, rank binary"))
     resolved = made.select("block", "doc_ids", "held_out", "lengths", "stream").join(found, "block")
     path = scratch_path(spark, "lm-resolved")
     resolved.write.option("compression", "zstd").parquet(path)
     resolved = spark.read.schema(resolved.schema).parquet(path)
     bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, n_words) / WORDS_PER_WEIGHT))))
     groups, bits = 1 << max(0, bits - group_bits), min(bits, group_bits)
+
+    def of_group(g: int) -> Tree:
+        mine = told.filter("codes is not null").filter((F.col("prefix") * CLASSES + F.col("class")) % groups == g)
+        return Tree(top, [tuple(r) for r in mine.select("class", "prefix", "codes").collect()], code_bits, g, groups)
+
     table = None
     for r in range(ROUNDS if n_train else 0):
         part = resolved.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)) == r)
@@ -499,14 +548,14 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, word_contexts: bo
         after = None
         for g in range(groups):
             weights, tree = _weights(table, bits, g, g == 0)
-            done = written(_trained(part, weights, tree, top, g, groups).withColumn("group", F.lit(g)), "lm-weights")
+            done = written(_trained(part, weights, tree, of_group(g)).withColumn("group", F.lit(g)), "lm-weights")
             after = done if after is None else after.unionByName(done)
         # a round without a token of the table leaves the weights as they were
         table = after if table is None or after.limit(1).count() else table
-    return _scored(resolved, table, bits, groups, top, class_n, class_v, n_train, n_words, word_contexts)
+    return _scored(resolved, table, bits, groups, of_group, class_n, class_v, n_train, n_words, word_contexts)
 
 
-def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int, top: list, class_n: np.ndarray,
+def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int, tree_of: Callable[[int], Tree], class_n: np.ndarray,
             class_v: np.ndarray, n_train: int, n_words: int, word_contexts: bool) -> DataFrame:
     id_type = resolved.schema["doc_ids"].dataType.elementType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("nth", T.LongType()),
@@ -516,12 +565,12 @@ def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int
 
     def of_group(group: int) -> DataFrame:
         weights, tree = _weights(table, bits, group, group == 0)
-        shared = resolved.sparkSession.sparkContext.broadcast((weights, tree if word_contexts else np.zeros_like(tree), top))
+        shared = resolved.sparkSession.sparkContext.broadcast((weights, tree if word_contexts else np.zeros_like(tree), tree_of(group)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            w, t, tops = shared.value
+            w, t, counted = shared.value
             for number, opened in _numbered(batches):
-                code, classes, counts, ranks, path, stream, lengths, held, doc_ids = opened
+                code, classes, counts, ranks, stream, lengths, held, doc_ids = opened
                 base = np.log10((counts + 1.0) / (n_train + 1.0 * (n_words + 1)))
                 in_class = (class_n + class_v)[classes]
                 inside = np.where(counts > 0, in_class, 1.0) / (in_class + 1.0)
@@ -531,8 +580,8 @@ def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int
                     for i in range(0, len(stream), BATCH):
                         c = cls[i:i + BATCH]
                         logs[i:i + BATCH] += class_logs(w, rows[:, i:i + BATCH])[np.arange(len(c)), c]
-                choices = Choices(code, classes, counts, ranks, path, tops, group, groups)
-                before = contexts(code, stream, lengths)
+                choices = Choices(code, classes, counts, ranks, counted)
+                before = contexts(counted.words(code, classes, counts, ranks), stream, lengths)
                 for i in range(0, len(stream), TREE_BATCH):
                     logs[i:i + TREE_BATCH] += tree_logs(t, choices, stream[i:i + TREE_BATCH], before[:, i:i + TREE_BATCH])
                 starts = np.cumsum(lengths) - lengths

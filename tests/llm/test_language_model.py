@@ -42,23 +42,25 @@ def test_words_of_a_class_are_a_distribution_in_every_context():
     rng = np.random.default_rng(4)
     n, top_bits, cls = 700, 2, 20
     words, c = rng.integers(-1 << 62, 1 << 62, n), rng.integers(1, 200, n)
-    code = (words >> 20 & 0xFFFFFFFF).astype(np.uint32)
-    prefix, mass = code >> (32 - top_bits), np.zeros((lm.CLASSES, 1 << top_bits))
+    code = (words >> 20 & (lm.BUCKETS - 1)).astype(np.uint32)
+    prefix, mass = code >> (lm.BUCKET_BITS - top_bits), np.zeros((lm.CLASSES, 1 << top_bits))
     np.add.at(mass[cls], prefix, c + 1.0)
-    told, path = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    told, rows = np.zeros(n, np.int64), []
     for p in range(1 << top_bits):
         at = np.flatnonzero(prefix == p)
-        made = lm._subtree(pa.table({"word": words[at], "c": c[at], "class": np.full(len(at), cls)}))
-        told[at], path[at] = made.column("told").to_numpy(), made.column("path").to_numpy()
+        made = lm._subtree(pa.table({"word": words[at], "c": c[at], "class": np.full(len(at), cls), "prefix": prefix[at]}))
+        told[at] = made.column("told").to_numpy()
+        rows.append((cls, p, next(x for x in made.column("codes").to_pylist() if x is not None)))
     ranks = told >> lm.CLASS_BITS & ((1 << lm.DEEP) - 1)
-    choices = [lm.Choices(code, np.full(n, cls), c, ranks, path, lm._log_ratios(mass), g, 2) for g in (0, 1)]
+    trees = [lm.Tree(lm._log_ratios(mass), [r for r in rows if (r[1] * lm.CLASSES + cls) % 2 == g], lm.BUCKET_BITS, g, 2) for g in (0, 1)]
+    choices = [lm.Choices(code, np.full(n, cls), c, ranks, t) for t in trees]
     total = np.zeros(n)
     for choice in choices:
         tree = rng.normal(size=1 << 16).astype(np.float32)
         total += lm.tree_logs(tree, choice, np.arange(n), np.full((2, n), [[77], [99]], np.uint32))
     assert np.exp(total).sum() == pytest.approx(1, abs=1e-4)
     plain = sum(lm.tree_logs(np.zeros(1 << 16, np.float32), x, np.arange(n), np.zeros((2, n), np.uint32)) for x in choices)
-    assert np.exp(plain) == pytest.approx((c + 1) / (c + 1).sum(), rel=0.5)
+    assert np.exp(plain) == pytest.approx((c + 1) / (c + 1).sum(), rel=0.05)
 
 
 def test_averages_count_only_the_tokens_that_touched_a_weight():
