@@ -39,12 +39,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -265,11 +266,18 @@ class Tree:
         return _mixed(own, classes + np.where(known, np.uint32(64), np.uint32(0)))
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; the list is emptied."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
 class Choices:
     """The choices on the paths of a block's words, as flat arrays: node (hashed), side (1 right, -1 left), base (log odds of the side)."""
 
     def __init__(self, code, classes, counts, ranks, tree: Tree):
-        levels, found = len(tree.top), []
+        levels, sizes, nodes, sides, bases = len(tree.top), [], [], [], []
         for s in range(0, len(code), 1 << 15):
             at = slice(s, s + (1 << 15))
             cls, prefix, rank = classes[at].astype(np.uint32), tree.prefix(code[at]), ranks[at].astype(np.int64)
@@ -293,9 +301,9 @@ class Choices:
                     k = levels + j
                     real[w, k], base[w, k], right[w, k] = True, RATIOS[tree.codes[start[w] + turn[w]]], rank[w] >> bit & 1
                     node[w, k] = _mixed((prefix[w] << DEEP | turn[w]).astype(np.uint32), cls[w] * np.uint32(64) + np.uint32(63))
-            side = np.where(right[real], np.float32(1), np.float32(-1))
-            found.append((real.sum(axis=1, dtype=np.int32), node[real], side, side * base[real]))
-        self.sizes, self.node, self.side, self.base = (np.concatenate(x) for x in zip(*found))
+            side = np.where(right[real], np.int8(1), np.int8(-1))
+            sizes.append(real.sum(axis=1, dtype=np.int32)), nodes.append(node[real]), sides.append(side), bases.append(side * base[real])
+        self.sizes, self.node, self.side, self.base = (_joined(x) for x in (sizes, nodes, sides, bases))
         self.starts = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
 
     def of(self, words: np.ndarray, before: np.ndarray, bits: int) -> tuple:
@@ -310,7 +318,7 @@ class Choices:
             np.bitwise_xor(node, np.repeat(before[k], size), out=index[k])
         index *= np.uint32(0x9E3779B1)
         index >>= np.uint32(32 - bits)
-        return size, self.side[at], self.base[at], index.astype(np.int64)
+        return size, self.side[at], self.base[at], index
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -340,8 +348,8 @@ def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, side:
     miss = -side / (1.0 + np.exp(choice_odds(tree, side, base, index)))
     g = np.bincount(index[0], miss, len(tree))
     g += np.bincount(index[1], miss, len(tree))
-    touched += np.bincount(index.reshape(-1), minlength=len(tree))
     g = g.astype(np.float32)
+    touched += np.bincount(index.reshape(-1), minlength=len(tree)).astype(np.uint32)
     squares += g * g
     tree -= np.float32(TREE_RATE) * g / np.sqrt(squares + np.float32(TREE_PRIOR))
 
@@ -429,7 +437,7 @@ def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, t, counted = shared.value
         t = t.copy()
-        t_sq, t_n = np.zeros_like(t), np.zeros(len(t), np.int64)
+        t_sq, t_n = np.zeros_like(t), np.zeros(len(t), np.uint32)
         bits = len(t).bit_length() - 1
         if w is not None:
             w, sq, w_n = w.copy(), np.zeros_like(w), np.zeros(len(w), np.int64)
@@ -441,7 +449,8 @@ def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray,
                 for i in range(0, len(train), BATCH):
                     k = train[i:i + BATCH]
                     train_on(w, sq, rows[:, k], cls[k])
-                w_n += np.bincount(rows[:, train].ravel(), minlength=len(w))
+                    w_n += np.bincount(rows[:, k].ravel(), minlength=len(w))
+                del rows, cls  # the choices take their place in memory
             choices = Choices(code, classes, counts, ranks, counted)
             before = contexts(counted.words(code, classes, counts, ranks), stream, lengths)
             for i in range(0, len(train), TREE_BATCH):
@@ -464,6 +473,18 @@ def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray,
             .groupBy("chunk").applyInArrow(_averaged, kinds))
 
 
+@contextmanager
+def _single_rows(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of one row while a job runs: a block is megabytes, and a task may read many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def _weights(table: DataFrame | None, bits: int, group: int, with_classes: bool) -> tuple[np.ndarray | None, np.ndarray]:
     """(class weights, weights of a group of nodes) from the table of weights; zeros before the first round."""
     weights, tree = np.zeros((WEIGHT_ROWS, CLASSES), np.float32), np.zeros(1 << bits, np.float32)
@@ -548,7 +569,8 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, word_contexts: bo
         after = None
         for g in range(groups):
             weights, tree = _weights(table, bits, g, g == 0)
-            done = written(_trained(part, weights, tree, of_group(g)).withColumn("group", F.lit(g)), "lm-weights")
+            with _single_rows(spark):
+                done = written(_trained(part, weights, tree, of_group(g)).withColumn("group", F.lit(g)), "lm-weights")
             after = done if after is None else after.unionByName(done)
         # a round without a token of the table leaves the weights as they were
         table = after if table is None or after.limit(1).count() else table
@@ -580,6 +602,7 @@ def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int
                     for i in range(0, len(stream), BATCH):
                         c = cls[i:i + BATCH]
                         logs[i:i + BATCH] += class_logs(w, rows[:, i:i + BATCH])[np.arange(len(c)), c]
+                    del rows, cls
                 choices = Choices(code, classes, counts, ranks, counted)
                 before = contexts(counted.words(code, classes, counts, ranks), stream, lengths)
                 for i in range(0, len(stream), TREE_BATCH):
