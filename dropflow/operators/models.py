@@ -53,9 +53,9 @@ def classifiers(profile: str, n_features: int, n_classes: int, n_train_weight: f
     if profile == "g1":
         return {
             "LogisticRegression": LogisticRegression(regParam=1.0 / n_train_weight, elasticNetParam=0.0,
-                                                     standardization=False, maxIter=100, **common),
+                                                     standardization=False, maxIter=1000, **common),
             "RandomForest": RandomForestClassifier(numTrees=100, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
-            "MLP": MultilayerPerceptronClassifier(layers=layers([100]), maxIter=200, seed=SEED,
+            "MLP": MultilayerPerceptronClassifier(layers=layers([100]), maxIter=500, seed=SEED,
                                                   tol=1e-4, **common),
         }
     gbt_x = dict(maxIter=300, stepSize=0.05, maxDepth=8, subsamplingRate=0.8,
