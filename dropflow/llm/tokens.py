@@ -1,10 +1,12 @@
 """Token ids of a corpus in a compact binary format.
 
-Encoding: every whole text goes through the given tokenizer. The tokenizer
-drops white space and cuts words apart before it merges, so a text's ids are
-the ids of its white-space-separated pieces in order; each worker encodes a
-piece it has not seen yet with the tokenizers library and keeps the ids, which
-saves most of the work. :class:`PieceEncoder` holds the exact conditions.
+Encoding: a text's ids are those that the given tokenizer has for it. Where the
+tokenizer's settings drop white space and cut words apart before it merges, a
+text's ids are the ids of its white-space-separated pieces in order; each
+worker encodes a piece it has not seen yet and keeps the ids, which saves most
+of the work (lower-case words go straight to the merge model).
+:class:`PieceEncoder` holds the exact conditions; a tokenizer of other settings
+encodes whole texts.
 
 File format (a Parquet dataset, so that any store that Spark reaches can hold
 it): one row per block of consecutive documents, in ascending doc_id order.
@@ -30,6 +32,7 @@ ids' bytes; a null doc_id comes first; empty table: no blocks.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +111,24 @@ _SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
+#: The settings for which the ids of a text are those of its pieces.
+_PIECE_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PIECE_CUTS = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def piecewise(settings: dict) -> bool:
+    """Whether a tokenizer with these settings (its JSON) may encode pieces in place of whole texts."""
+    model = settings["model"]
+    return (settings.get("normalizer") == _PIECE_NORMALIZER and settings.get("pre_tokenizer") == _PIECE_CUTS
+            and model.get("type") == "BPE" and not model.get("dropout") and not settings.get("truncation") and not settings.get("padding")
+            and all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"])
+                    and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in settings.get("added_tokens", [])))
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes, remembering the ids of pieces.
 
@@ -117,6 +138,7 @@ class PieceEncoder:
     both only for texts of plain Latin-1 letters, digits and ASCII marks: lower case first (the
     normaliser does the same to each of these characters), and, if no two marks touch and there is no
     apostrophe, full stops and commas become pieces of their own (the pre-tokenizer cuts there).
+    All this holds for the settings that :func:`piecewise` tells; with others, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -126,6 +148,7 @@ class PieceEncoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.known: dict[bytes, bytes] = {}
         self.separator = self._separator()
+        self.by_pieces = piecewise(json.loads(self.tokenizer.to_str()))
 
     def _separator(self) -> int | None:
         """The id of a control character that stands for itself alone, to encode many pieces in one call."""
@@ -181,6 +204,9 @@ class PieceEncoder:
             self.known[piece] = np.array(encoded.ids, self.dtype).tobytes()
 
     def encode(self, batch: list[bytes]) -> list[bytes]:
+        if not self.by_pieces:
+            encoded = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in batch], add_special_tokens=False)
+            return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = [self.split(t) for t in batch]
