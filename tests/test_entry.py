@@ -6,7 +6,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from dropflow.sources.testdata import TABLES
 
-from conftest import SF001
+from paths import SF001
 
 FAST = ["q_filter_courses", "q_rate_r1", "q_features", "q_quartiles", "q_label_quartile",
         "q_box_stats_events", "q_union_years", "q_ordinal_unseen", "q_roc_auc", "q_topk_importance"]

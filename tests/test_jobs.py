@@ -13,7 +13,7 @@ from dropflow.plans.course_queries import feature_table
 from dropflow.sources.csv import list_tables, scan_csv
 from dropflow.sources.testdata import course_view
 
-from conftest import SF001
+from paths import SF001
 
 CFG = StudyConfig(course_name="widget")
 

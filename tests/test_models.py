@@ -6,7 +6,7 @@ from dropflow.operators.labels import label_quartile
 from dropflow.plans.evaluate import top_k, train_classifiers
 from dropflow.plans.model_queries import model_table
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_random_forest_is_reproducible(spark):

@@ -11,7 +11,7 @@ from dropflow.sources.csv import read_table
 from dropflow.sources.testdata import course_view
 from dropflow.streaming.census_stream import start_feature_stream
 
-from conftest import SF001
+from paths import SF001
 
 
 def test_stream_processes_new_files_once(spark, tmp_dir):
