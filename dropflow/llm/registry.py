@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import queries_chat, queries_dedup, queries_lines, queries_models, queries_native, queries_tokens
+from . import (queries_chat, queries_dedup, queries_lines, queries_models, queries_native, queries_pieces, queries_runs,
+               queries_search, queries_tokens)
 
-MODULES = (queries_dedup, queries_chat, queries_tokens, queries_models, queries_native, queries_lines)
+MODULES = (queries_dedup, queries_chat, queries_tokens, queries_models, queries_native, queries_lines,
+           queries_runs, queries_pieces, queries_search)
 
 
 def llm_queries() -> dict:
