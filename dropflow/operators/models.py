@@ -8,10 +8,9 @@ differs, the closest Spark setting is used and noted:
   weights through ``weightCol``; regressors consider all features per split.
 * logistic regression: L2 with ``regParam = 1 / (C * sum(weights))`` and no
   internal standardisation, which is the same objective as the reference's.
-* boosted trees ("XGBoost" / "LightGBM" settings): ``GBTClassifier`` /
-  ``GBTRegressor`` with the same number of rounds, learning rate, depth, row
-  and column sampling; the leaf-wise 31-leaf trees become depth-5 trees
-  (<= 32 leaves). Spark's GBT is binary, so 4 classes use ``OneVsRest``.
+* boosted trees ("XGBoost" / "LightGBM" settings): second-order histogram
+  boosting (``operators.boosting``), depth-wise to depth 8 or leaf-wise to 31
+  leaves, with a softmax over four classes in one model.
 * MLP classifier: ``MultilayerPerceptronClassifier`` with the same hidden
   layers (Spark uses sigmoid hidden units and L-BFGS).
 * MLP regressor: no Spark learner exists; see ``operators.mlp_regressor``.
@@ -19,12 +18,12 @@ differs, the closest Spark setting is used and noted:
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 
+from .boosting import LGB, XGB, BoostSpec, HistogramBooster
+
 SEED = 42
 MAX_TREE_DEPTH = 30
 
@@ -38,6 +37,7 @@ def classifiers(profile: str, n_features: int, n_classes: int, n_train_weight: f
     scripts: RF/MLP/LR), 'g1' (predictor defaults).
     """
     common = dict(featuresCol=features, labelCol=label)
+    named = dict(features=features, label=label)
     multi = n_classes > 2
     layers = lambda hidden: [n_features, *hidden, n_classes]
     if profile == "g2":
@@ -58,18 +58,13 @@ def classifiers(profile: str, n_features: int, n_classes: int, n_train_weight: f
             "MLP": MultilayerPerceptronClassifier(layers=layers([100]), maxIter=500, seed=SEED,
                                                   tol=1e-4, **common),
         }
-    gbt_x = dict(maxIter=300, stepSize=0.05, maxDepth=8, subsamplingRate=0.8,
-                 featureSubsetStrategy="0.8", seed=SEED, checkpointInterval=10)
-    gbt_l = dict(maxIter=300, stepSize=0.05, maxDepth=5, subsamplingRate=1.0,
-                 featureSubsetStrategy="0.8", seed=SEED, checkpointInterval=10)
-    if multi:
-        xgb = OneVsRest(classifier=GBTClassifier(**gbt_x), **common)
-        lgb = OneVsRest(classifier=GBTClassifier(weightCol=weight, **gbt_l), weightCol=weight, **common)
-    else:
-        # the positive-class weight (negatives / positives) is carried by the
-        # weight column prepared by the caller (``pos_weight`` on positives)
-        xgb = GBTClassifier(weightCol="__posw", **gbt_x, **common)
-        lgb = GBTClassifier(weightCol=weight, **gbt_l, **common)
+    objective = "multiclass" if multi else "binary"
+    # the positive-class weight (negatives / positives) of the binary task is carried by the
+    # weight column prepared by the caller (``pos_weight`` on positives)
+    xgb = HistogramBooster(BoostSpec(objective, hessian_scale=2.0, seed=SEED, **XGB), n_classes,
+                           weight=None if multi else "__posw", **named)
+    lgb = HistogramBooster(BoostSpec(objective, hessian_scale=n_classes / (n_classes - 1), seed=SEED, **LGB), n_classes,
+                           weight=weight, **named)
     return {
         "RandomForest": RandomForestClassifier(numTrees=200, maxDepth=15, minInstancesPerNode=5,
                                                seed=SEED, weightCol=weight, **common),
@@ -94,10 +89,8 @@ def regressors(profile: str = "g3", features: str = "features", label: str = "la
     return {
         "RandomForest": RandomForestRegressor(numTrees=300, maxDepth=15, minInstancesPerNode=5, seed=SEED,
                                               featureSubsetStrategy="all", **common),
-        "XGBoost": GBTRegressor(maxIter=300, stepSize=0.05, maxDepth=8, subsamplingRate=0.8,
-                                featureSubsetStrategy="0.8", seed=SEED, checkpointInterval=10, **common),
-        "LightGBM": GBTRegressor(maxIter=300, stepSize=0.05, maxDepth=5, subsamplingRate=1.0,
-                                 featureSubsetStrategy="0.8", seed=SEED, checkpointInterval=10, **common),
+        "XGBoost": HistogramBooster(BoostSpec("regression", seed=SEED, **XGB), features=features, label=label),
+        "LightGBM": HistogramBooster(BoostSpec("regression", seed=SEED, **LGB), features=features, label=label),
     }
 
 
@@ -109,11 +102,8 @@ def importances(model, feature_names: list[str]) -> list[tuple[str, float]] | No
     elif hasattr(model, "coefficientMatrix"):
         import numpy as np
         vec = np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
-    elif hasattr(model, "models"):  # OneVsRest: average of the per-class models
-        import numpy as np
-        parts = [m.featureImportances.toArray() for m in model.models if hasattr(m, "featureImportances")]
-        if parts:
-            vec = np.mean(parts, axis=0)
+    elif hasattr(model, "importances"):
+        vec = model.importances
     if vec is None:
         return None
     if len(vec) != len(feature_names):

@@ -78,7 +78,10 @@ q_model_lr = _cls("quartile", "LogisticRegression")
 q_model_mlp = _cls("binary", "MLP")
 q_model_gbt = _cls("binary", "LightGBM")
 q_model_xgb = _cls("binary", "XGBoost")
+q_model_xgb_quartile = _cls("quartile", "XGBoost")
+q_model_gbt_quartile = _cls("quartile", "LightGBM")
 q_model_rf_default = _cls("binary", "RandomForest", "g1")
 q_model_rf_reg = _reg("RandomForest")
 q_model_gbt_reg = _reg("LightGBM")
+q_model_xgb_reg = _reg("XGBoost")
 q_model_mlp_reg = _reg("MLP")

@@ -23,12 +23,14 @@ def model_oracles() -> dict[str, str]:
     # the label of a regression is log1p of the rate; the test set is a plain fifth
     plain = ("SELECT CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n_test FROM rated WHERE TX_EVASAO IS NOT NULL")
     q = {}
-    for name, model, importance in (("q_model_rf", "RandomForest", "1.0"), ("q_model_lr", "LogisticRegression", "NULL")):
+    for name, model, importance in (("q_model_rf", "RandomForest", "1.0"), ("q_model_lr", "LogisticRegression", "NULL"),
+                                    ("q_model_xgb_quartile", "XGBoost", "1.0"), ("q_model_gbt_quartile", "LightGBM", "1.0")):
         q[name] = quartile + _facts(model, _stratified("labelled"), "n_classes", importance)
     for name, model, importance in (("q_model_mlp", "MLP", "NULL"), ("q_model_gbt", "LightGBM", "1.0"),
                                     ("q_model_xgb", "XGBoost", "1.0"), ("q_model_rf_default", "RandomForest", "1.0")):
         q[name] = binary + _facts(model, _stratified("bin"), "n_classes", importance)
     for name, model, importance in (("q_model_rf_reg", "RandomForest", "1.0"), ("q_model_gbt_reg", "LightGBM", "1.0"),
+                                    ("q_model_xgb_reg", "XGBoost", "1.0"),
                                     ("q_model_mlp_reg", "MLP", "NULL")):
         q[name] = with_ctes(COURSES, RATED_ALL) + _facts(model, plain, "CAST(NULL AS BIGINT)", importance)
     return q

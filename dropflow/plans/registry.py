@@ -22,8 +22,8 @@ MORE = ["q_box_stats", "q_box_stats_events", "q_union_years", "q_mega_dataset",
         "q_roc_auc_ovr", "q_reg_metrics", "q_reg_metrics_log", "q_topk_importance",
         "q_collect_metrics", "q_eligibility"]
 
-MODELS = ["q_model_rf", "q_model_lr", "q_model_mlp", "q_model_gbt", "q_model_xgb", "q_model_rf_default",
-          "q_model_rf_reg", "q_model_gbt_reg", "q_model_mlp_reg"]
+MODELS = ["q_model_rf", "q_model_lr", "q_model_mlp", "q_model_gbt", "q_model_xgb", "q_model_xgb_quartile",
+          "q_model_gbt_quartile", "q_model_rf_default", "q_model_rf_reg", "q_model_gbt_reg", "q_model_xgb_reg", "q_model_mlp_reg"]
 
 
 def spark_queries() -> dict:

@@ -12,6 +12,7 @@ import os
 import tempfile
 from contextlib import contextmanager
 from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers started on this machine import the package from where the driver did.
+
+    Executors elsewhere get the package as any Spark job's code, with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def is_local(master: str) -> bool:
     """One JVM: ``local`` or ``local[..]`` (a local-cluster has executors with folders of their own)."""
     return master == "local" or master.startswith("local[")
