@@ -7,12 +7,16 @@ class under a softmax) to the gradients and Hessians of the loss:
 * a job sums, in every task, gradient, Hessian and row counts per node, feature
   and bin of its rows; the tasks' sums meet in a tree reduction, so what reaches
   the driver is bounded by nodes x features x bins, whatever the number of rows;
-* only the smaller child of a split is summed, its sibling is the difference;
+* only the smaller child of a split is summed, its sibling is the difference, and
+  children that cannot be split again are not summed at all;
 * one job serves all nodes (and all classes) that are due. Depth-wise growth
   splits a level at a time. Leaf-wise growth takes the best leaf first; the job
-  looks ahead at as many open leaves as splits are left, the best-first order is
+  looks ahead at as many open nodes as splits are left, the best-first order is
   then followed through the children that are known, and look-ahead that is not
-  taken is dropped: the tree is the same as with a job per split.
+  taken is dropped: the tree is the same as with a job per split;
+* a node whose rows fit in one task (``LOCAL_CELLS``) is not split a job at a time:
+  its rows are grouped into a task, which grows the rest of its subtree with the
+  same code. The tree is the same wherever a node is finished.
 
 Blocks of binned rows are a reliably checkpointed table; every ``REFRESH`` rounds
 they are written again with their margins, and in between a lost block is
@@ -26,7 +30,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -45,6 +49,8 @@ MISSING = 255
 #: Rows of a block, and cells (rows x features) that make another task worth while.
 BLOCK_ROWS = 50_000
 TASK_CELLS = 4_000_000
+#: A node with at most this many cells is finished inside one task.
+LOCAL_CELLS = 4_000_000
 #: Rounds between two written states of the margins.
 REFRESH = 25
 #: Columns whose cut points one aggregation finds.
@@ -117,7 +123,7 @@ class Tree:
 
 def cut_points(data: DataFrame, features: int, max_cuts: int) -> list[np.ndarray]:
     """Sorted values of each feature that bins end at (all but the largest bin)."""
-    probs = [i / (max_cuts + 1) for i in range(1, max_cuts + 1)]
+    probs = F.lit([i / (max_cuts + 1) for i in range(1, max_cuts + 1)])
     found: list[np.ndarray] = []
     for start in range(0, features, CUT_COLUMNS):
         cols = range(start, min(start + CUT_COLUMNS, features))
@@ -209,54 +215,163 @@ def gradients(y: np.ndarray, w: np.ndarray, margin: np.ndarray, spec: BoostSpec)
 
 # --- growing -------------------------------------------------------------------------------------
 
+class Bins:
+    """The bins of a round's sampled features, one feature after the other, the missing bin of each last."""
+
+    def __init__(self, features: np.ndarray, sizes: np.ndarray, spec: BoostSpec) -> None:
+        self.features, self.spec = features, spec
+        self.begin = np.cumsum(sizes) - sizes
+        self.last = self.begin + sizes - 1
+        self.size = int(sizes.sum())
+        self.feature = np.repeat(features, sizes)
+        self.segment = np.repeat(np.arange(len(features)), sizes)
+        self.bin = np.arange(self.size) - self.begin[self.segment]
+
+    def sums(self, binned: np.ndarray, slot: np.ndarray, slots: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """([gradient, Hessian, rows] x slot x bin) sums of the rows."""
+        x = binned[:, self.features].astype(np.int64)
+        x = np.where(x == MISSING, self.last, self.begin + x)
+        at = (slot[:, None] * self.size + x).ravel()
+        d, total = len(self.features), slots * self.size
+        found = (np.bincount(at, np.repeat(g, d), total), np.bincount(at, np.repeat(h, d), total),
+                 np.bincount(at, minlength=total).astype(float))
+        return np.stack(found).reshape(3, slots, self.size)
+
+    def total(self, hist: np.ndarray) -> np.ndarray:
+        return hist[..., :self.last[0] + 1].sum(-1)
+
+    def left(self, hist: np.ndarray, at: int, missing_left: bool) -> np.ndarray:
+        """The sums of a split's left side."""
+        segment = self.segment[at]
+        found = hist[:, self.begin[segment]:at + 1].sum(1)
+        return found + hist[:, self.last[segment]] if missing_left else found
+
+    def best_splits(self, hists: np.ndarray) -> list[tuple[float, int, bool]]:
+        """Per node of (3 x node x bin) the best (gain, place, missing left); gain -inf where no split is allowed."""
+        total = self.total(hists)
+        left = np.cumsum(hists, -1)
+        before = np.concatenate((np.zeros((*hists.shape[:2], 1)), left[..., self.last[:-1]]), -1)
+        left -= np.repeat(before, np.diff(np.concatenate(([-1], self.last))), -1)
+        missing = hists[..., self.last]
+        nodes = np.arange(hists.shape[1])
+        best, place, side = np.full(len(nodes), -np.inf), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
+        for missing_left in (False, True):
+            if missing_left:
+                if not missing[2].any():
+                    break
+                left += missing[..., self.segment]
+            gain = self._gain(left, total)
+            gain[:, self.last] = -np.inf
+            at = gain.argmax(1)
+            found = gain[nodes, at]
+            better = found > best
+            best, place, side = np.where(better, found, best), np.where(better, at, place), np.where(better, missing_left, side)
+        best[best <= 1e-9] = -np.inf
+        return [(float(g), int(a), bool(m)) for g, a, m in zip(best, place, side)]
+
+    def _gain(self, left: np.ndarray, total: np.ndarray) -> np.ndarray:
+        spec, reg = self.spec, self.spec.reg_lambda + 1e-12
+        (g, h, rows), (all_g, all_h, all_rows) = left, total
+        least = max(spec.min_child_rows, 1) - 0.5
+        n, b = np.nonzero((h >= spec.min_child_weight) & (all_h[:, None] - h >= spec.min_child_weight)
+                          & (rows >= least) & (all_rows[:, None] - rows >= least))
+        gain = np.full(g.shape, -np.inf)
+        g, h = g[n, b], h[n, b]
+        whole = all_g ** 2 / (all_h + reg)
+        gain[n, b] = g * g / (h + reg) + (all_g[n] - g) ** 2 / (all_h[n] - h + reg) - whole[n]
+        return gain
+
+
 class Growing:
-    """A tree while it grows: known splits of open nodes, and the nodes looked ahead at."""
+    """A tree while it grows: sums and best splits of its nodes, and the nodes looked ahead at."""
 
-    def __init__(self, bins: "Bins", spec: BoostSpec) -> None:
+    def __init__(self, bins: Bins, spec: BoostSpec) -> None:
         self.bins, self.spec = bins, spec
-        self.sums: list[np.ndarray] = []                  # gradient, Hessian, rows of each node
+        self.sums: list[np.ndarray] = []                  # gradient, Hessian and rows of each node
         self.depth: list[int] = []
-        self.best: list[tuple] = []                       # (gain, position of the split, missing left)
+        self.best: list[tuple[float, int, bool]] = []     # (gain, place of the split, missing left)
         self.children: list[tuple[int, int] | None] = []
         self.hist: dict[int, np.ndarray] = {}
         self.taken: set[int] = set()
 
-    def add(self, hists: list[np.ndarray], depth: int) -> list[int]:
-        found = self.bins.best_splits(np.stack(hists), self.spec)
-        ids = []
-        for hist, (gain, at, missing_left) in zip(hists, found):
-            deep = self.spec.max_depth is not None and depth >= self.spec.max_depth
-            ids.append(len(self.sums))
-            self.sums.append(self.bins.total(hist))
-            self.depth.append(depth)
-            self.best.append((-math.inf if deep else gain, at, missing_left))
-            self.children.append(None)
-            self.hist[ids[-1]] = hist
-        return ids
+    def grow(self, depth: int, sums: np.ndarray | None = None) -> int:
+        """A further node; without a known split until its sums are filled in."""
+        self.sums.append(np.zeros(3) if sums is None else sums)
+        self.depth.append(depth)
+        self.best.append((-math.inf, 0, False))
+        self.children.append(None)
+        return len(self.sums) - 1
+
+    def fill(self, ids: list[int], hists: np.ndarray) -> None:
+        """The sums (3 x node x bin) of nodes, and with them their best splits."""
+        for n, (i, best) in enumerate(zip(ids, self.bins.best_splits(hists))):
+            self.sums[i] = self.bins.total(hists[:, n])
+            if best[0] > 0 and self.may_split(i):
+                self.best[i], self.hist[i] = best, hists[:, n]
+
+    def may_split(self, i: int) -> bool:
+        spec, (_, h, rows) = self.spec, self.sums[i]
+        return ((spec.max_depth is None or self.depth[i] < spec.max_depth) and h >= 2 * spec.min_child_weight
+                and rows > 2 * spec.min_child_rows - 0.5)
+
+    def leaves_left(self) -> int:
+        return self.spec.max_leaves - len(self.taken) - 1
 
     def wanted(self) -> list[int]:
         """Open nodes to split ahead; as a side effect the splits that the tree takes so far."""
+        open_ = [i for i, c in enumerate(self.children) if c is None and self.best[i][0] > 0]
         if self.spec.max_leaves is None:
             self.taken = {i for i, c in enumerate(self.children) if c}
-            return [i for i, c in enumerate(self.children) if c is None and self.best[i][0] > 0]
-        self.taken, leaves = set(), 1
+            return open_
+        self.taken = set()
         heap = [(-self.best[0][0], 0)]
-        while heap and leaves < self.spec.max_leaves:
+        while heap and self.leaves_left() > 0:
             gain, i = heap[0]
             if gain >= 0:
                 return []
             if self.children[i] is None:
-                ahead = sorted((g, j) for g, j in heap if g < 0 and self.children[j] is None)
-                return [j for _, j in ahead[:self.spec.max_leaves - leaves]]
+                # of all open nodes, also below splits only looked at, as many as splits are left
+                wanted = sorted(open_, key=lambda j: (-self.best[j][0], j))[:self.leaves_left()]
+                return wanted if i in wanted else [i, *wanted[:-1]]
             heapq.heappop(heap)
             self.taken.add(i)
-            leaves += 1
             for j in self.children[i]:
                 heapq.heappush(heap, (-self.best[j][0], j))
         return []
 
-    def arrays(self, through: bool) -> Tree:
-        """The tree as it is: with all look-ahead (``through``), or with the splits taken."""
+    def split(self, i: int) -> int | None:
+        """Open the children of a node with their sums; the lighter one if either may be split again."""
+        left = self.bins.left(self.hist[i], *self.best[i][1:])
+        self.children[i] = a, b = (self.grow(self.depth[i] + 1, left), self.grow(self.depth[i] + 1, self.sums[i] - left))
+        if not (self.may_split(a) or self.may_split(b)):
+            self.hist.pop(i)
+            return None
+        return a if self.sums[a][2] <= self.sums[b][2] else b
+
+    def fill_children(self, parents: list[int], lighter: list[int], hists: np.ndarray) -> None:
+        """The sums of the lighter children (3 x parent x bin); the others' are the rest of their parents."""
+        ids, found = [], []
+        for n, (i, child) in enumerate(zip(parents, lighter)):
+            pair = [hists[:, n], self.hist.pop(i) - hists[:, n]]
+            ids += self.children[i]
+            found += pair if child == self.children[i][0] else pair[::-1]
+        if ids:
+            self.fill(ids, np.stack(found, 1))
+
+    def graft(self, i: int, grown: "Growing") -> None:
+        """Continue node i with the subtree that was grown from its rows."""
+        number = {0: i}
+        for n in range(1, len(grown.sums)):
+            number[n] = self.grow(self.depth[i] + grown.depth[n], grown.sums[n])
+            self.best[number[n]] = grown.best[n]
+        for n, c in enumerate(grown.children):
+            self.children[number[n]] = c and (number[c[0]], number[c[1]])
+        self.hist.pop(i, None)
+        if grown.children[0] is None:                     # the sums of its rows allow no split after all
+            self.best[i] = (-math.inf, 0, False)
+
+    def arrays(self, through: bool) -> tuple[Tree, dict[int, int]]:
+        """The tree as it is, with all look-ahead (``through``) or with the splits taken, and its nodes' numbers in it."""
         number, order = {0: 0}, [0]
         for i in order:
             if self.children[i] and (through or i in self.taken):
@@ -264,8 +379,7 @@ class Growing:
                     number[j] = len(order)
                     order.append(j)
         n = len(order)
-        feature, cut = np.full(n, -1), np.zeros(n, np.int64)
-        threshold, value = np.zeros(n), np.zeros(n)
+        feature, cut, value = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
         missing_left, left, right = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
         for k, i in enumerate(order):
             g, h, _ = self.sums[i]
@@ -273,89 +387,54 @@ class Growing:
             if self.children[i] and (through or i in self.taken):
                 _, at, missing_left[k] = self.best[i]
                 feature[k], cut[k] = self.bins.feature[at], self.bins.bin[at]
-                threshold[k] = self.bins.threshold(at)
                 left[k], right[k] = (number[j] for j in self.children[i])
-        self.number = number
-        return Tree(feature, cut, threshold, missing_left, left, right, value, max(self.depth[i] for i in order))
+        return Tree(feature, cut, np.zeros(n), missing_left, left, right, value, max(self.depth[i] for i in order)), number
 
     def gains(self, into: np.ndarray) -> None:
         for i in self.taken:
             into[self.bins.feature[self.best[i][1]]] += self.best[i][0]
 
 
-class Bins:
-    """The bins of a round's sampled features, laid out one feature after the other (the missing bin last)."""
-
-    def __init__(self, cuts: list[np.ndarray], features: np.ndarray) -> None:
-        self.cuts, self.features = cuts, features
-        sizes = np.array([len(cuts[f]) + 2 for f in features])
-        self.begin = np.cumsum(sizes) - sizes
-        self.size = int(sizes.sum())
-        self.feature = np.repeat(features, sizes)
-        self.bin = np.arange(self.size) - np.repeat(self.begin, sizes)
-        self.segment = np.repeat(np.arange(len(features)), sizes)
-        self.last = self.begin + sizes - 1                # place of the missing bin
-        self.missing = np.zeros(self.size, bool)
-        self.missing[self.last] = True
-
-    def threshold(self, at: int) -> float:
-        cuts = self.cuts[self.feature[at]]
-        return float(cuts[self.bin[at]]) if self.bin[at] < len(cuts) else math.inf
-
-    def sums(self, binned: np.ndarray, slot: np.ndarray, slots: int, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """(slot x bin x [gradient, Hessian, rows]) of the rows."""
-        x = binned[:, self.features].astype(np.int64)
-        x = np.where(x == MISSING, self.last, self.begin + x)
-        at = (slot[:, None] * self.size + x).ravel()
-        d, total = len(self.features), slots * self.size
-        return np.stack([np.bincount(at, np.repeat(g, d), total), np.bincount(at, np.repeat(h, d), total),
-                         np.bincount(at, minlength=total).astype(float)], 1).reshape(slots, self.size, 3)
-
-    def total(self, hist: np.ndarray) -> np.ndarray:
-        return hist[:self.last[0] + 1].sum(0)
-
-    def best_splits(self, hists: np.ndarray, spec: BoostSpec) -> list[tuple[float, int, bool]]:
-        """Per node the best (gain, place, missing left); gain -inf where no split is allowed."""
-        total = hists[:, :self.last[0] + 1].sum(1)[:, None, :]
-        run = np.cumsum(hists, 1)
-        before = np.concatenate((np.zeros((len(hists), 1, 3)), run[:, self.last[:-1]]), 1)
-        left = run - before[:, self.segment]
-        missing = hists[:, self.last][:, self.segment]
-        best = np.full(len(hists), -np.inf)
-        place, side = np.zeros(len(hists), np.int64), np.zeros(len(hists), bool)
-        nodes = np.arange(len(hists))
-        for missing_left in (False, True):
-            if missing_left and not missing[:, :, 2].any():
-                break
-            with_left = left + missing if missing_left else left
-            gain = self._gain(with_left, total, spec)
-            gain[:, self.missing] = -np.inf
-            at = gain.argmax(1)
-            better = gain[nodes, at] > best
-            best, place, side = (np.where(better, new, old) for new, old in
-                                 ((gain[nodes, at], best), (at, place), (missing_left, side)))
-        best[best <= 1e-9] = -np.inf
-        return [(float(g), int(a), bool(m)) for g, a, m in zip(best, place, side)]
-
-    @staticmethod
-    def _gain(left: np.ndarray, total: np.ndarray, spec: BoostSpec) -> np.ndarray:
-        right = total - left
-        reg = spec.reg_lambda + 1e-12
-        gain = (left[..., 0] ** 2 / (left[..., 1] + reg) + right[..., 0] ** 2 / (np.maximum(right[..., 1], 0) + reg)
-                - total[..., 0] ** 2 / (total[..., 1] + reg))
-        allowed = ((left[..., 1] >= spec.min_child_weight) & (right[..., 1] >= spec.min_child_weight)
-                   & (left[..., 2] >= spec.min_child_rows - 0.5) & (right[..., 2] >= spec.min_child_rows - 0.5))
-        return np.where(allowed, gain, -np.inf)
+def due_children(trees: list[Growing], due: list[list[int]]):
+    """Split the due nodes: the trees so far, the slot of each node's sums, and (tree, parent, lighter child) per slot."""
+    plan, known, slot_of = [], [], []
+    for tree, ids in zip(trees, due):
+        lighter = [(i, child) for i in ids for child in (tree.split(i),) if child is not None]
+        arrays, number = tree.arrays(through=True)
+        slot = np.full(len(arrays.feature), -1)
+        for i, child in lighter:
+            slot[number[child]] = len(plan)
+            plan.append((tree, i, child))
+        known.append(arrays)
+        slot_of.append(slot)
+    return known, slot_of, plan
+
+
+def fill_plan(trees: list[Growing], plan: list[tuple], hist: np.ndarray) -> None:
+    for tree in trees:
+        own = [s for s, (owner, _, _) in enumerate(plan) if owner is tree]
+        tree.fill_children([plan[s][1] for s in own], [plan[s][2] for s in own], hist[:, own])
+
+
+def grown_here(x: np.ndarray, g: np.ndarray, h: np.ndarray, bins: Bins, spec: BoostSpec) -> Growing:
+    """The subtree of the rows of one node, grown in this process."""
+    tree = Growing(bins, spec)
+    tree.fill([tree.grow(0)], bins.sums(x, np.zeros(len(x), np.int64), 1, g, h))
+    while due := tree.wanted():
+        (known,), (slot_of,), plan = due_children([tree], [due])
+        if plan:
+            slot = slot_of[known.leaves(x)]
+            used = np.flatnonzero(slot >= 0)
+            fill_plan([tree], plan, bins.sums(x[used], slot[used], len(plan), g[used], h[used]))
+    tree.hist.clear()
+    return tree
 
 
 def _histograms(state, partitions: int, trees: list[Tree], slot_of: list[np.ndarray], slots: int, bins: Bins) -> np.ndarray:
     """Sums of the wanted nodes over all rows; node n of tree k has slot ``slot_of[k][n]`` (-1: none)."""
-    shared = state.context.broadcast((trees, slot_of, bins))
-
     def run(rows):
         found = None
         for x, chosen, g, h in rows:
-            trees, slot_of, bins = shared.value
             for k, tree in enumerate(trees):
                 slot = slot_of[k][tree.leaves(x)]
                 used = np.flatnonzero((slot >= 0) & chosen)
@@ -365,72 +444,83 @@ def _histograms(state, partitions: int, trees: list[Tree], slot_of: list[np.ndar
         return [] if found is None else [found]
 
     sums = state.mapPartitions(run)
-    depth = 2 if partitions > 4 else 1
     try:
-        out = sums.treeReduce(lambda a, b: a + b, depth) if depth > 1 else sums.reduce(lambda a, b: a + b)
+        return sums.treeReduce(lambda a, b: a + b) if partitions > 4 else sums.reduce(lambda a, b: a + b)
     except ValueError:                                    # no row in any of the nodes
-        out = np.zeros((slots, bins.size, 3))
-    shared.unpersist()
-    return out
+        return np.zeros((3, slots, bins.size))
 
 
-def _round(state, partitions: int, bins: Bins, spec: BoostSpec, outputs: int, gains: np.ndarray) -> list[Tree]:
+def _finished(state, partitions: int, trees: list[Tree], node_of: list[dict[int, int]], specs: dict, bins: Bins) -> list:
+    """((tree, node), its subtree) of small nodes; ``node_of`` maps numbers in the trees to nodes."""
+    def rows_of(block):
+        x, chosen, g, h = block
+        for k, tree in enumerate(trees):
+            if node_of[k]:
+                leaf = tree.leaves(x)
+                for number, i in node_of[k].items():
+                    used = np.flatnonzero((leaf == number) & chosen)
+                    if len(used):
+                        yield (k, i), (x[used], g[used, k], h[used, k])
+
+    def grow(item):
+        key, parts = item
+        x, g, h = (np.concatenate(c) for c in zip(*parts))
+        return key, grown_here(x, g, h, bins, specs[key])
+
+    if partitions == 1:                                   # all rows of a node are in one place already
+        def together(blocks):
+            groups: dict = {}
+            for block in blocks:
+                for key, rows in rows_of(block):
+                    groups.setdefault(key, []).append(rows)
+            return map(grow, groups.items())
+        return state.mapPartitions(together).collect()
+    return state.flatMap(rows_of).groupByKey(partitions).map(grow).collect()
+
+
+def _round(state, partitions: int, rows: int, bins: Bins, spec: BoostSpec, outputs: int, gains: np.ndarray) -> list[Tree]:
     growing = [Growing(bins, spec) for _ in range(outputs)]
-    one = Tree(np.array([-1]), *(np.zeros(1, t) for t in (np.int64, float, bool, np.int64, np.int64, float)), 0)
-    hist = _histograms(state, partitions, [one] * outputs, [np.array([k]) for k in range(outputs)], outputs, bins)
-    for k, tree in enumerate(growing):
-        tree.add([hist[k]], 0)
-    while True:
+    small = LOCAL_CELLS // max(1, len(bins.features))
+    root = Tree(np.array([-1]), *(np.zeros(1, t) for t in (np.int64, float, bool, np.int64, np.int64, float)), 0)
+    for tree in growing:
+        tree.grow(0)
+    if rows > small:
+        hist = _histograms(state, partitions, [root] * outputs, [np.array([k]) for k in range(outputs)], outputs, bins)
+        for k, tree in enumerate(growing):
+            tree.fill([0], hist[:, k:k + 1])
         due = [tree.wanted() for tree in growing]
-        if not any(due):
-            break
-        # the smaller child of each due node is summed, the other is the rest of its parent
-        slots, plan, slot_of, made = 0, [], [], []
-        for tree, ids in zip(growing, due):
-            for i in ids:
-                tree.children[i] = (-1, -1)
-            pairs = []
-            for i in ids:
-                _, at, missing_left = tree.best[i]
-                begin = bins.begin[bins.segment[at]]
-                rows = tree.hist[i][begin:at + 1, 2].sum()
-                if missing_left:
-                    rows += tree.hist[i][bins.last[bins.segment[at]], 2]
-                pairs.append((i, 2 * rows <= tree.sums[i][2]))
-            first = len(tree.sums)
-            for n, (i, _) in enumerate(pairs):
-                tree.children[i] = (first + 2 * n, first + 2 * n + 1)
-                for _ in range(2):
-                    tree.sums.append(np.zeros(3))
-                    tree.depth.append(tree.depth[i] + 1)
-                    tree.best.append((-math.inf, 0, False))
-                    tree.children.append(None)
-            arrays = tree.arrays(through=True)
-            slot = np.full(len(arrays.feature), -1)
-            for i, small_left in pairs:
-                slot[tree.number[tree.children[i][0 if small_left else 1]]] = slots
-                plan.append((tree, i, small_left, slots))
-                slots += 1
-            slot_of.append(slot)
-            made.append(arrays)
-        hist = _histograms(state, partitions, made, slot_of, slots, bins)
-        for tree in growing:
-            hists, ids = [], []
-            for owner, i, small_left, s in plan:
-                if owner is tree:
-                    rest = tree.hist.pop(i) - hist[s]
-                    hists += [hist[s], rest] if small_left else [rest, hist[s]]
-                    ids += tree.children[i]
-            if hists:
-                for i, h, best in zip(ids, hists, bins.best_splits(np.stack(hists), spec)):
-                    deep = spec.max_depth is not None and tree.depth[i] >= spec.max_depth
-                    tree.sums[i], tree.hist[i] = bins.total(h), h
-                    tree.best[i] = (-math.inf if deep else best[0], *best[1:])
-    out = []
+    else:
+        due = [[0]] * outputs
+    first = rows <= small                                 # the roots' sums are not known yet
+    while any(due):
+        here = [[i for i in ids if first or tree.sums[i][2] <= small] for tree, ids in zip(growing, due)]
+        if any(here):
+            known, numbers = zip(*[tree.arrays(through=True) for tree in growing])
+            specs = {(k, i): replace(spec, max_depth=spec.max_depth and spec.max_depth - tree.depth[i],
+                                     max_leaves=spec.max_leaves and tree.leaves_left() + 1)
+                     for k, (tree, ids) in enumerate(zip(growing, here)) for i in ids}
+            node_of = [{number[i]: i for i in ids} for number, ids in zip(numbers, here)]
+            for (k, i), grown in _finished(state, partitions, list(known), node_of, specs, bins):
+                growing[k].graft(i, grown)
+                if i == 0:
+                    growing[k].sums[0], growing[k].best[0] = grown.sums[0], grown.best[0]
+        large = [[i for i in ids if i not in set(near)] for ids, near in zip(due, here)]
+        if any(large):
+            known, slot_of, plan = due_children(growing, large)
+            if plan:
+                fill_plan(growing, plan, _histograms(state, partitions, known, slot_of, len(plan), bins))
+        due, first = [tree.wanted() for tree in growing], False
     for tree in growing:
-        out.append(tree.arrays(through=False))
         tree.gains(gains)
-    return out
+    return [tree.arrays(through=False)[0] for tree in growing]
+
+
+def with_thresholds(tree: Tree, cuts: list[np.ndarray]) -> Tree:
+    """The same tree with raw values at its splits."""
+    for k in np.flatnonzero(tree.feature >= 0):
+        values = cuts[tree.feature[k]]
+        tree.threshold[k] = values[tree.cut[k]] if tree.cut[k] < len(values) else math.inf
+    return tree
 
 
 class HistogramBooster(Estimator):
@@ -467,7 +557,10 @@ class HistogramBooster(Estimator):
                 since = []
             chosen = np.sort(rng.choice(d, max(1, int(spec.colsample * d + 1e-9)), replace=False))
             state = self._state(made, list(since), number, outputs)
-            trees = _round(state, partitions, Bins(cuts, chosen), spec, outputs, gains)
+            if partitions > 1:                            # one partition is finished by a single job
+                state.persist(StorageLevel.MEMORY_AND_DISK)
+            bins = Bins(chosen, np.array([len(cuts[f]) + 2 for f in chosen]), spec)
+            trees = [with_thresholds(t, cuts) for t in _round(state, partitions, rows, bins, spec, outputs, gains)]
             state.unpersist()
             fitted.append(trees)
             since.append(trees)
@@ -491,19 +584,18 @@ class HistogramBooster(Estimator):
         return rows, np.log(np.maximum(np.array(found[3:]) / total, 1e-15))
 
     def _state(self, made: DataFrame, since: list, number: int, outputs: int):
-        """Per block (bins, rows of this round's sample, gradients, Hessians), kept for the round."""
+        """Per block (bins, rows of this round's sample, gradients, Hessians)."""
         spec = self.spec
-        shared = made.sparkSession.sparkContext.broadcast(since)
 
         def one(row):
             b = Block.of(row, outputs)
-            g, h = gradients(b.y, b.w, moved(b, shared.value), spec)
+            g, h = gradients(b.y, b.w, moved(b, since), spec)
             chosen = np.ones(len(b.y), bool)
             if spec.subsample < 1:
                 chosen = np.random.default_rng([spec.seed, number, *b.key]).random(len(b.y)) < spec.subsample
             return b.x, chosen, g, h
 
-        return made.rdd.map(one).persist(StorageLevel.MEMORY_AND_DISK)
+        return made.rdd.map(one)
 
     @staticmethod
     def _refreshed(made: DataFrame, since: list, outputs: int) -> DataFrame:

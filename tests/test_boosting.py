@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from dropflow.operators import boosting
 from dropflow.operators.boosting import BoostSpec, HistogramBooster, Tree, gradients
 
 
@@ -58,7 +59,11 @@ def plain_tree(x, g, h, spec):
     BoostSpec("binary", rounds=2, learning_rate=0.5, max_depth=None, max_leaves=6, reg_lambda=0.1, start_at_mean=True),
     BoostSpec("regression", rounds=3, learning_rate=0.4, max_depth=2),
     BoostSpec("multiclass", rounds=2, learning_rate=0.3, max_depth=None, max_leaves=5, hessian_scale=2.0)])
-def test_trees_are_those_of_a_plain_search(spark, spec):
+@pytest.mark.parametrize("local_cells, task_cells", [(0, 100), (160, 100), (boosting.LOCAL_CELLS, 10 ** 9)])
+def test_trees_are_those_of_a_plain_search(spark, monkeypatch, spec, local_cells, task_cells):
+    """Grown by jobs alone, by jobs down to small nodes, or in one task: the same trees."""
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", local_cells)
+    monkeypatch.setattr(boosting, "TASK_CELLS", task_cells)
     rng = np.random.default_rng(7)
     x = rng.integers(0, 9, (160, 4)).astype(float) + rng.integers(0, 2, (160, 4)) * 0.5
     signal = x[:, 0] - 0.7 * x[:, 1] + 0.3 * x[:, 2] * (x[:, 3] > 4) + rng.normal(0, 1, 160)
