@@ -6,11 +6,14 @@ again by weight among the others until no source is above its cap. A document
 is then taken ``floor(target / size of the source)`` whole times, and one more
 time if it lies in the source's seeded sample for the fractional epoch.
 
-The sample is a prefix of the source in the order of a seeded hash of
-(doc_id, text). The prefix ends where the sum of sizes comes nearest to the
-missing words, found in two steps so that no source is ever sorted as a whole:
-sums per (source, leading 16 bits of the hash), then the single bucket that
-holds the end. Only DataFrame operations are used.
+The sample follows the order of a seeded hash of (doc_id, text). A document is
+in if its middle lies before the end of the missing words. A long one across the
+end would miss the target by more than an ordinary document (the source's mean):
+it is settled by itself (in, if its middle lies before the end and it is no
+longer than the missing words; else out), and the order of the others then ends
+where it fills what is left. Each crossing is found in two steps, so that no
+source is ever sorted as a whole: sums per (source, leading 16 bits of the hash),
+then the single bucket that holds it. Only DataFrame operations are used.
 
 Defined cases: null or empty text: size 0, taken like any other but adds no
 words; null source: a source of its own, last in order; rows with equal
@@ -34,6 +37,7 @@ SEED = "mix-1"
 
 #: The order key has 60 bits; its leading 16 bits are the bucket.
 LOW_BITS = 44
+LAST_KEY = (1 << 60) - 1
 
 
 def order_key(seed: str, doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -86,11 +90,13 @@ def water_level(sources: DataFrame, max_epochs: float) -> float | None:
 
 def source_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS,
                 max_epochs: float = MAX_EPOCHS) -> tuple[DataFrame, int]:
-    """Per source: source, source_size, target, whole (epochs), cut (last key of the fractional epoch).
+    """Per source: source, source_size, target, whole (epochs), cut, settled and pinned (of the fractional epoch,
+    see :func:`_cuts`).
 
     ``sizes`` is a materialised :func:`measured` table; returns the plan and its row count.
     """
-    listed = numbered_sources(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    listed = numbered_sources(sizes.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.sum((F.col("size") > 0).cast("long")).alias("filled")))
     per_rank = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
                             (F.col("rank") % len(weights) + 1).cast("int"))
     listed = checkpoint(listed.withColumn("weight", per_rank))
@@ -101,7 +107,7 @@ def source_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS,
     planned = (listed.withColumn("target", target)
                .withColumn("whole", F.when(size > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)))
                .withColumn("rest", F.col("target") - F.col("whole") * size)
-               .select("source", "source_size", "target", "whole", "rest"))
+               .select("source", "source_size", "target", "whole", "rest", F.try_divide(size, F.col("filled")).alias("ordinary")))
     planned = checkpoint(planned)
     n_sources = planned.count()
     return planned.join(_cuts(sizes, planned, n_sources).withColumnRenamed("source", "cut_source"),
@@ -109,31 +115,62 @@ def source_plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS,
 
 
 def _cuts(sizes: DataFrame, planned: DataFrame, n_sources: int) -> DataFrame:
-    """Per source with a fractional epoch: the last order key that it takes."""
+    """Per source with a fractional epoch: the last order key that it takes, and the keys settled by themselves.
+
+    ``pinned`` keys are in, the other ``settled`` ones are out, whatever the cut. A round settles one long
+    document of every source that has one across its end.
+    """
+    none = F.array().cast("array<bigint>")
+    state = checkpoint(planned.filter("rest > 0").select(
+        "source", "rest", "ordinary", none.alias("settled"), none.alias("pinned"), F.lit(None).cast("long").alias("cut")))
+    while state.filter("cut IS NULL").limit(1).count():
+        found = _crossing(sizes, state.filter("cut IS NULL"), n_sources)
+        joined = joined_small(state, found, n_sources, F.col("source").eqNullSafe(F.col("x_source")))
+        size, missing = F.col("x_words"), F.col("rest") - F.col("x_before")
+        inside = missing >= size / 2
+        cut = (F.when(F.col("cut").isNotNull(), F.col("cut")).when(F.col("x_key").isNull(), F.lit(LAST_KEY))
+               .when(inside & (size - missing <= F.col("ordinary")), F.col("x_key"))
+               .when(~inside & (missing <= F.col("ordinary")), F.col("x_key") - 1))
+        long = cut.isNull()
+        pin = long & inside & (size <= F.col("rest") + F.col("ordinary"))
+        state = checkpoint(joined.select(
+            "source", F.when(pin, F.col("rest") - size).otherwise(F.col("rest")).alias("rest"), "ordinary",
+            F.when(long, F.concat("settled", F.array("x_key"))).otherwise(F.col("settled")).alias("settled"),
+            F.when(pin, F.concat("pinned", F.array("x_key"))).otherwise(F.col("pinned")).alias("pinned"),
+            F.when(pin & (F.col("rest") - size <= 0), F.lit(-1).cast("long")).otherwise(cut).alias("cut")))
+    return state.select("source", "cut", "settled", "pinned")
+
+
+def _crossing(sizes: DataFrame, open_: DataFrame, n_sources: int) -> DataFrame:
+    """Per open source: the key, settled ones aside, at which the words reach ``rest``, and the words before it.
+
+    Sums per bucket (the key's top bits) find the bucket, then only that bucket is ordered.
+    """
     bucket = F.shiftright("key", LOW_BITS)
-    rest = planned.filter("rest > 0").select(F.col("source").alias("p_source"), "rest")
-    same = F.col("source").eqNullSafe(F.col("p_source"))
-    totals = sizes.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    ends = open_.select(F.col("source").alias("p_source"), "settled", "rest")
+    left = joined_small(sizes, ends, n_sources, F.col("source").eqNullSafe(F.col("p_source"))
+                        & ~F.array_contains("settled", F.col("key")), "inner")
+    left = left.select("source", "key", "size", "rest", bucket.alias("bucket"))
+    totals = left.groupBy("source", "bucket", "rest").agg(F.sum("size").alias("words"))
     along = Window.partitionBy("source").orderBy("bucket")  # 65,536 rows a source at most
-    crossing = (joined_small(totals.withColumn("upto", F.sum("words").over(along)), rest, n_sources, same, "inner")
+    crossing = (totals.withColumn("upto", F.sum("words").over(along))
                 .filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
                 .select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"),
-                        (F.col("upto") - F.col("words")).alias("before"), "rest"))
-    slice_ = joined_small(sizes.withColumn("bucket", bucket), crossing, n_sources,
+                        (F.col("upto") - F.col("words")).alias("before")))
+    slice_ = joined_small(left, crossing, n_sources,
                           F.col("source").eqNullSafe(F.col("c_source")) & (F.col("bucket") == F.col("c_bucket")), "inner")
     keys = slice_.groupBy("source", "bucket", "key", "before", "rest").agg(F.sum("size").alias("words"))
     inside = Window.partitionBy("source").orderBy("key")
-    # a key (usually one document) is in if its middle lies before the end
-    middle = F.col("before") + F.sum("words").over(inside) - F.col("words") / 2
-    taken = keys.withColumn("inside", middle <= F.col("rest"))
-    return taken.groupBy("source").agg(
-        F.coalesce(F.max(F.when(F.col("inside"), F.col("key"))),
-                   F.shiftleft(F.max("bucket"), LOW_BITS) - 1).alias("cut"))
+    upto = keys.withColumn("upto", F.col("before") + F.sum("words").over(inside))
+    return (upto.filter((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")))
+            .select(F.col("source").alias("x_source"), F.col("key").alias("x_key"),
+                    (F.col("upto") - F.col("words")).alias("x_before"), F.col("words").alias("x_words")))
 
 
-def copies() -> Column:
-    return (F.coalesce(F.col("whole"), F.lit(0))
-            + F.when(F.col("key") <= F.col("cut"), F.lit(1)).otherwise(F.lit(0))).cast("long")
+def copies(p: str = "") -> Column:
+    c = lambda name: F.col(p + name)
+    taken = F.array_contains(c("pinned"), c("key")) | ((c("key") <= c("cut")) & ~F.array_contains(c("settled"), c("key")))
+    return (F.coalesce(c("whole"), F.lit(0)) + F.when(taken, F.lit(1)).otherwise(F.lit(0))).cast("long")
 
 
 def planned_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float = MAX_EPOCHS,
@@ -155,11 +192,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_epochs: float =
     """
     sizes = checkpoint(measured(docs, seed))
     plan, n = source_plan(sizes, weights, max_epochs)
-    plan = checkpoint(plan).select(*[F.col(c).alias(f"__{c}") for c in ("source", "whole", "cut")])
+    plan = checkpoint(plan).select(*[F.col(c).alias(f"__{c}") for c in ("source", "whole", "cut", "settled", "pinned")])
     keyed = docs.withColumn("__key", order_key(seed))
-    times = (F.coalesce(F.col("__whole"), F.lit(0))
-             + F.when(F.col("__key") <= F.col("__cut"), F.lit(1)).otherwise(F.lit(0))).cast("int")
     out = joined_small(keyed, plan, n, docs["source"].eqNullSafe(F.col("__source")))
-    return (out.withColumn("__copies", times).filter("__copies > 0")
+    return (out.withColumn("__copies", copies("__").cast("int")).filter("__copies > 0")
             .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies"))))
             .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -1,12 +1,13 @@
 """Host-level quality rules with an empirical beta prior.
 
 Per document: counts over the whole text, two *base* rules that always reject,
-and *soft* rules that hold only with the host's verdict. Per host (the source
-of a document): the number of documents with any failed rule, its rate shrunk
-towards the corpus by a beta prior fitted to the hosts by moments, and a
-verdict. On a *strict* host (shrunk rate at or above ``tolerance``) a failed
-soft rule rejects a document; on other hosts it is forgiven. A document that
-fails no rule is always kept.
+and rules of form with two limits, ``SOFT`` and ``FAR``. A document beyond a far
+limit is rejected anywhere, one within the soft limits is kept anywhere; between
+them its host decides. Per host (the source of a document): the documents that
+pass the base rules, how many of them are beyond a soft limit, that rate shrunk
+towards the corpus by a beta prior fitted to the hosts by moments, and a verdict:
+a host is *strict* if its shrunk rate is over ``WORSE`` times the corpus rate. On
+strict hosts the soft limits hold, on the others the far ones.
 
 Everything is DataFrame code. A document's counts come from its own row
 (arrays inside the row, no shuffle); only one narrow row a document goes into
@@ -27,7 +28,11 @@ from .common import checkpoint, joined_small, text_or_empty, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
-TOLERANCE = 0.02
+#: A host whose shrunk rate is more than this many times the corpus rate is strict.
+WORSE = 1.05
+#: Limits of form: symbols and exclamation marks per word, repeated lines per line, mean word length.
+SOFT = dict(symbols=0.25, marks=0.25, dup_lines=0.5, shortest=2.0, longest=15.0)
+FAR = dict(symbols=0.5, marks=0.5, dup_lines=0.8, shortest=1.5, longest=25.0)
 #: Bounds of the prior's weight in documents.
 PRIOR_MIN, PRIOR_MAX = 1.0, 10_000.0
 
@@ -76,66 +81,67 @@ def base_failed(p: str = "__") -> Column:
     return (c("n_words") < MIN_WORDS) | (c("n_repeat_words") * 100 > c("n_words") * MAX_REPEAT_PCT)
 
 
-def soft_failed(p: str = "__") -> Column:
-    """Rules of form, each far from what prose reaches."""
+def beyond(limits: dict, p: str = "__") -> Column:
+    """Whether a document's form is beyond one of the limits."""
     c = lambda name: F.col(p + name)
     n = F.greatest(c("n_words"), F.lit(1))
     mean = c("word_chars") / n
-    return ((c("n_symbols") > n * 0.25)                                        # symbols in place of prose
-            | (c("n_marks") > n * 0.25)                                        # shouting
-            | (c("n_dup_lines") > F.greatest(c("n_lines"), F.lit(1)) * 0.5)    # the same lines again
-            | (mean < 2.0) | (mean > 15.0))                                    # no words
+    return ((c("n_symbols") > n * limits["symbols"])                                       # symbols in place of prose
+            | (c("n_marks") > n * limits["marks"])                                         # shouting
+            | (c("n_dup_lines") > F.greatest(c("n_lines"), F.lit(1)) * limits["dup_lines"])  # the same lines again
+            | (mean < limits["shortest"]) | (mean > limits["longest"]))                    # no words
 
 
-def host_verdicts(flags: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, int]:
+def host_verdicts(flags: DataFrame, worse: float = WORSE) -> tuple[DataFrame, int]:
     """host, n_docs, n_failed, rate (shrunk), strict; and the number of hosts.
 
-    ``flags`` has host and failed (boolean). The prior's mean is the corpus rate m; its weight comes
-    from the spread of the hosts' rates: m(1-m)/v - 1 with v their variance weighted by documents.
+    ``flags`` has host, judged and failed (booleans). The prior's mean is the corpus rate m; its weight
+    comes from the spread of the hosts' rates: m(1-m)/v - 1 with v their variance weighted by documents.
     """
-    hosts = checkpoint(flags.groupBy("host").agg(F.count("*").alias("n_docs"),
-                                                 F.sum(F.col("failed").cast("long")).alias("n_failed")))
+    hosts = checkpoint(flags.groupBy("host").agg(F.sum(F.col("judged").cast("long")).alias("n_docs"),
+                                                 F.sum((F.col("judged") & F.col("failed")).cast("long")).alias("n_failed")))
     n, k = F.col("n_docs"), F.col("n_failed")
-    t = hosts.agg(F.count("*").alias("hosts"), F.sum("n_docs").alias("n"), F.sum("n_failed").alias("k"),
-                  F.sum(k * k / n).alias("kk")).first()
+    judged = n > 0
+    t = hosts.agg(F.count("*").alias("hosts"), F.sum(judged.cast("long")).alias("judged"), F.sum("n_docs").alias("n"),
+                  F.sum("n_failed").alias("k"), F.sum(F.when(judged, k * k / n)).alias("kk")).first()
     if not t["n"]:
-        return hosts.select("host", "n_docs", "n_failed", F.lit(0.0).alias("rate"), F.lit(False).alias("strict")), 0
+        return hosts.select("host", "n_docs", "n_failed", F.lit(0.0).alias("rate"), F.lit(False).alias("strict")), t["hosts"]
     m = t["k"] / t["n"]
     v = t["kk"] / t["n"] - m * m
     weight = min(max(m * (1 - m) / v - 1, PRIOR_MIN), PRIOR_MAX) if v > 0 else PRIOR_MAX
-    weight = weight if t["hosts"] > 1 else PRIOR_MIN
+    weight = weight if t["judged"] > 1 else PRIOR_MIN
     rate = (k + F.lit(m * weight)) / (n + F.lit(weight))
     return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"),
-                        (rate >= F.lit(tolerance)).alias("strict")), t["hosts"]
+                        (rate > F.lit(m * worse)).alias("strict")), t["hosts"]
 
 
-def with_verdicts(counted: DataFrame, source: str = "source", tolerance: float = TOLERANCE,
+def with_verdicts(counted: DataFrame, source: str = "source", worse: float = WORSE,
                   p: str = "__") -> DataFrame:
     """Join host verdicts to a materialised table of counts; adds base_failed and kept (prefixed)."""
-    flagged = counted.select(F.col(source).alias("host"), (base_failed(p) | soft_failed(p)).alias("failed"))
-    verdicts, n = host_verdicts(flagged, tolerance)
+    bad = base_failed(p)
+    flagged = counted.select(F.col(source).alias("host"), (~bad).alias("judged"), beyond(SOFT, p).alias("failed"))
+    verdicts, n = host_verdicts(flagged, worse)
     small = verdicts.select(F.col("host").alias(p + "host"), F.col("strict").alias(p + "strict"))
     out = joined_small(counted, small, n, counted[source].eqNullSafe(F.col(p + "host")))
-    bad = base_failed(p)
     return out.withColumns({p + "base_failed": bad,
-                            p + "kept": ~bad & ~(soft_failed(p) & F.coalesce(F.col(p + "strict"), F.lit(False)))}
+                            p + "kept": ~bad & ~beyond(FAR, p) & ~(beyond(SOFT, p) & F.col(p + "strict"))}
                            ).drop(p + "host", p + "strict")
 
 
-def judged(docs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def judged(docs: DataFrame, worse: float = WORSE) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     narrow = with_counts(docs.select("doc_id", "source", F.col("text").alias("__raw")), F.coalesce("__raw", F.lit("")))
     narrow = checkpoint(narrow.drop("__raw"))
-    out = with_verdicts(narrow, tolerance=tolerance)
+    out = with_verdicts(narrow, worse=worse)
     return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in COUNTS],
                       F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def keep_good(docs: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+def keep_good(docs: DataFrame, worse: float = WORSE) -> DataFrame:
     """The documents that are kept, same columns.
 
     Counts are the costly part, so rows and counts are written once; the host
     aggregation then reads only its narrow columns and the filter reads the rows.
     """
     counted = written(with_counts(docs, text_or_empty()), "quality")
-    return with_verdicts(counted, tolerance=tolerance).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_verdicts(counted, worse=worse).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
