@@ -13,10 +13,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml import Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import workers_import
+from .saved import SavedState
+
 
 def _act(z, kind):
     return np.tanh(z) if kind == "tanh" else np.maximum(z, 0.0)
@@ -133,11 +137,13 @@ class MLPRegressor:
         return MLPRegressionModel(theta, sizes, kind, self.features)
 
 
-class MLPRegressionModel:
-    def __init__(self, theta, sizes, kind, features):
+class MLPRegressionModel(Model, SavedState):
+    def __init__(self, theta=None, sizes=None, kind="relu", features="features"):
+        super().__init__()
         self.theta, self.sizes, self.kind, self.features = theta, sizes, kind, features
 
-    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+    def _transform(self, df: DataFrame) -> DataFrame:
+        workers_import(df.sparkSession)
         # a few thousand numbers: they travel with the function, and leave with it
         theta, sizes, kind = self.theta, self.sizes, self.kind
 
@@ -146,30 +152,10 @@ class MLPRegressionModel:
             mat = np.stack(x.to_numpy()) if len(x) else np.zeros((0, sizes[0]))
             return pd.Series(_forward(mat, _unpack(theta, sizes), kind)[-1].ravel())
 
-        return df.withColumn(out, predict(vector_to_array(self.features)))
-
-    def write(self) -> "_ModelWriter":
-        return _ModelWriter(self)
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "MLPRegressionModel":
-        r = spark.read.parquet(path).first()
-        return cls(np.array(r["theta"]), list(r["sizes"]), r["kind"], r["features"])
-
-
-class _ModelWriter:
-    """``write().overwrite().save(path)`` as Spark ML models have it; the model is a one-row table."""
-
-    def __init__(self, model: MLPRegressionModel):
-        self.model, self.mode = model, "error"
+        return df.withColumn("prediction", predict(vector_to_array(self.features)))
 
-    def overwrite(self) -> "_ModelWriter":
-        self.mode = "overwrite"
-        return self
+    def state(self) -> dict:
+        return {"theta": self.theta.tolist(), "sizes": [int(x) for x in self.sizes], "kind": self.kind, "features": self.features}
 
-    def save(self, path: str) -> None:
-        m = self.model
-        row = [(m.theta.tolist(), [int(x) for x in m.sizes], m.kind, m.features)]
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame(row, "theta array<double>, sizes array<int>, kind string, features string") \
-            .coalesce(1).write.mode(self.mode).parquet(path)
+    def restore(self, state: dict) -> None:
+        self.theta, self.sizes, self.kind, self.features = np.array(state["theta"]), state["sizes"], state["kind"], state["features"]

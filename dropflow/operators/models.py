@@ -20,7 +20,8 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .boosting import LGB, XGB, BoostSpec, HistogramBooster
 
@@ -94,23 +95,19 @@ def regressors(profile: str = "g3", features: str = "features", label: str = "la
     }
 
 
-def importances(model, feature_names: list[str]) -> list[tuple[str, float]] | None:
-    """Trees: impurity importances; linear: |coef| (mean over classes); else None (V9)."""
-    vec = None
+def importances(model):
+    """Trees: shares of impurity or gain; linear: |coef| (mean over classes); else None (V9), by feature."""
     if hasattr(model, "featureImportances"):
-        vec = model.featureImportances.toArray()
-    elif hasattr(model, "coefficientMatrix"):
+        return model.featureImportances.toArray()
+    if hasattr(model, "coefficientMatrix"):
         import numpy as np
-        vec = np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
-    elif hasattr(model, "importances"):
-        vec = model.importances
-    if vec is None:
-        return None
-    if len(vec) != len(feature_names):
-        feature_names = [f"f{i}" for i in range(len(vec))]
-    return sorted(((n, float(v)) for n, v in zip(feature_names, vec)), key=lambda t: (-t[1], t[0]))
+        return np.abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    return getattr(model, "importances", None)
 
 
-def importance_frame(spark: SparkSession, rows, dataset: str, model_name: str) -> DataFrame:
-    return spark.createDataFrame([(f, v, dataset, model_name) for f, v in rows],
-                                 "Feature string, Importance double, Arquivo string, Modelo string")
+def importance_frame(names: DataFrame, values, dataset: str, model_name: str) -> DataFrame:
+    """Named importances, highest first; ``names`` is (place, Feature), one row a feature."""
+    found = names.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "place long, Importance double")
+    return (names.join(found, "place").select("Feature", "Importance", F.lit(dataset).alias("Arquivo"),
+                                              F.lit(model_name).alias("Modelo"))
+            .orderBy(F.desc("Importance"), "Feature"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from functools import wraps
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +91,8 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
                       scored: dict | None = None, **prep):
     """Fit the profile's classifiers on one labelled table; returns (metrics_df, importance_df).
 
-    ``prep`` overrides the profile's preprocessing; fitted models go into ``fitted`` by name, and counts
-    of the scored test rows (see :func:`scored_counts`) into ``scored``.
+    ``prep`` overrides the profile's preprocessing; fitted pipelines (preprocessing and model, which score raw
+    rows) go into ``fitted`` by name, and counts of the scored test rows (see :func:`scored_counts`) into ``scored``.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)  # boosted trees checkpoint their lineage every 10 rounds
@@ -111,6 +112,7 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
     n_train_w = float(tr.agg(F.sum("weight")).first()[0])
     n_features = len(tr.select("features").first()[0])
     models = classifiers(profile, n_features, 4 if multi else 2, n_train_w, ratio)
+    names = prepared.feature_names(spark)
     rows, imps = [], []
     for name, est in models.items():
         if only and name not in only:
@@ -120,12 +122,12 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
         secs = time.time() - t0
         rows.append((dataset, name, *_classified(model, te, multi), secs))
         if fitted is not None:
-            fitted[f"classifier_{name}"] = model
+            fitted[f"classifier_{name}"] = PipelineModel([prepared, model])
         if scored is not None:
             scored[name] = scored_counts(model, te)
-        imp = importances(model, prepared.feature_names)
-        if imp:
-            imps.append(importance_frame(spark, imp, dataset, name))
+        imp = importances(model)
+        if imp is not None:
+            imps.append(importance_frame(names, imp, dataset, name))
     tr.unpersist()
     te.unpersist()
     metrics = spark.createDataFrame(rows, METRIC_SCHEMA_MULTI if multi else METRIC_SCHEMA_BIN)
@@ -217,6 +219,7 @@ def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset"
     if with_mlp:
         from ..operators.mlp_regressor import MLPRegressor
         models["MLP"] = MLPRegressor(**settings["mlp"], seed=42)
+    names = prepared.feature_names(spark)
     rows, imps = [], []
     for name, est in models.items():
         if only and name not in only:
@@ -227,12 +230,12 @@ def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset"
             secs = time.time() - t0
             rows.append((dataset, name, *_regressed(model, te, log_target), secs, ""))
             if fitted is not None:
-                fitted[f"regressor_{name}"] = model
+                fitted[f"regressor_{name}"] = PipelineModel([prepared, model])
             if scored is not None:
                 scored[name] = scored_counts(model, te)
-            imp = importances(model, prepared.feature_names)
-            if imp:
-                imps.append(importance_frame(spark, imp, dataset, name))
+            imp = importances(model)
+            if imp is not None:
+                imps.append(importance_frame(names, imp, dataset, name))
         except Exception as e:  # noqa: BLE001 - a failed model yields NaN metrics and its reason, others continue
             nan = float("nan")
             rows.append((dataset, name, nan, nan, nan, time.time() - t0, f"{type(e).__name__}: {e}"))

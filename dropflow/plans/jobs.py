@@ -405,7 +405,7 @@ def clean_2021(spark: SparkSession, path: str, out: str | None = None, drop_name
 
 
 def save_models(models: dict, directory: str) -> None:
-    """Persist fitted models (S15); each has Spark ML's ``write().overwrite().save(path)``."""
+    """Persist fitted pipelines (S15) as Spark ML stores them; ``PipelineModel.load(path).transform(raw rows)`` scores."""
     for name, m in models.items():
         m.write().overwrite().save(posixpath.join(directory, name))
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 from functools import wraps
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at any scale: AQE re-plans partition counts and splits
 # skewed shuffle partitions at runtime; ANSI mode stays on (we use try_* forms).
@@ -70,6 +71,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def scratch_table(df: DataFrame, name: str, schema: str, partition_by: str | None = None) -> DataFrame:
+    """Write a table under the shared checkpoint folder and read it back."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers started on this machine import the package from where the driver did.
 

@@ -163,10 +163,13 @@ def test_predictor_and_union_evaluation(spark, census_dir, tmp_dir):
     assert [r["modelo"] for r in reg.collect()] == ["RandomForest"]
     assert [r["Modelo"] for r in cls.collect()] == ["LogisticRegression"] and thr > 0
     assert spark.read.parquet(os.path.join(tmp_dir, "models", "metrics_regression")).count() == 1
-    from pyspark.ml.regression import RandomForestRegressionModel
+    from pyspark.ml import PipelineModel
     saved = os.path.join(tmp_dir, "models", "models")
     assert sorted(os.listdir(saved)) == ["classifier_LogisticRegression", "regressor_RandomForest"]
-    assert RandomForestRegressionModel.load(os.path.join(saved, "regressor_RandomForest")).getNumTrees == 100
+    loaded = PipelineModel.load(os.path.join(saved, "regressor_RandomForest"))
+    assert loaded.stages[-1].getNumTrees == 100
+    raw = scan_csv(spark, path, sep=";", encoding="ISO-8859-1", infer=True).limit(20)
+    assert loaded.transform(raw).filter("prediction >= 0").count() == 20  # raw rows, with unseen names and all
     frames = {"2022": model_table(spark, SF001), "2023": model_table(spark, SF001)}
     m, imp, t = evaluate_union(spark, frames, keep=REDUCED_FEATURES, only=["LogisticRegression"])
     assert m.count() == 1 and imp.count() > 0

@@ -70,7 +70,7 @@ def test_mlp_regressor_learns_saves_and_reloads(spark, tmp_dir):
     got = model.transform(data)
     assert got.agg(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).first()[0] < 0.1
     model.write().overwrite().save(tmp_dir + "/mlp")
-    back = MLPRegressionModel.load(spark, tmp_dir + "/mlp").transform(data)
+    back = MLPRegressionModel.load(tmp_dir + "/mlp").transform(data)
     assert [r["prediction"] for r in back.collect()] == [r["prediction"] for r in got.collect()]
 
 
