@@ -318,7 +318,7 @@ class Choices:
             np.bitwise_xor(node, np.repeat(before[k], size), out=index[k])
         index *= np.uint32(0x9E3779B1)
         index >>= np.uint32(32 - bits)
-        return size, self.side[at], self.base[at], index
+        return size, self.side[at], self.base[at], index.astype(np.intp)  # numpy indexes by these several times
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -339,17 +339,24 @@ def contexts(words: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> np.n
 
 def choice_odds(tree: np.ndarray, side: np.ndarray, base: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Log odds of the sides taken."""
-    return base + side * (tree[index[0]] + tree[index[1]])
+    odds = tree.take(index[0])
+    odds += tree.take(index[1])
+    odds *= side
+    odds += base
+    return odds
 
 
 def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, side: np.ndarray, base: np.ndarray,
                index: np.ndarray) -> None:
     """One Adagrad step on the choices of a batch of tokens, in place."""
-    miss = -side / (1.0 + np.exp(choice_odds(tree, side, base, index)))
+    miss = np.exp(choice_odds(tree, side, base, index))
+    miss += 1.0
+    miss = (-side / miss).astype(np.float64)
     g = np.bincount(index[0], miss, len(tree))
     g += np.bincount(index[1], miss, len(tree))
     g = g.astype(np.float32)
-    touched += np.bincount(index.reshape(-1), minlength=len(tree)).astype(np.uint32)
+    for k in (0, 1):
+        np.add.at(touched, index[k], np.uint32(1))
     squares += g * g
     tree -= np.float32(TREE_RATE) * g / np.sqrt(squares + np.float32(TREE_PRIOR))
 
@@ -381,26 +388,41 @@ def features(buckets: np.ndarray, classes: np.ndarray, stream: np.ndarray, lengt
     return rows, cls
 
 
+def class_sums(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the weights of a batch of tokens by class, less the greatest of each token."""
+    z = weights.take(rows[0], axis=0)
+    z += weights.take(rows[1], axis=0)
+    z += weights.take(rows[2], axis=0)
+    z -= z.max(axis=1, keepdims=True)
+    return z
+
+
 def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """log P(class) for a batch of tokens (natural logarithm)."""
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
-    z -= z.max(axis=1, keepdims=True)
+    z = class_sums(weights, rows)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def log_of_class(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """log P of the given class of each token."""
+    z = class_sums(weights, rows)
+    own = z[np.arange(len(cls)), cls]
+    return own - np.log(np.exp(z, out=z).sum(axis=1))
+
+
 def train_on(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One Adagrad step on a batch of tokens, in place."""
-    g = np.exp(class_logs(weights, rows))
+    g = class_sums(weights, rows)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(cls)), cls] -= 1.0
     for r in rows:
         order = np.argsort(r, kind="stable")  # radix sort of 16-bit rows
         sorted_ = r[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
         touched = sorted_[first]
-        step = np.add.reduceat(g[order], first, axis=0)
+        step = np.add.reduceat(g.take(order, axis=0), first, axis=0)
         squares[touched] += step * step
         weights[touched] -= RATE * step / np.sqrt(squares[touched] + 1e-6)
 
@@ -600,8 +622,7 @@ def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int
                 if w is not None:
                     rows, cls = features((code & np.uint32(BUCKETS - 1)).astype(np.uint16), classes, stream, lengths)
                     for i in range(0, len(stream), BATCH):
-                        c = cls[i:i + BATCH]
-                        logs[i:i + BATCH] += class_logs(w, rows[:, i:i + BATCH])[np.arange(len(c)), c]
+                        logs[i:i + BATCH] += log_of_class(w, rows[:, i:i + BATCH], cls[i:i + BATCH])
                     del rows, cls
                 choices = Choices(code, classes, counts, ranks, counted)
                 before = contexts(counted.words(code, classes, counts, ranks), stream, lengths)
