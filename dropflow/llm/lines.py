@@ -4,7 +4,9 @@ A line is its words joined by single spaces; lines without a word are no
 lines here and always stay. Two lines are the same up to the edit bound if one
 word is replaced, inserted or deleted, and both have at least ``MIN_WORDS``
 words (so they keep 7 of 8 words or more); shorter lines must be equal. A line
-goes if an earlier line, by (doc_id, line number), is the same up to the bound.
+goes if an earlier line, by (doc_id, text key, line number), is the same up to
+the bound. The text key, 60 bits of the text's hash, tells documents of equal or
+missing ids apart.
 
 1. Every line becomes a narrow row: its 64-bit hash, its place and the hashes
    of its halves. Equal lines meet by hash; the earliest place is kept.
@@ -20,9 +22,11 @@ goes if an earlier line, by (doc_id, line number), is the same up to the bound.
 5. The edit of a line and its earliest partner is verified on the words.
 
 DataFrame operations only. Defined cases: null text: no lines; rows with equal
-doc_id are one document, whose lines at equal numbers are the same place; a
-null doc_id comes last in order; ties do not exist between places; empty
-table: empty result.
+doc_id and equal text are one document, whose lines at equal numbers are the
+same place (each keeps what the document keeps); rows with equal or no doc_id
+and different texts are documents of their own; a null doc_id comes last in
+order; ties do not exist between places; empty table: empty result. The
+variants of a line of n words take work in proportion to n * n.
 """
 
 from __future__ import annotations
@@ -39,14 +43,24 @@ def _hash_words(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
+def text_key(text: str = "text") -> Column:
+    """60 bits of the text's md5, the same in any SQL engine with md5; 0 without a text."""
+    return F.coalesce(F.conv(F.substring(F.md5(F.col(text)), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
+
+
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), words of every line that has a word."""
-    split = docs.select("doc_id", F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
-    return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "line_no", words(F.col("line")).alias("words"))
+    """doc_id, text_key, line_no (from 0), words of every line that has a word."""
+    split = docs.select("doc_id", text_key().alias("text_key"),
+                        F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
+    return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text_key", "line_no", words(F.col("line")).alias("words"))
 
 
 def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line_no")
+    return F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key", "line_no")
+
+
+def _of_document(df: DataFrame, id_column: str, key_column: str) -> Column:
+    return df["doc_id"].eqNullSafe(F.col(id_column)) & (text_key() == F.col(key_column))
 
 
 def halves(hashes: Column) -> Column:
@@ -66,16 +80,16 @@ def _without(array: Column, i: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, kind ('exact' or 'near') of every line that goes."""
+    """doc_id, text_key, line_no, kind ('exact' or 'near') of every line that goes."""
     docs = docs.select("doc_id", "text")
-    hashed = numbered_lines(docs).select("doc_id", "line_no", _hash_words(F.col("words")).alias("hashes"))
-    lines = written(hashed.select("doc_id", "line_no", F.xxhash64("hashes").alias("line"), halves(F.col("hashes")).alias("halves")),
+    hashed = numbered_lines(docs).select("doc_id", "text_key", "line_no", _hash_words(F.col("words")).alias("hashes"))
+    lines = written(hashed.select("doc_id", "text_key", "line_no", F.xxhash64("hashes").alias("line"), halves(F.col("hashes")).alias("halves")),
                     "lines")
     firsts = checkpoint(lines.groupBy("line").agg(F.min(_place()).alias("first")))
     near = near_lines(docs, lines, firsts)
-    judged = (lines.select("doc_id", "line_no", "line").distinct().join(firsts, "line").join(near, "line", "left")
+    judged = (lines.select("doc_id", "text_key", "line_no", "line").distinct().join(firsts, "line").join(near, "line", "left")
               .withColumn("kind", F.when(_place() > F.col("first"), F.lit("exact")).when(F.col("near"), F.lit("near"))))
-    return judged.filter("kind is not null").select("doc_id", "line_no", "kind")
+    return judged.filter("kind is not null").select("doc_id", "text_key", "line_no", "kind")
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -86,13 +100,13 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFram
     sharing = keyed.join(shared, "half", "left_semi").select("line").distinct()
     wanted = firsts.join(sharing, "line", "left_semi").select("line", "first")
     # the words of these lines, from the document of their first place
-    by_doc = wanted.groupBy("first.absent", "first.doc_id").agg(
+    by_doc = wanted.groupBy("first.doc_id", "first.text_key").agg(
         F.collect_set(F.struct(F.col("first.line_no").alias("line_no"), "line")).alias("wanted"))
-    by_doc = by_doc.withColumnRenamed("doc_id", "w_doc_id").drop("absent")
-    texts = (docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("w_doc_id")))
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "w_doc_id", "text_key": "w_text_key"})
+    texts = (docs.join(by_doc, _of_document(docs, "w_doc_id", "w_text_key"))
              .withColumn("lines", F.split(text_or_empty(), "\n", -1))
-             .select("doc_id", "lines", F.explode("wanted").alias("w"))
-             .select("doc_id", F.col("w.line_no").alias("line_no"), F.col("w.line").alias("line"),
+             .select("doc_id", F.col("w_text_key").alias("text_key"), "lines", F.explode("wanted").alias("w"))
+             .select("doc_id", "text_key", F.col("w.line_no").alias("line_no"), F.col("w.line").alias("line"),
                      words(F.coalesce(F.get("lines", F.col("w.line_no")), F.lit(""))).alias("words"))
              .withColumn("hashes", _hash_words(F.col("words"))).filter(F.xxhash64("hashes") == F.col("line"))
              .dropDuplicates(["line"]))
@@ -126,13 +140,14 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFram
 
 def summary(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_exact, n_near, dropped (sorted line numbers)."""
-    dropped = dropped_lines(docs).groupBy("doc_id").agg(
+    dropped = dropped_lines(docs).groupBy("doc_id", "text_key").agg(
         F.sum((F.col("kind") == "exact").cast("long")).alias("n_exact"),
         F.sum((F.col("kind") == "near").cast("long")).alias("n_near"),
-        F.sort_array(F.collect_list("line_no")).alias("dropped")).withColumnRenamed("doc_id", "d_doc_id")
+        F.sort_array(F.collect_list("line_no")).alias("dropped")).withColumnsRenamed({"doc_id": "d_doc_id", "text_key": "d_text_key"})
     has_word = F.filter(F.split(text_or_empty(), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = docs.select("doc_id", F.size(has_word).cast("long").alias("n_lines"))
-    return counted.join(dropped, F.col("doc_id").eqNullSafe(F.col("d_doc_id")), "left").select(
+    counted = docs.select("doc_id", text_key().alias("text_key"), F.size(has_word).cast("long").alias("n_lines"))
+    same = F.col("doc_id").eqNullSafe(F.col("d_doc_id")) & (F.col("text_key") == F.col("d_text_key"))
+    return counted.join(dropped, same, "left").select(
         "doc_id", "n_lines", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
@@ -140,10 +155,11 @@ def summary(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with the lines that go cut out of their texts; same columns."""
-    dropped = dropped_lines(docs).groupBy("doc_id").agg(F.collect_set("line_no").alias("__drop")).withColumnRenamed("doc_id", "__id")
+    dropped = dropped_lines(docs).groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("__drop"))
+    dropped = dropped.withColumnsRenamed({"doc_id": "__id", "text_key": "__text_key"})
     lines = F.split(F.col("text"), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     cut = F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n")
-    joined = docs.withColumn("__lines", lines).join(dropped, docs["doc_id"].eqNullSafe(F.col("__id")), "left")
+    joined = docs.withColumn("__lines", lines).join(dropped, _of_document(docs, "__id", "__text_key"), "left")
     return (joined.withColumn("__text", F.when(F.col("__drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(cut))
             .select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]))

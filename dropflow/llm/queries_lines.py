@@ -17,11 +17,12 @@ def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = rf"""
-WITH l AS MATERIALIZED (SELECT doc_id, line_no, ws FROM (
-    SELECT doc_id, i - 1 AS line_no, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws
-    FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i
-          FROM (SELECT doc_id, string_split(COALESCE(text, ''), chr(10)) AS ls FROM documents))) WHERE len(ws) > 0),
-p AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS LAST, line_no) AS place FROM l),
+WITH keyed AS (SELECT doc_id, text, COALESCE(('0x' || substr(md5(text), 1, 15))::BIGINT, 0) AS k FROM documents),
+l AS MATERIALIZED (SELECT doc_id, k, line_no, ws FROM (
+    SELECT doc_id, k, i - 1 AS line_no, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws
+    FROM (SELECT doc_id, k, ls, unnest(range(1, len(ls) + 1)) AS i
+          FROM (SELECT doc_id, k, string_split(COALESCE(text, ''), chr(10)) AS ls FROM keyed))) WHERE len(ws) > 0),
+p AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY doc_id NULLS LAST, k, line_no) AS place FROM l),
 d AS MATERIALIZED (SELECT ws, min(place) AS place FROM p GROUP BY ws),
 v AS MATERIALIZED (SELECT place, g, list_concat(ws[1:g], ws[g + 2:]) AS rest
       FROM (SELECT *, unnest(range(0, len(ws))) AS g FROM d WHERE len(ws) >= {lines.MIN_WORDS})),
@@ -29,14 +30,14 @@ near AS (
   SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY rest, g) AS m FROM v) WHERE m < place
   UNION SELECT v.place FROM v JOIN d ON v.rest = d.ws WHERE d.place < v.place AND len(d.ws) >= {lines.MIN_WORDS}
   UNION SELECT d.place FROM v JOIN d ON v.rest = d.ws WHERE v.place < d.place AND len(d.ws) >= {lines.MIN_WORDS}),
-j AS (SELECT DISTINCT p.doc_id, p.line_no, CASE WHEN p.place > d.place THEN 'exact' WHEN near.place IS NOT NULL THEN 'near' END AS kind
+j AS (SELECT DISTINCT p.doc_id, p.k, p.line_no, CASE WHEN p.place > d.place THEN 'exact' WHEN near.place IS NOT NULL THEN 'near' END AS kind
       FROM p JOIN d USING (ws) LEFT JOIN near ON near.place = d.place),
-s AS (SELECT doc_id, count(*) FILTER (kind = 'exact')::BIGINT AS n_exact, count(*) FILTER (kind = 'near')::BIGINT AS n_near,
-        list(line_no::INT ORDER BY line_no) AS dropped FROM j WHERE kind IS NOT NULL GROUP BY doc_id)
-SELECT documents.doc_id,
+s AS (SELECT doc_id, k, count(*) FILTER (kind = 'exact')::BIGINT AS n_exact, count(*) FILTER (kind = 'near')::BIGINT AS n_near,
+        list(line_no::INT ORDER BY line_no) AS dropped FROM j WHERE kind IS NOT NULL GROUP BY doc_id, k)
+SELECT keyed.doc_id,
   len(list_filter(string_split(COALESCE(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
   COALESCE(n_exact, 0)::BIGINT AS n_exact, COALESCE(n_near, 0)::BIGINT AS n_near, COALESCE(dropped, []::INT[]) AS dropped
-FROM documents LEFT JOIN s ON documents.doc_id IS NOT DISTINCT FROM s.doc_id
+FROM keyed LEFT JOIN s ON keyed.doc_id IS NOT DISTINCT FROM s.doc_id AND keyed.k = s.k
 """
 
 
