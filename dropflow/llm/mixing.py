@@ -10,8 +10,9 @@ The sample follows the order of a seeded hash of (doc_id, text). A document is
 in if its middle lies before the end of the missing words. A long one across the
 end would miss the target by more than an ordinary document (the source's mean):
 it is settled by itself (in, if its middle lies before the end and it is no
-longer than the missing words; else out), and the order of the others then ends
-where it fills what is left. Each crossing is found in two steps, so that no
+longer than the missing words, or misses them by less than the others would
+without it; else out), and the order of the others then ends where it fills what
+is left. Each crossing is found in two steps, so that no
 source is ever sorted as a whole: sums per (source, leading 16 bits of the hash),
 then the single bucket that holds it. Only DataFrame operations are used.
 
@@ -122,7 +123,7 @@ def _cuts(sizes: DataFrame, planned: DataFrame, n_sources: int) -> DataFrame:
     """
     none = F.array().cast("array<bigint>")
     state = checkpoint(planned.filter("rest > 0").select(
-        "source", "rest", "ordinary", none.alias("settled"), none.alias("pinned"), F.lit(None).cast("long").alias("cut")))
+        "source", "rest", "ordinary", F.col("source_size").alias("open_words"), none.alias("settled"), none.alias("pinned"), F.lit(None).cast("long").alias("cut")))
     while state.filter("cut IS NULL").limit(1).count():
         found = _crossing(sizes, state.filter("cut IS NULL"), n_sources)
         joined = joined_small(state, found, n_sources, F.col("source").eqNullSafe(F.col("x_source")))
@@ -132,9 +133,11 @@ def _cuts(sizes: DataFrame, planned: DataFrame, n_sources: int) -> DataFrame:
                .when(inside & (size - missing <= F.col("ordinary")), F.col("x_key"))
                .when(~inside & (missing <= F.col("ordinary")), F.col("x_key") - 1))
         long = cut.isNull()
-        pin = long & inside & (size <= F.col("rest") + F.col("ordinary"))
+        short = F.col("rest") - (F.col("open_words") - size)  # of the others alone
+        pin = long & inside & ((size <= F.col("rest") + F.col("ordinary")) | (size - F.col("rest") <= short))
         state = checkpoint(joined.select(
             "source", F.when(pin, F.col("rest") - size).otherwise(F.col("rest")).alias("rest"), "ordinary",
+            F.when(long, F.col("open_words") - size).otherwise(F.col("open_words")).alias("open_words"),
             F.when(long, F.concat("settled", F.array("x_key"))).otherwise(F.col("settled")).alias("settled"),
             F.when(pin, F.concat("pinned", F.array("x_key"))).otherwise(F.col("pinned")).alias("pinned"),
             F.when(pin & (F.col("rest") - size <= 0), F.lit(-1).cast("long")).otherwise(cut).alias("cut")))

@@ -80,15 +80,16 @@ plan AS (SELECT *, target - whole * source_size AS rest, s / filled AS ordinary
           CASE WHEN s > 0 THEN floor(least(3 * s, w * level) / s) ELSE 0 END AS whole FROM weighed, level)),
 keys AS MATERIALIZED (SELECT source, key, sum(size)::BIGINT AS own FROM sized GROUP BY source, key),
 walk AS (
-  SELECT source, rest, ordinary, []::BIGINT[] AS settled, []::BIGINT[] AS pinned, NULL::BIGINT AS cut FROM plan WHERE rest > 0
+  SELECT source, rest, ordinary, source_size AS open_words, []::BIGINT[] AS settled, []::BIGINT[] AS pinned, NULL::BIGINT AS cut FROM plan WHERE rest > 0
   UNION ALL
-  SELECT source, CASE WHEN pin THEN rest - own ELSE rest END, ordinary, CASE WHEN ends IS NULL THEN list_append(settled, key) ELSE settled END,
+  SELECT source, CASE WHEN pin THEN rest - own ELSE rest END, ordinary,
+    CASE WHEN ends IS NULL THEN open_words - own ELSE open_words END, CASE WHEN ends IS NULL THEN list_append(settled, key) ELSE settled END,
     CASE WHEN pin THEN list_append(pinned, key) ELSE pinned END, CASE WHEN pin AND rest - own <= 0 THEN -1 ELSE ends END
-  FROM (SELECT *, ends IS NULL AND inside AND own <= rest + ordinary AS pin
+  FROM (SELECT *, ends IS NULL AND inside AND (own <= rest + ordinary OR own - rest <= rest - (open_words - own)) AS pin
     FROM (SELECT *, CASE WHEN upto < rest THEN {mixing.LAST_KEY} WHEN inside AND upto - rest <= ordinary THEN key
             WHEN NOT inside AND rest - (upto - own) <= ordinary THEN key - 1 END AS ends
       FROM (SELECT *, rest - (upto - own) >= own / 2.0 AS inside
-        FROM (SELECT w.source, w.rest, w.ordinary, w.settled, w.pinned, k.key, k.own,
+        FROM (SELECT w.source, w.rest, w.ordinary, w.open_words, w.settled, w.pinned, k.key, k.own,
                 sum(k.own) OVER (PARTITION BY w.source ORDER BY k.key) AS upto,
                 row_number() OVER (PARTITION BY w.source ORDER BY k.key DESC) AS from_end
               FROM walk w JOIN keys k ON w.source IS NOT DISTINCT FROM k.source AND NOT list_contains(w.settled, k.key)
