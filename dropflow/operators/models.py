@@ -11,25 +11,25 @@ differs, the closest Spark setting is used and noted:
 * boosted trees ("XGBoost" / "LightGBM" settings): second-order histogram
   boosting (``operators.boosting``), depth-wise to depth 8 or leaf-wise to 31
   leaves, with a softmax over four classes in one model.
-* MLP classifier: ``MultilayerPerceptronClassifier`` with the same hidden
-  layers (Spark uses sigmoid hidden units and L-BFGS).
-* MLP regressor: no Spark learner exists; see ``operators.mlp_regressor``.
+* MLP classifier and regressor: the scripts' units, penalty and optimiser
+  (``operators.mlp``).
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import LGB, XGB, BoostSpec, HistogramBooster
+from .mlp import MLPClassifier
 
 SEED = 42
 MAX_TREE_DEPTH = 30
 
 
-def classifiers(profile: str, n_features: int, n_classes: int, n_train_weight: float,
+def classifiers(profile: str, n_classes: int, n_train_weight: float,
                 pos_weight: float | None = None, features: str = "features",
                 label: str = "label", weight: str = "weight") -> dict:
     """Estimators per model name for a reference script profile.
@@ -40,13 +40,12 @@ def classifiers(profile: str, n_features: int, n_classes: int, n_train_weight: f
     common = dict(featuresCol=features, labelCol=label)
     named = dict(features=features, label=label)
     multi = n_classes > 2
-    layers = lambda hidden: [n_features, *hidden, n_classes]
+    network = lambda **settings: MLPClassifier(n_classes, seed=SEED, **settings, **named)
     if profile == "g2":
         return {
             "RandomForest": RandomForestClassifier(numTrees=200, maxDepth=MAX_TREE_DEPTH, seed=SEED,
                                                    weightCol=weight, **common),
-            "MLP": MultilayerPerceptronClassifier(layers=layers([128, 64]), maxIter=500, seed=SEED,
-                                                  tol=1e-4, **common),
+            "MLP": network(hidden=(128, 64), activation="relu", alpha=1e-4, max_iter=500),
             "LogisticRegression": LogisticRegression(regParam=1.0 / (1.0 * n_train_weight),
                                                      elasticNetParam=0.0, standardization=False,
                                                      maxIter=200, weightCol=weight, **common),
@@ -56,8 +55,7 @@ def classifiers(profile: str, n_features: int, n_classes: int, n_train_weight: f
             "LogisticRegression": LogisticRegression(regParam=1.0 / n_train_weight, elasticNetParam=0.0,
                                                      standardization=False, maxIter=1000, **common),
             "RandomForest": RandomForestClassifier(numTrees=100, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
-            "MLP": MultilayerPerceptronClassifier(layers=layers([100]), maxIter=500, seed=SEED,
-                                                  tol=1e-4, **common),
+            "MLP": network(hidden=(100,), activation="relu", alpha=1e-4, max_iter=500),
         }
     objective = "multiclass" if multi else "binary"
     # the positive-class weight (negatives / positives) of the binary task is carried by the
@@ -69,8 +67,7 @@ def classifiers(profile: str, n_features: int, n_classes: int, n_train_weight: f
     return {
         "RandomForest": RandomForestClassifier(numTrees=200, maxDepth=15, minInstancesPerNode=5,
                                                seed=SEED, weightCol=weight, **common),
-        "MLP": MultilayerPerceptronClassifier(layers=layers([128, 64]), maxIter=5000, seed=SEED,
-                                              tol=1e-4, **common),
+        "MLP": network(hidden=(128, 64), activation="tanh", alpha=1e-3, max_iter=5000),
         "LogisticRegression": LogisticRegression(regParam=1.0 / (0.1 * n_train_weight), elasticNetParam=0.0,
                                                  standardization=False, maxIter=5000, weightCol=weight,
                                                  family="multinomial" if multi else "binomial", **common),

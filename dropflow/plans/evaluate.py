@@ -110,8 +110,7 @@ def train_classifiers(df: DataFrame, target: str, dataset: str = "dataset", task
     for c in cached:
         c.unpersist()
     n_train_w = float(tr.agg(F.sum("weight")).first()[0])
-    n_features = len(tr.select("features").first()[0])
-    models = classifiers(profile, n_features, 4 if multi else 2, n_train_w, ratio)
+    models = classifiers(profile, 4 if multi else 2, n_train_w, ratio)
     names = prepared.feature_names(spark)
     rows, imps = [], []
     for name, est in models.items():
@@ -217,7 +216,7 @@ def train_regressors(df: DataFrame, target: str = RATE, dataset: str = "dataset"
         c.unpersist()
     models = dict(regressors(profile))
     if with_mlp:
-        from ..operators.mlp_regressor import MLPRegressor
+        from ..operators.mlp import MLPRegressor
         models["MLP"] = MLPRegressor(**settings["mlp"], seed=42)
     names = prepared.feature_names(spark)
     rows, imps = [], []

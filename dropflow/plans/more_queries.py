@@ -3,6 +3,8 @@ encoding, imputation/scaling, splits, evaluation metrics and reports."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from ..operators.metrics import (back_transform, classification_metrics, regress
                                  roc_auc, roc_auc_ovr, weighted_metrics)
 from ..operators.prep import ordinal_encode
 from ..operators.split import split
-from ..operators.stats import box_stats, column_modes_df, exact_quantiles, fit_scaler, unpivot
+from ..operators.stats import box_stats, column_modes_df, exact_quantiles, unpivot
 from ..operators.union import union_by_name, union_years
+from ..session import ensure_checkpoint_dir
 from ..sources.testdata import table
 from .common import TEST_DEGREE, TEST_NAME, courses, rated_courses, round_doubles
 from .course_queries import feature_table, quartile_labelled
@@ -185,17 +188,27 @@ def q_impute_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_modes_df(c, ["CO_REGIAO", "TP_REDE", "QT_ING_PRETA"]).withColumnRenamed("n", "count")
 
 
+def _scaled(c: DataFrame, numeric: str) -> DataFrame:
+    """CO_CURSO and the numeric features that the fitted preprocessing gives."""
+    from pyspark.ml.functions import vector_to_array
+    from ..operators.prep import Preprocess
+    out = Preprocess(IMPUTE_COLS, [], numeric=numeric).fit(c).transform(c).withColumn("__z", vector_to_array("features"))
+    return round_doubles(out.select("CO_CURSO", *[F.col("__z")[i].alias(f"z_{k}") for i, k in enumerate(IMPUTE_COLS)]))
+
+
 def q_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median-impute then population-std scaling of count columns."""
-    from ..operators.stats import column_medians
-    c = _nulled_courses(spark, sf_dir)
-    med = column_medians(c, IMPUTE_COLS)
-    filled = c.select("CO_CURSO", *[F.coalesce(F.col(k).cast("double"), F.lit(float(med[k]))).alias(k)
-                                    for k in IMPUTE_COLS])
-    stats = fit_scaler(filled, IMPUTE_COLS)
-    return round_doubles(filled.select(
-        "CO_CURSO", *[((F.col(k) - F.lit(stats[k][0])) / F.lit(stats[k][1])).alias(f"z_{k}")
-                      for k in IMPUTE_COLS]))
+    """Median-impute then population-std scaling of count columns by the shipped preprocessing."""
+    return _scaled(_nulled_courses(spark, sf_dir), "median+scale")
+
+
+def q_scale_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaling alone of count columns without missing values (M3)."""
+    return _scaled(courses(spark, sf_dir).select("CO_CURSO", *IMPUTE_COLS), "scale")
+
+
+def q_scale_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-impute then scaling (M1)."""
+    return _scaled(_nulled_courses(spark, sf_dir), "zero+scale")
 
 
 # --- splits ------------------------------------------------------------------
@@ -353,6 +366,20 @@ def q_collect_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long.withColumn("valor", F.rint(F.col("valor") * 1e4) / 1e4 + F.lit(0.0))
 
 
+def q_metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric report job over written metric tables, a folder per year."""
+    from ..session import scratch_table
+    from ..sources.csv import write_table
+    from .jobs import collect_metrics
+    t = metric_tables(spark, sf_dir).withColumn("arquivo", F.concat(F.lit("cursos_"), "arquivo"))
+    t = scratch_table(t.select("arquivo", "modelo", "R2", "MAE", "RMSE"), "metric-tables",
+                      "arquivo string, modelo string, R2 double, MAE double, RMSE double")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/report-{uuid.uuid4().hex}"
+    for r in t.select("arquivo").distinct().collect():  # one name per year
+        write_table(t.filter(F.col("arquivo") == r[0]), f"{folder}/tabelas/metricas_{r[0]}.csv", fmt="csv", sep=";")
+    return collect_metrics(spark, folder).drop("texto")
+
+
 def q_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligibility guard per year of the mega table: rows and classes."""
     from ..operators.filters import eligibility

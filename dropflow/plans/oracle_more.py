@@ -135,6 +135,11 @@ GROUP BY c.variable, c.n"""
     q["q_scale"] = with_ctes(COURSES, nn, f"m AS (SELECT {med} FROM nn)",
                              f"f AS (SELECT CO_CURSO, {fill} FROM nn, m)",
                              f"s AS (SELECT {st} FROM f)") + f"SELECT CO_CURSO, {z} FROM f, s"
+    q["q_scale_only"] = with_ctes(COURSES, f"f AS (SELECT CO_CURSO, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in cols)} FROM courses)",
+                                  f"s AS (SELECT {st} FROM f)") + f"SELECT CO_CURSO, {z} FROM f, s"
+    zero = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in cols)
+    q["q_scale_zero"] = with_ctes(COURSES, nn, f"f AS (SELECT CO_CURSO, {zero} FROM nn)",
+                                  f"s AS (SELECT {st} FROM f)") + f"SELECT CO_CURSO, {z} FROM f, s"
     q["q_split_sizes"] = with_ctes(COURSES) + """SELECT 'test' AS side, CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n FROM courses
 UNION ALL SELECT 'train' AS side, count(*) - CAST(ceil(count(*) * 0.2::DOUBLE) AS BIGINT) AS n FROM courses"""
     q["q_stratified_sizes"] = with_ctes(COURSES, FILTERED, RATED, QUART_LAB) + """, cnt AS (SELECT NIVEL_RISCO, count(*) AS n FROM lab GROUP BY NIVEL_RISCO)
@@ -194,6 +199,10 @@ WHERE rank <= 5"""
   SELECT 'tabelas_analise/metricas_' || ANO_BASE || '.csv' AS fonte, ANO_BASE AS arquivo, modelo, 'R2' AS metrica, R2 AS valor FROM mt
   UNION ALL SELECT 'tabelas_analise/metricas_' || ANO_BASE || '.csv', ANO_BASE, modelo, 'MAE', MAE FROM mt
   UNION ALL SELECT 'tabelas_analise/metricas_' || ANO_BASE || '.csv', ANO_BASE, modelo, 'RMSE', RMSE FROM mt) u"""
+    each = " UNION ALL ".join(f"SELECT ANO_BASE, modelo, '{m}' AS metrica, {m} AS valor FROM mt" for m in ("R2", "MAE", "RMSE"))
+    q["q_metric_report"] = with_ctes(YEAR_COURSES, YEAR_FEAT, proxy, mt) + f"""SELECT
+  'tabelas/metricas_cursos_' || ANO_BASE || '.csv' AS tabela, 'cursos_' || ANO_BASE AS arquivo, modelo, metrica,
+  round_even(valor, 4) + 0.0 AS valor FROM ({each}) u"""
     q["q_eligibility"] = with_ctes(YEAR_COURSES, YEAR_FEAT) + """SELECT ANO_BASE, count(*) AS n,
   count(DISTINCT FEAT_DOMINANCIA_MODALIDADE) AS n_classes,
   CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) < 50 THEN 'fewer than 50 rows'

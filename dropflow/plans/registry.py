@@ -17,10 +17,10 @@ COURSE = ["q_filter_courses", "q_filter_audit", "q_rate_r1", "q_rate_r2", "q_rat
           "q_simple_table", "q_social_features"]
 MORE = ["q_box_stats", "q_box_stats_events", "q_union_years", "q_mega_dataset", "q_root_filter",
         "q_analysis_table", "q_clean_categories", "q_ordinal_encode", "q_ordinal_unseen",
-        "q_onehot", "q_impute_median", "q_impute_mode", "q_scale", "q_split_sizes",
+        "q_onehot", "q_impute_median", "q_impute_mode", "q_scale", "q_scale_only", "q_scale_zero", "q_split_sizes",
         "q_stratified_sizes", "q_split_repeated_keys", "q_union_complete", "q_cls_metrics", "q_roc_auc", "q_weighted_metrics",
         "q_roc_auc_ovr", "q_reg_metrics", "q_reg_metrics_log", "q_topk_importance",
-        "q_collect_metrics", "q_eligibility"]
+        "q_collect_metrics", "q_metric_report", "q_eligibility"]
 
 MODELS = ["q_model_rf", "q_model_lr", "q_model_mlp", "q_model_gbt", "q_model_xgb", "q_model_xgb_quartile",
           "q_model_gbt_quartile", "q_model_rf_default", "q_model_rf_reg", "q_model_gbt_reg", "q_model_xgb_reg", "q_model_mlp_reg"]

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from dropflow.operators.mlp_regressor import MLPRegressor
+from dropflow.operators.mlp import MLPRegressor
 from dropflow.operators.prep import Preprocess
 from dropflow.operators.vocabulary import Vocabulary
 

@@ -63,14 +63,14 @@ def test_split_of_repeated_keys_is_disjoint_complete_and_exact(spark):
 
 def test_mlp_regressor_learns_saves_and_reloads(spark, tmp_dir):
     from pyspark.ml.feature import VectorAssembler
-    from dropflow.operators.mlp_regressor import MLPRegressionModel, MLPRegressor
+    from dropflow.operators.mlp import MLPModel, MLPRegressor
     df = spark.range(0, 400).select((F.col("id") / 200 - 1).alias("a")).withColumn("label", F.col("a") * 2 + 0.5)
     data = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
     model = MLPRegressor(hidden=(8,), activation="relu", max_iter=60, learning_rate=0.05).fit(data)
     got = model.transform(data)
     assert got.agg(F.avg(F.pow(F.col("prediction") - F.col("label"), 2))).first()[0] < 0.1
     model.write().overwrite().save(tmp_dir + "/mlp")
-    back = MLPRegressionModel.load(tmp_dir + "/mlp").transform(data)
+    back = MLPModel.load(tmp_dir + "/mlp").transform(data)
     assert [r["prediction"] for r in back.collect()] == [r["prediction"] for r in got.collect()]
 
 
