@@ -50,8 +50,8 @@ def text_key(text: str = "text") -> Column:
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no (from 0), words of every line that has a word."""
-    split = docs.select("doc_id", text_key().alias("text_key"),
-                        F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
+    keyed = docs.select("doc_id", text_key().alias("text_key"), text_or_empty().alias("text"))  # a key a text, not a line
+    split = keyed.select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text_key", "line_no", words(F.col("line")).alias("words"))
 
 
