@@ -1,6 +1,7 @@
 """Histogram boosting: splits by brute force, leaf-wise order, classes, missing values, saving."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -119,3 +120,32 @@ def test_refits_are_equal_and_few_rows_do_not_fail(spark):
     assert all(np.array_equal(a.value, b.value) for r, s in zip(one.rounds, two.rounds) for a, b in zip(r, s))
     single = HistogramBooster(spec).fit(table(spark, x[:1], [1.0]))
     assert isinstance(single.rounds[0][0], Tree) and single.transform(table(spark, x[:5], y[:5])).count() == 5
+
+
+@pytest.mark.parametrize("local_cells", [0, 1000])
+def test_histograms_and_bins_stay_with_the_tasks(spark, monkeypatch, local_cells):
+    """What tasks send to the driver is a few numbers a node, whatever the number of bins."""
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", local_cells)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 1000)
+    rng = np.random.default_rng(5)
+    x = rng.random((2000, 40))                            # 40 features of 256 bins: 245 kB of sums a node
+    y = x[:, 0] + x[:, 1] ** 2 + rng.normal(0, 0.1, 2000)
+    sent = []
+    best = boosting._best_splits
+    monkeypatch.setattr(boosting, "_best_splits", lambda *a: sent.append(best(*a)) or sent[-1])
+    finished = boosting._finished
+    monkeypatch.setattr(boosting, "_finished", lambda *a: sent.append(finished(*a)) or sent[-1])
+    spec = BoostSpec("regression", rounds=2, max_depth=None, max_leaves=31)
+    model = HistogramBooster(spec).fit(table(spark, x, y, parts=4))
+    nodes = sum(len(t.feature) for r in model.rounds for t in r)
+    assert nodes == 2 * 61 and sent and len(pickle.dumps(sent)) < 3000 * nodes
+
+
+def test_a_table_of_one_task_is_boosted_many_rounds_a_job(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.random((400, 3)), (rng.random(400) > 0.5).astype(float)
+    jobs = []
+    here = boosting._rounds_here
+    monkeypatch.setattr(boosting, "_rounds_here", lambda *a: jobs.append(1) or here(*a))
+    model = HistogramBooster(BoostSpec("binary", rounds=60, subsample=0.8, max_depth=3)).fit(table(spark, x, y))
+    assert len(model.rounds) == 60 and len(jobs) == math.ceil(60 / boosting.REFRESH)
