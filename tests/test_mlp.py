@@ -58,3 +58,14 @@ def test_fewer_jobs_than_epochs_and_averages_learn(spark, monkeypatch):
     assert model.curve[-1] < model.curve[0] / 3
     held = model.transform(table(spark, x[1500:], y[1500:]))
     assert held.filter(F.col("prediction") == F.col("label")).count() >= 475
+
+
+def test_a_middling_table_trains_in_several_tasks(spark, monkeypatch):
+    """An epoch's time is that of its largest task, so 600,000 numbers are not left to one."""
+    parts = []
+    run = mlp._epochs
+    monkeypatch.setattr(mlp, "_epochs", lambda data, *a: parts.append(data.rdd.getNumPartitions()) or run(data, *a))
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 100))
+    MLPRegressor(hidden=(2,), max_iter=1).fit(table(spark, x, x[:, 0], parts=4))
+    assert parts == [2]
