@@ -149,3 +149,41 @@ def test_a_table_of_one_task_is_boosted_many_rounds_a_job(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_rounds_here", lambda *a: jobs.append(1) or here(*a))
     model = HistogramBooster(BoostSpec("binary", rounds=60, subsample=0.8, max_depth=3)).fit(table(spark, x, y))
     assert len(model.rounds) == 60 and len(jobs) == math.ceil(60 / boosting.REFRESH)
+
+
+@pytest.mark.parametrize("spec", [BoostSpec("regression", rounds=3, max_depth=6),
+                                  BoostSpec("regression", rounds=3, max_depth=None, max_leaves=12)])
+def test_small_nodes_of_a_round_are_finished_together(spark, monkeypatch, spec):
+    """Wherever the first splits go, the small nodes wait for the large ones, and the trees are those of one task."""
+    rng = np.random.default_rng(8)
+    x = rng.random((4000, 4))
+    y = np.where(x[:, 0] > 0.8, 9 * x[:, 1], np.where(x[:, 1] > 0.3, 3 * x[:, 2], x[:, 3])) + rng.normal(0, 0.1, 4000)
+    data = table(spark, x, y, parts=4).persist()
+    whole = HistogramBooster(spec).fit(data)
+    monkeypatch.setattr(boosting, "LOCAL_CELLS", 1600)
+    monkeypatch.setattr(boosting, "TASK_CELLS", 4000)
+    calls, finished = [], boosting._finished
+    monkeypatch.setattr(boosting, "_finished", lambda *a: calls.append("finished") or finished(*a))
+    rounds, once = [], boosting._round
+    monkeypatch.setattr(boosting, "_round", lambda *a: rounds.append(len(calls)) or once(*a))
+    parted = HistogramBooster(spec).fit(data)
+    a_round = np.diff([*rounds, len(calls)])
+    assert len(a_round) == 3 and calls and (a_round <= (1 if spec.max_depth else 2)).all()
+    leaves = lambda m: [sorted(np.round(t.value[t.feature < 0], 9)) for r in m.rounds for t in r]
+    assert leaves(parted) == leaves(whole)
+
+
+def test_small_nodes_are_spread_over_the_tasks():
+    assert boosting.spread({"a": 5, "b": 9, "c": 4, "d": 1}, 2) == {"b": 0, "a": 1, "c": 1, "d": 0}
+    assert sorted(boosting.spread({(0, i): 7 for i in range(8)}, 8).values()) == list(range(8))
+
+
+def test_best_splits_of_many_nodes_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(9)
+    binned = rng.integers(0, 20, (3, 900)).astype(np.uint8)
+    slot = rng.integers(0, 9, 900)
+    bins = boosting.Bins(np.arange(3), np.full(3, 22), BoostSpec("regression"))
+    hists = bins.sums(binned, np.arange(900), slot, 9, rng.normal(size=900), np.ones(900))
+    for (sums, best), n in zip(bins.best_splits(hists), range(9)):
+        (own, (gain, *place, left)), = bins.best_splits(hists[:, n:n + 1])
+        assert np.array_equal(sums, own) and best[:3] == (gain, *place) and np.array_equal(best[3], left)
