@@ -65,6 +65,8 @@ WEIGHT_ROWS = 2 * BUCKETS + CLASSES * CLASSES
 #: A block ends at so many tokens (a longer text is a block of its own).
 BLOCK_TOKENS = 1 << 21
 BATCH = 1 << 14
+#: Tokens of a batch whose numbers fit in a core's cache, and rows that are summed without a call for each column.
+PART, SHORT = 1 << 11, 8
 ROUNDS = 2
 RATE = 0.3
 #: Rows of weights that are reduced together, and first-level groups of tasks.
@@ -342,23 +344,49 @@ def choice_odds(tree: np.ndarray, side: np.ndarray, base: np.ndarray, index: np.
     return base + side * (tree[index[0]] + tree[index[1]])
 
 
-def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, side: np.ndarray, base: np.ndarray,
-               index: np.ndarray) -> None:
+def _choice_parts(tree: np.ndarray, choices: Choices, words: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
+    """(their slice among all choices, side, odds, index) of the choices of some tokens, a part that fits in a core's cache at a time."""
+    at, bits = 0, len(tree).bit_length() - 1
+    for i in range(0, len(words), PART):
+        _, side, base, index = choices.of(words[i:i + PART], before[:, i:i + PART], bits)
+        yield slice(at, at + len(side)), side, choice_odds(tree, side, base, index), index
+        at += len(side)
+
+
+def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, choices: Choices, words: np.ndarray,
+               before: np.ndarray) -> None:
     """One Adagrad step on the choices of a batch of tokens, in place."""
-    miss = -side / (1.0 + np.exp(choice_odds(tree, side, base, index)))
+    count = int(choices.sizes[words].sum())
+    miss, index = np.empty(count), np.empty((2, count), np.intp)
+    for at, side, odds, i in _choice_parts(tree, choices, words, before):
+        np.exp(odds, out=odds)
+        odds += np.float32(1.0)
+        miss[at] = -side / odds
+        index[:, at] = i
     g = np.bincount(index[0], miss, len(tree))
     g += np.bincount(index[1], miss, len(tree))
     g = g.astype(np.float32)
-    touched += np.bincount(index.reshape(-1), minlength=len(tree)).astype(np.uint32)
-    squares += g * g
-    tree -= np.float32(TREE_RATE) * g / np.sqrt(squares + np.float32(TREE_PRIOR))
+    np.add(touched, np.bincount(index.reshape(-1), minlength=len(tree)), out=touched, casting="unsafe")
+    scale = g * g
+    squares += scale
+    np.add(squares, np.float32(TREE_PRIOR), out=scale)
+    np.sqrt(scale, out=scale)
+    g *= np.float32(TREE_RATE)
+    g /= scale
+    tree -= g
 
 
 def tree_logs(tree: np.ndarray, choices: Choices, words: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Sum of the log probabilities of each token's choices (natural logarithm)."""
-    size, side, base, index = choices.of(words, before, int(len(tree)).bit_length() - 1)
+    size = choices.sizes[words]
     ends = np.cumsum(size)
-    logs = np.concatenate(([0.0], np.cumsum(-np.log1p(np.exp(-choice_odds(tree, side, base, index))), dtype=np.float64)))
+    logs = np.zeros(int(size.sum()) + 1)
+    own = logs[1:]
+    for at, _, odds, _ in _choice_parts(tree, choices, words, before):
+        np.negative(odds, out=odds)
+        np.exp(odds, out=odds)
+        own[at] = -np.log1p(odds)
+    logs = np.cumsum(logs)
     return logs[ends] - logs[ends - size]
 
 
@@ -381,28 +409,71 @@ def features(buckets: np.ndarray, classes: np.ndarray, stream: np.ndarray, lengt
     return rows, cls
 
 
+def _class_parts(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of weights less the greatest, logarithm of the sum of their powers), whose difference is log P(class)."""
+    z = weights.take(rows[0], axis=0)
+    z += weights.take(rows[1], axis=0)
+    z += weights.take(rows[2], axis=0)
+    z -= z.max(axis=1, keepdims=True)
+    return z, np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
 def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """log P(class) for a batch of tokens (natural logarithm)."""
-    z = weights[rows[0]]
-    z += weights[rows[1]]
-    z += weights[rows[2]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    z, total = _class_parts(weights, rows)
+    z -= total
     return z
 
 
+def own_class_logs(weights: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """log P(class) of each token's own class, a part of the tokens that fits in a core's cache at a time."""
+    out = np.empty(len(cls), np.float32)
+    for i in range(0, len(cls), PART):
+        c = cls[i:i + PART]
+        z, total = _class_parts(weights, rows[:, i:i + PART])
+        out[i:i + PART] = z[np.arange(len(c)), c] - total[:, 0]
+    return out
+
+
+def segment_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat(g[order], first, axis=0)``, to the last bit, without a call a segment and column for short segments."""
+    size = np.diff(first, append=len(order))
+    out = g.take(order[first], axis=0)
+    long = size > SHORT
+    if long.any():
+        begin = np.cumsum(size[long]) - size[long]
+        out[long] = np.add.reduceat(g.take(order[np.repeat(long, size)], axis=0), begin, axis=0)
+    short = np.flatnonzero((size > 1) & ~long)
+    short = short[np.argsort(-size[short], kind="stable")]
+    if len(short):
+        at, size = first[short], size[short]
+        rest = g.take(order[at + 1], axis=0)              # the first row is added to the sum of the others, as reduceat does
+        for j in range(2, size[0]):
+            m = np.count_nonzero(size > j)
+            rest[:m] += g.take(order[at[:m] + j], axis=0)
+        out[short] += rest
+    return out
+
+
 def train_on(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One Adagrad step on a batch of tokens, in place."""
-    g = np.exp(class_logs(weights, rows))
+    g = np.empty((len(cls), weights.shape[1]), weights.dtype)
+    for i in range(0, len(cls), PART):
+        np.exp(class_logs(weights, rows[:, i:i + PART]), out=g[i:i + PART])
     g[np.arange(len(cls)), cls] -= 1.0
     for r in rows:
         order = np.argsort(r, kind="stable")  # radix sort of 16-bit rows
         sorted_ = r[order]
         first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        touched = sorted_[first]
-        step = np.add.reduceat(g[order], first, axis=0)
-        squares[touched] += step * step
-        weights[touched] -= RATE * step / np.sqrt(squares[touched] + 1e-6)
+        touched = sorted_[first].astype(np.intp)
+        step = segment_sums(g, order, first)
+        sums = squares.take(touched, axis=0)
+        sums += step * step
+        squares[touched] = sums
+        sums += sums.dtype.type(1e-6)
+        step *= step.dtype.type(RATE)
+        step /= np.sqrt(sums, out=sums)
+        weights[touched] -= step
 
 
 def _packed(part: np.ndarray, touched: np.ndarray) -> tuple[bytes, bytes]:
@@ -438,7 +509,6 @@ def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray,
         w, t, counted = shared.value
         t = t.copy()
         t_sq, t_n = np.zeros_like(t), np.zeros(len(t), np.uint32)
-        bits = len(t).bit_length() - 1
         if w is not None:
             w, sq, w_n = w.copy(), np.zeros_like(w), np.zeros(len(w), np.int64)
         tokens = 0
@@ -455,7 +525,7 @@ def _trained(resolved: DataFrame, weights: np.ndarray | None, tree: np.ndarray,
             before = contexts(counted.words(code, classes, counts, ranks), stream, lengths)
             for i in range(0, len(train), TREE_BATCH):
                 k = train[i:i + TREE_BATCH]
-                train_tree(t, t_sq, t_n, *choices.of(stream[k], before[:, k], bits)[1:])
+                train_tree(t, t_sq, t_n, choices, stream[k], before[:, k])
             tokens += len(train)
         if tokens:
             salt = TaskContext.get().partitionId() % FIRST_LEVEL
@@ -600,8 +670,7 @@ def _scored(resolved: DataFrame, table: DataFrame | None, bits: int, groups: int
                 if w is not None:
                     rows, cls = features((code & np.uint32(BUCKETS - 1)).astype(np.uint16), classes, stream, lengths)
                     for i in range(0, len(stream), BATCH):
-                        c = cls[i:i + BATCH]
-                        logs[i:i + BATCH] += class_logs(w, rows[:, i:i + BATCH])[np.arange(len(c)), c]
+                        logs[i:i + BATCH] += own_class_logs(w, rows[:, i:i + BATCH], cls[i:i + BATCH])
                     del rows, cls
                 choices = Choices(code, classes, counts, ranks, counted)
                 before = contexts(counted.words(code, classes, counts, ranks), stream, lengths)

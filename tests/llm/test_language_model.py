@@ -69,3 +69,33 @@ def test_averages_count_only_the_tokens_that_touched_a_weight():
                       "part": [p for p, _ in parts], "touched": [n for _, n in parts]})
     made = lm._averaged(table)
     assert np.frombuffer(made.column("part")[0].as_py(), "<f2").tolist() == [2.0, 2.0, 7.0]
+
+
+def test_steps_and_scores_are_those_of_plain_sums_to_the_last_bit():
+    """Sums by segments of any length, steps in place and scores by parts leave every weight and score as plain numpy has it."""
+    rng = np.random.default_rng(4)
+    n = 3 * lm.PART + 5
+    rows = np.stack([np.minimum(rng.zipf(1.3, n) - 1, 4000), rng.integers(0, 3000, n) + lm.BUCKETS,
+                     rng.integers(0, 9, n) + 2 * lm.BUCKETS]).astype(np.uint16)
+    cls = rng.integers(0, lm.CLASSES, n).astype(np.int32)
+    start = rng.normal(size=(lm.WEIGHT_ROWS, lm.CLASSES)).astype(np.float32), np.zeros((lm.WEIGHT_ROWS, lm.CLASSES), np.float32)
+    (w, sq), (plain, plain_sq) = ([a.copy() for a in start] for _ in range(2))
+    own = lm.own_class_logs(w, rows, cls)
+    lm.train_on(w, sq, rows, cls)
+    z = plain[rows[0]] + plain[rows[1]] + plain[rows[2]]
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    assert np.array_equal(own, z[np.arange(n), cls])
+    g = np.exp(z)
+    g[np.arange(n), cls] -= 1.0
+    seen = set()
+    for r in rows:
+        order = np.argsort(r, kind="stable")
+        touched, first, size = np.unique(r[order], return_index=True, return_counts=True)
+        seen |= set(size.tolist())
+        step = np.add.reduceat(g[order], first, axis=0)
+        assert np.array_equal(lm.segment_sums(g, order, first), step)
+        plain_sq[touched] += step * step
+        plain[touched] -= lm.RATE * step / np.sqrt(plain_sq[touched] + 1e-6)
+    assert seen >= {1, 2, 3, lm.SHORT - 1, lm.SHORT, lm.SHORT + 1} and max(seen) > 1000
+    assert np.array_equal(w, plain) and np.array_equal(sq, plain_sq)
