@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
-from dropflow.operators import forest
+from dropflow.operators import forest, wide_forest
 from dropflow.operators.forest import ForestSpec, HistogramForest
 from dropflow.operators.models import classifiers, regressors
 from test_boosting import table
@@ -115,3 +116,81 @@ def test_deep_trees_need_no_job_a_level(spark, made):
     sc.setLocalProperty("spark.jobGroup.id", None)
     jobs = len(sc.statusTracker().getJobIdsForGroup(group))
     assert model.getNumTrees in (200, 300) and 0 < jobs <= 12
+
+
+def one_hot(spark, x, y, w=None, parts=3):
+    """Rows of numeric columns and a category each as sparse vectors; category k is indicator k."""
+    numeric, category, width = x
+    rows = [(SparseVector(len(n) + width, [*np.flatnonzero(n).tolist(), len(n) + int(k)], [*n[n != 0].tolist(), 1.0]), float(t),
+             float(v)) for n, k, t, v in zip(numeric, category, y, w if w is not None else np.ones(len(y)))]
+    return spark.createDataFrame(rows, ["features", "label", "weight"]).repartition(parts)
+
+
+@pytest.mark.parametrize("spec", [ForestSpec(trees=2, classes=3, max_depth=5, min_rows=4, bagging=False),
+                                  ForestSpec(trees=2, max_depth=4, min_rows=3, bagging=False)])
+@pytest.mark.parametrize("local_cells", [0, 240, 10 ** 9])
+def test_trees_on_wide_vectors_are_those_of_a_plain_search(spark, monkeypatch, spec, local_cells):
+    """By jobs alone, by jobs down to small nodes, or each tree in one task."""
+    monkeypatch.setattr(forest, "LOCAL_CELLS", local_cells)
+    monkeypatch.setattr(forest, "TASK_CELLS", 100)
+    rng = np.random.default_rng(4)
+    numeric, category = rng.integers(0, 6, (150, 2)).astype(float), rng.integers(0, 7, 150)
+    signal = numeric[:, 0] - 3.0 * (category == 2) + 2.0 * (category == 5) + rng.normal(0, 1.5, 150)
+    y = np.digitize(signal, [0, 2]).astype(float) if spec.classes else signal
+    w = rng.choice([1.0, 2.5], 150)
+    data = one_hot(spark, (numeric, category, 9), y, w)
+    trees, cuts, scale, gains, valued = wide_forest.fit(data, "features", F.col("label"), F.col("weight"), 11, spec)
+    model = wide_forest.WideForestModel(trees, cuts, spec.classes, scale, gains, "features", 11, valued)
+    spread = np.concatenate([numeric, category[:, None] == np.arange(9)], axis=1)
+    want = {(tuple(a), b): v for a, b, v in zip(spread.tolist(), y.tolist(), plain_tree(spread, y, w, spec).tolist())}
+    got = model.transform(data).collect()
+    assert len(got) == 150 and len(model.trees) == 2
+    for r in got:
+        value = list(r["probability"]) if spec.classes else [r["prediction"]]
+        assert value == pytest.approx(want[tuple(r["features"].toArray()), r["label"]], abs=1e-6)
+    assert sum(model.importances) == pytest.approx(1.0) and len(model.importances) == 11 and not model.importances[-2:].any()
+
+
+@pytest.mark.parametrize("posting_cost", [0, 10 ** 9])
+def test_rows_of_drawn_features_and_features_of_rows_find_the_same_splits(monkeypatch, posting_cost):
+    rng = np.random.default_rng(3)
+    n, width = 3000, 500
+    has = rng.random((n, width)) < rng.random(width) ** 4
+    y, c = (has[:, :40].sum(1) + rng.integers(0, 3, n)) % 3, rng.poisson(1.0, n).astype(float)
+    wide = wide_forest.Wide(width + 1, np.array([width]), forest.Cuts([np.arange(5.0)]))
+    rows = wide_forest.Rows(rng.integers(0, 6, (1, n)).astype(np.uint8), has.sum(1), np.nonzero(has)[1].astype(np.int32))
+    rows.by_feature()
+    spec = ForestSpec(classes=3, sqrt_features=True)
+    plain = wide_forest.grown_here(rows, y, np.ones(n), c, wide, spec, (0, 0))
+    monkeypatch.setattr(wide_forest, "POSTING_COST", posting_cost)
+    tree, gains = wide_forest.grown_here(rows, y, np.ones(n), c, wide, spec, (0, 0))
+    assert np.array_equal(tree.code, plain[0].code) and np.array_equal(tree.value, plain[0].value) and len(tree.code) > 500
+    assert np.array_equal(gains[0], plain[1][0]) and np.allclose(gains[1], plain[1][1])
+    # every leaf has the classes of the rows that reach it
+    leaf = tree.left[rows.leaves(tree, wide)]
+    share = np.stack([np.bincount(leaf, c * (y == k), len(tree.value)) for k in range(3)], axis=1)
+    assert np.allclose(share / share.sum(1, keepdims=True), tree.value, atol=1e-6)
+
+
+def test_a_forest_on_as_many_features_as_rows_needs_no_job_a_level(spark, tmp_dir):
+    """The predictor's forest: an id a row among the one-hot features; refits and saved models score alike."""
+    rng = np.random.default_rng(2)
+    n = 2000
+    numeric, y = rng.random((n, 3)), np.zeros(n)
+    y[numeric[:, 0] > 0.5] = 1.0
+    data = one_hot(spark, (numeric, np.arange(n), n), y).persist()
+    data.count()
+    sc = spark.sparkContext
+    group = f"wide-{id(data)}"
+    sc.setJobGroup(group, "fit")
+    model = classifiers("g1", 2, 1.0)["RandomForest"].fit(data)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert model.getNumTrees == 100 and len({t.code.tobytes() for t in model.trees}) > 50
+    assert 0 < len(sc.statusTracker().getJobIdsForGroup(group)) <= 12
+    again = classifiers("g1", 2, 1.0)["RandomForest"].fit(data)
+    assert all(np.array_equal(a.code, b.code) and np.array_equal(a.value, b.value) for a, b in zip(model.trees, again.trees))
+    PipelineModel([model]).write().save(f"{tmp_dir}/p")
+    loaded = PipelineModel.load(f"{tmp_dir}/p")
+    key = lambda d: sorted((tuple(r["features"].indices), r["prediction"], tuple(r["probability"])) for r in d.collect())
+    assert key(loaded.transform(data)) == key(model.transform(data))
+    assert np.array_equal(loaded.stages[0].importances, model.importances)
