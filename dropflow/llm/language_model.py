@@ -65,8 +65,8 @@ WEIGHT_ROWS = 2 * BUCKETS + CLASSES * CLASSES
 #: A block ends at so many tokens (a longer text is a block of its own).
 BLOCK_TOKENS = 1 << 21
 BATCH = 1 << 14
-#: Tokens of a batch whose numbers fit in a core's cache, and rows that are summed without a call for each column.
-PART, SHORT = 1 << 11, 8
+#: Tokens of a batch and rows of weights whose numbers fit in a core's cache, and rows that are summed without a call for each column.
+PART, PIECE, SHORT = 1 << 11, 1 << 8, 8
 ROUNDS = 2
 RATE = 0.3
 #: Rows of weights that are reduced together, and first-level groups of tasks.
@@ -74,6 +74,8 @@ CHUNK_ROWS, FIRST_LEVEL = 1 << 10, 64
 END_HASH = -1
 #: Words below one node of the tree's top on average, and levels below it (a word's rank there has so many bits).
 SUBTREE_WORDS, DEEP = 256, 12
+#: Neighbouring nodes of the top whose words are worked out in one group (bits).
+SPAN_BITS = 6
 #: Counted words per weight of the nodes, least and most weights of a group (bits), and training tokens per weight in a task.
 WORDS_PER_WEIGHT, LEAST_BITS, GROUP_BITS, TOKENS_PER_WEIGHT = 4, 16, 22, 4
 TREE_BATCH, TREE_RATE, TREE_PRIOR = 1 << 16, 0.3, 16.0
@@ -121,7 +123,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 16
         key_type = None
-        ids: dict[bytes, int] = {}
+        ids = _Numbers()
         streams: list[np.ndarray] = []
         keys: list = []
         held: list[bool] = []
@@ -146,7 +148,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                    *(pa.array([x], pa.binary()) for x in (pa.compress(to_planes(rank[stream]), "zstd", asbytes=True), hashes.tobytes(),
                                                           counts.astype("<i8").tobytes(), endings.tobytes()))]
             out = pa.RecordBatch.from_arrays(row, names=schema.names)
-            number, total, ids = number + 1, 0, {}
+            number, total, ids = number + 1, 0, _Numbers()
             streams.clear(), keys.clear(), held.clear(), lengths.clear()
             return out
 
@@ -155,8 +157,6 @@ def blocks(docs: DataFrame) -> DataFrame:
             for key, out_, data in zip(batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist(), texts(batch)):
                 parts = []
                 for chunk in word_lists(data.lower()):
-                    for w in set(chunk).difference(ids):
-                        ids[w] = len(ids) + 1
                     parts.append(np.fromiter(map(ids.__getitem__, chunk), np.uint32, len(chunk)))
                 parts.append(np.zeros(1, np.uint32))
                 streams.extend(parts)
@@ -171,6 +171,14 @@ def blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+class _Numbers(dict):
+    """Words by number from 1, in order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
 def _signed(h: int) -> int:
     h = h - (1 << 64) if h >> 63 else h
     return h if h != END_HASH else 0
@@ -224,23 +232,37 @@ def _log_ratios(mass: np.ndarray) -> list[np.ndarray]:
 
 
 def _subtree(table: pa.Table) -> pa.Table:
-    """Words of one class below one node of the top: told with the rank by count; the first word has the codes of all nodes.
+    """Words of one class below some nodes of the top: told with the rank by count; a node's first word has the codes of its nodes.
 
-    Byte r of the codes belongs to the node whose right side begins at rank r.
+    Byte r of the codes belongs to the node whose right side begins at rank r. Subtrees of as many levels are worked out at once.
     """
-    word, c = table.column("word").to_numpy(), table.column("c").to_numpy()
+    word, c, prefix = (table.column(k).to_numpy() for k in ("word", "c", "prefix"))
     rank, known = np.zeros(len(word), np.int64), c > 0
-    order = np.lexsort((word, -c))[:known.sum()]
-    rank[order] = np.arange(len(order))
-    mass = np.zeros(1 << DEEP)
-    mass[:len(order)] = c[order] + 1.0
-    codes = np.zeros(1 << DEEP, np.uint8)
-    for j, ratio in enumerate(_log_ratios(mass)):
-        nearest = np.searchsorted((RATIOS[1:] + RATIOS[:-1])[::-1] / 2, np.nan_to_num(ratio))
-        codes[(1 << DEEP - 1 - j)::1 << DEEP - j] = len(RATIOS) - 1 - nearest
+    order = np.lexsort((word, -c, prefix))
+    order = order[known[order]]
+    first = np.flatnonzero(np.diff(prefix[order], prepend=-1))
+    size = np.diff(first, append=len(order))
+    if size.max(initial=0) > 1 << DEEP:
+        raise ValueError(f"more than {1 << DEEP} words below one node")
+    rank[order] = np.arange(len(order)) - np.repeat(first, size)
+    codes = np.zeros(len(order), np.uint8)
+    levels = np.ceil(np.log2(size)).astype(np.int64)
+    middles = (RATIOS[1:] + RATIOS[:-1])[::-1] / 2
+    for deep in np.unique(levels).tolist():
+        own = np.flatnonzero(levels == deep)
+        nth = np.repeat(np.arange(len(own)), size[own])
+        at = np.repeat(first[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(len(nth))
+        place = rank[order[at]]
+        mass = np.zeros((len(own), 1 << deep))
+        mass[nth, place] = c[order[at]] + 1.0
+        nodes = np.zeros(mass.shape, np.uint8)
+        for j, ratio in enumerate(_log_ratios(mass)):
+            nodes[:, (1 << deep - 1 - j)::1 << deep - j] = len(RATIOS) - 1 - np.searchsorted(middles, np.nan_to_num(ratio))
+        codes[at] = nodes[nth, place]
     told = c << (CLASS_BITS + DEEP) | rank << CLASS_BITS | table.column("class").to_numpy().astype(np.int64)
-    first = order[0] if len(order) else -1
-    held = [codes[:len(order)].tobytes() if i == first else None for i in range(len(word))]
+    held: list[bytes | None] = [None] * len(word)
+    for f, n in zip(first.tolist(), size.tolist()):
+        held[order[f]] = codes[f:f + n].tobytes()
     return pa.table({"word": table.column("word"), "told": told, "class": table.column("class"), "prefix": table.column("prefix"),
                      "codes": pa.array(held, pa.binary())})
 
@@ -310,17 +332,17 @@ class Choices:
 
     def of(self, words: np.ndarray, before: np.ndarray, bits: int) -> tuple:
         """The choices of tokens: (number of choices of each, side, base, indices of both weights); before: hashes of both contexts."""
-        size = self.sizes[words]
-        ends = np.cumsum(size, dtype=np.int32)
-        at = np.repeat(self.starts[words] - (ends - size), size)
-        at += np.arange(len(at), dtype=np.int32)
-        node = self.node[at]
+        size = self.sizes.take(words)
+        ends = np.cumsum(size, dtype=np.intp)
+        at = np.repeat(self.starts.take(words) - (ends - size), size)  # native indices: others are converted by every gather
+        at += np.arange(len(at))
+        node = self.node.take(at)
         index = np.empty((2, len(at)), np.uint32)
         for k in (0, 1):
             np.bitwise_xor(node, np.repeat(before[k], size), out=index[k])
         index *= np.uint32(0x9E3779B1)
         index >>= np.uint32(32 - bits)
-        return size, self.side[at], self.base[at], index
+        return size, self.side.take(at).astype(np.float32), self.base.take(at), index.astype(np.intp)
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -341,28 +363,33 @@ def contexts(words: np.ndarray, stream: np.ndarray, lengths: np.ndarray) -> np.n
 
 def choice_odds(tree: np.ndarray, side: np.ndarray, base: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Log odds of the sides taken."""
-    return base + side * (tree[index[0]] + tree[index[1]])
+    odds = tree.take(index[0])
+    odds += tree.take(index[1])
+    odds *= side
+    odds += base
+    return odds
 
 
 def _choice_parts(tree: np.ndarray, choices: Choices, words: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
-    """(their slice among all choices, side, odds, index) of the choices of some tokens, a part that fits in a core's cache at a time."""
-    at, bits = 0, len(tree).bit_length() - 1
+    """(choices of each token, side, odds, index) of the choices of some tokens, a part that fits in a core's cache at a time."""
+    bits = len(tree).bit_length() - 1
     for i in range(0, len(words), PART):
-        _, side, base, index = choices.of(words[i:i + PART], before[:, i:i + PART], bits)
-        yield slice(at, at + len(side)), side, choice_odds(tree, side, base, index), index
-        at += len(side)
+        size, side, base, index = choices.of(words[i:i + PART], before[:, i:i + PART], bits)
+        yield size, side, choice_odds(tree, side, base, index), index
 
 
 def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, choices: Choices, words: np.ndarray,
                before: np.ndarray) -> None:
     """One Adagrad step on the choices of a batch of tokens, in place."""
-    count = int(choices.sizes[words].sum())
+    count, at = int(choices.sizes.take(words).sum()), 0
     miss, index = np.empty(count), np.empty((2, count), np.intp)
-    for at, side, odds, i in _choice_parts(tree, choices, words, before):
+    for _, side, odds, i in _choice_parts(tree, choices, words, before):
         np.exp(odds, out=odds)
         odds += np.float32(1.0)
-        miss[at] = -side / odds
-        index[:, at] = i
+        np.divide(side, odds, out=side)
+        miss[at:at + len(side)] = side
+        index[:, at:at + len(side)] = i
+        at += len(side)
     g = np.bincount(index[0], miss, len(tree))
     g += np.bincount(index[1], miss, len(tree))
     g = g.astype(np.float32)
@@ -373,21 +400,24 @@ def train_tree(tree: np.ndarray, squares: np.ndarray, touched: np.ndarray, choic
     np.sqrt(scale, out=scale)
     g *= np.float32(TREE_RATE)
     g /= scale
-    tree -= g
+    tree += g
 
 
 def tree_logs(tree: np.ndarray, choices: Choices, words: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Sum of the log probabilities of each token's choices (natural logarithm)."""
-    size = choices.sizes[words]
-    ends = np.cumsum(size)
-    logs = np.zeros(int(size.sum()) + 1)
-    own = logs[1:]
-    for at, _, odds, _ in _choice_parts(tree, choices, words, before):
+    out, total, at = np.empty(len(words)), 0.0, 0
+    for size, _, odds, _ in _choice_parts(tree, choices, words, before):
         np.negative(odds, out=odds)
         np.exp(odds, out=odds)
-        own[at] = -np.log1p(odds)
-    logs = np.cumsum(logs)
-    return logs[ends] - logs[ends - size]
+        np.log1p(odds, out=odds)
+        logs = np.empty(len(odds) + 1)                        # running sums go on from the part before
+        logs[0] = total
+        np.negative(odds, out=logs[1:])
+        np.cumsum(logs, out=logs)
+        ends = np.cumsum(size)
+        out[at:at + len(size)] = logs[ends] - logs[ends - size]
+        total, at = logs[-1], at + len(size)
+    return out
 
 
 # ---- the model ----------------------------------------------------------
@@ -414,7 +444,7 @@ def _class_parts(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.
     z = weights.take(rows[0], axis=0)
     z += weights.take(rows[1], axis=0)
     z += weights.take(rows[2], axis=0)
-    z -= z.max(axis=1, keepdims=True)
+    z -= z.T.copy().max(axis=0)[:, None]                      # column after column, without a call a row
     return z, np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
@@ -445,16 +475,23 @@ def segment_sums(g: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndar
         out[long] = np.add.reduceat(g.take(order[np.repeat(long, size)], axis=0), begin, axis=0)
     short = np.flatnonzero((size > 1) & ~long)
     short = short[np.argsort(-size[short], kind="stable")]
-    if len(short):
-        at, size = first[short], size[short]
+    for i in range(0, len(short), PIECE):
+        own = short[i:i + PIECE]
+        at, n = first[own], size[own]
         rest = g.take(order[at + 1], axis=0)              # the first row is added to the sum of the others, as reduceat does
-        for j in range(2, size[0]):
-            m = np.count_nonzero(size > j)
+        for j in range(2, n[0]):
+            m = np.count_nonzero(n > j)
             rest[:m] += g.take(order[at[:m] + j], axis=0)
-        out[short] += rest
+        rest += out.take(own, axis=0)
+        whole_rows(out)[own] = whole_rows(rest)
     return out
 
 
+def whole_rows(a: np.ndarray) -> np.ndarray:
+    """The rows of a matrix as one item each, which are set at once instead of a number at a time."""
+    return a.view(np.dtype((np.void, a.shape[1] * a.itemsize)))[:, 0]
+
+
 def train_on(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> None:
     """One Adagrad step on a batch of tokens, in place."""
     g = np.empty((len(cls), weights.shape[1]), weights.dtype)
@@ -467,13 +504,17 @@ def train_on(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np
         first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
         touched = sorted_[first].astype(np.intp)
         step = segment_sums(g, order, first)
-        sums = squares.take(touched, axis=0)
-        sums += step * step
-        squares[touched] = sums
-        sums += sums.dtype.type(1e-6)
-        step *= step.dtype.type(RATE)
-        step /= np.sqrt(sums, out=sums)
-        weights[touched] -= step
+        for i in range(0, len(touched), PIECE):
+            at, own = touched[i:i + PIECE], step[i:i + PIECE]
+            sums = squares.take(at, axis=0)
+            sums += own * own
+            whole_rows(squares)[at] = whole_rows(sums)
+            sums += sums.dtype.type(1e-6)
+            own *= own.dtype.type(RATE)
+            own /= np.sqrt(sums, out=sums)
+            moved = weights.take(at, axis=0)
+            moved -= own
+            whole_rows(weights)[at] = whole_rows(moved)
 
 
 def _packed(part: np.ndarray, touched: np.ndarray) -> tuple[bytes, bytes]:
@@ -615,7 +656,7 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, word_contexts: bo
         mass[r["class"], r["prefix"]] = r["m"]
     top = _log_ratios(mass)
     # the counts and paths of a block's words go back to the block: a row for each word of each block
-    told = written(classed.groupBy("class", "prefix").applyInArrow(
+    told = written(classed.withColumn("span", F.shiftright("prefix", SPAN_BITS)).groupBy("class", "span").applyInArrow(
         _subtree, "word long, told long, class long, prefix long, codes binary"), "lm-told")
     at = F.shiftleft(code, PLACE_BITS).bitwiseOR(F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")))
     found = (dictionary.select("word", "at").join(told.select("word", "told"), "word")

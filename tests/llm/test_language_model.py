@@ -99,3 +99,20 @@ def test_steps_and_scores_are_those_of_plain_sums_to_the_last_bit():
         plain[touched] -= lm.RATE * step / np.sqrt(plain_sq[touched] + 1e-6)
     assert seen >= {1, 2, 3, lm.SHORT - 1, lm.SHORT, lm.SHORT + 1} and max(seen) > 1000
     assert np.array_equal(w, plain) and np.array_equal(sq, plain_sq)
+
+
+def test_subtrees_of_one_group_are_those_of_each_alone():
+    """Several nodes' words in one call have the ranks and codes that each node's words have alone."""
+    rng = np.random.default_rng(5)
+    n = 900
+    words, c, prefix = rng.integers(-1 << 62, 1 << 62, n), rng.integers(0, 9, n), np.minimum(rng.geometric(0.05, n), 70)
+    whole = {r["word"]: r for r in lm._subtree(pa.table({"word": words, "c": c, "class": np.full(n, 20), "prefix": prefix})).to_pylist()}
+    assert len(whole) == n
+    for p in np.unique(prefix):
+        own = np.flatnonzero(prefix == p)
+        alone = lm._subtree(pa.table({"word": words[own], "c": c[own], "class": np.full(len(own), 20), "prefix": prefix[own]}))
+        assert [whole[w] for w in words[own].tolist()] == alone.to_pylist()
+        known = own[c[own] > 0]
+        ranks = [whole[w]["told"] >> lm.CLASS_BITS & ((1 << lm.DEEP) - 1) for w in words[known[np.lexsort((words[known], -c[known]))]].tolist()]
+        assert ranks == list(range(len(known)))
+        assert sum(whole[w]["codes"] is not None for w in words[own].tolist()) == (len(known) > 0)
