@@ -2,6 +2,7 @@
 
 import math
 import pickle
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from dropflow.operators import boosting
 from dropflow.operators.boosting import BoostSpec, HistogramBooster, Tree, gradients
+from dropflow.operators.crew import Crew, shared
 
 
 def table(spark, x, y, w=None, parts=3):
@@ -187,3 +189,65 @@ def test_best_splits_of_many_nodes_are_those_of_each(monkeypatch):
     for (sums, best), n in zip(bins.best_splits(hists), range(9)):
         (own, (gain, *place, left)), = bins.best_splits(hists[:, n:n + 1])
         assert np.array_equal(sums, own) and best[:3] == (gain, *place) and np.array_equal(best[3], left)
+
+
+@pytest.mark.parametrize("spec", [
+    BoostSpec("multiclass", rounds=30, max_depth=None, max_leaves=7, min_child_rows=5, start_at_mean=True),
+    BoostSpec("binary", rounds=30, max_depth=4, subsample=0.8, colsample=0.8),
+    BoostSpec("regression", rounds=30, max_depth=None, max_leaves=9)])
+def test_a_larger_table_is_boosted_by_one_task_with_helpers(spark, monkeypatch, spec):
+    """Cells beyond a node's limit, within that of the cores: a job does 25 rounds, with the trees of the jobs a level."""
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 30, (900, 4)).astype(float)
+    x[rng.random(x.shape) < 0.1] = math.nan
+    y = (np.nan_to_num(x[:, 0]) > 9).astype(float) + (np.nan_to_num(x[:, 1]) > 15) * (spec.objective != "binary")
+    y += rng.normal(0, 0.3, 900) * (spec.objective == "regression")
+    data = table(spark, x, y, parts=3).persist()
+    monkeypatch.setattr(boosting, "TASK_CELLS", 1500)
+    monkeypatch.setattr(boosting, "CREW_CELLS", 0)
+    calls, rounds = [], []
+    here, by_jobs = boosting._rounds_here, boosting._round
+    monkeypatch.setattr(boosting, "_rounds_here", lambda *a: calls.append(a[-1]) or here(*a))
+    monkeypatch.setattr(boosting, "_round", lambda *a: rounds.append(1) or by_jobs(*a))
+    classes = 3 if spec.objective == "multiclass" else 2
+    fits = []
+    for cells, n in (400, 30), (60, 3):                   # 4 cores: tables of 3,600 and of 540 cells
+        monkeypatch.setattr(boosting, "LOCAL_CELLS", cells)
+        fits.append(HistogramBooster(replace(spec, rounds=n), classes=classes).fit(data))
+    assert calls == [4, 4] and len(rounds) == 3
+    leaves = lambda m: [sorted(np.round(t.value[t.feature < 0], 6)) for r in m.rounds[:3] for t in r]
+    assert len(fits[0].rounds) == 30 and leaves(fits[0]) == leaves(fits[1])
+
+
+def test_helpers_answer_and_their_failure_is_the_tasks():
+    class Job:
+        def __init__(self):
+            self.seen = shared(3)
+
+        def note(self, own, all_, x):
+            self.seen[own] = x * (own + 1)
+            return own, all_
+
+        def fail(self, own, all_):
+            if own:
+                raise ValueError("told")
+
+    job = Job()
+    with Crew(3, job) as crew:
+        assert crew.work("note", 2.0) == [(0, 3), (1, 3), (2, 3)] and job.seen.tolist() == [2.0, 4.0, 6.0]
+        assert crew.work("note", 5.0, alone=True) == [(0, 1)] and job.seen.tolist() == [5.0, 4.0, 6.0]
+        with pytest.raises(RuntimeError, match="told"):
+            crew.work("fail")
+
+
+def test_cut_points_are_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 500)
+    rng = np.random.default_rng(11)
+    x = np.stack([rng.normal(size=20_000), rng.integers(0, 3, 20_000), np.full(20_000, 7.0), np.full(20_000, math.nan)], 1)
+    x[:50, 1] = math.nan
+    data = spark.createDataFrame([(a.tolist(),) for a in x], "x array<double>").repartition(3)
+    fine, few, one, none = boosting.cut_points(data, 4, 20)
+    rank = np.searchsorted(np.sort(x[:, 0]), fine, side="right") / 20_000
+    assert rank == pytest.approx(np.arange(1, 21) / 21, abs=1 / 200)
+    assert few.tolist() == [0.0, 1.0] and not len(one) and not len(none)
+    assert [len(c) for c in boosting.cut_points(data.limit(0), 4, 20)] == [0] * 4
