@@ -194,3 +194,21 @@ def test_a_forest_on_as_many_features_as_rows_needs_no_job_a_level(spark, tmp_di
     key = lambda d: sorted((tuple(r["features"].indices), r["prediction"], tuple(r["probability"])) for r in d.collect())
     assert key(loaded.transform(data)) == key(model.transform(data))
     assert np.array_equal(loaded.stages[0].importances, model.importances)
+
+
+def test_weights_of_one_are_counted_once_and_cut_points_found_in_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    at, y, c = rng.integers(0, 50, 400), rng.normal(size=400), rng.poisson(1.0, 400).astype(float)
+    counted = []
+    bincount = np.bincount
+    with monkeypatch.context() as m:
+        m.setattr(forest.np, "bincount", lambda *a, **k: counted.append(1) or bincount(*a, **k))
+        own = forest.sums(at, 50, y, c, c, 0)
+        once, counted[:] = len(counted), []
+        apart = forest.sums(at, 50, y, c.copy(), c, 0)
+    assert once == 2 and len(counted) == 3 and np.array_equal(own, apart)
+    calls, found = [], forest.cut_points
+    monkeypatch.setattr(forest, "cut_points", lambda data, d, *n: calls.append(n) or found(data, d, *n))
+    x = np.stack([np.arange(300) % 7, np.arange(300) / 300], 1)
+    model = HistogramForest(ForestSpec(trees=2, max_depth=3)).fit(table(spark, x, np.arange(300) % 5))
+    assert calls == [(forest.FINE_CUTS, forest.MAX_CUTS)] and [len(k) for k in model.cuts] == [6, forest.MAX_CUTS]
